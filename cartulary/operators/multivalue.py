@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.functions.text import BLANK, UNKNOWN_WORDS, strip
+from cartulary.functions.text import UNKNOWN_WORDS, strip
 
 HIT, CUT, OPEN, SHUT = "\u0001", "\u0002", "\u0003", "\u0004"
 
@@ -102,9 +102,7 @@ def _values(flagged: Column, field: PackedField, accepted: Column) -> Column:
     """Values of a flagged text: cut at the accepted marks, bare of blanks and quotes, none empty."""
     text = flagged
     for mark in field.marks:
-        text = F.when(F.array_contains(accepted, mark), F.replace(text, F.lit(HIT + mark), F.lit(CUT))).otherwise(
-            F.replace(text, F.lit(HIT + mark), F.lit(mark))
-        )
+        text = F.replace(text, F.lit(HIT + mark), F.when(F.array_contains(accepted, mark), CUT).otherwise(mark))
 
     def bare(piece: Column) -> Column:
         value = strip(piece)
@@ -137,8 +135,12 @@ def infer_delimiters(flagged: DataFrame, field: PackedField) -> DataFrame:
             F.struct(F.lit(m).alias("mark"), F.split(F.col("text"), F.lit(HIT + ("\\" if m in "|+" else "") + m)).alias("pieces"))
             for m in field.marks]), lambda x: F.size(x["pieces"]) > 1)).alias("c"))
 
+    edges = r"\s" + "".join("\\" + m for m in field.marks if not m.isspace())
+
     def kind(piece: Column) -> Column:
-        value = strip(F.regexp_replace(F.translate(piece, HIT + field.quotes, ""), f"^{BLANK}+", ""))
+        value = strip(F.translate(piece, HIT + field.quotes, ""))
+        if not field.spaced:  # what other marks leave at the edges says nothing about this one
+            value = F.regexp_replace(value, f"^[{edges}]+|[{edges}]+$", "")
         name = F.lit("other")
         for label, pattern in reversed(field.pieces):
             name = F.when(value.rlike(pattern), label).otherwise(name)
