@@ -14,15 +14,19 @@ ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "
 ONE_EDIT_FROM, TWO_EDITS_FROM = 3, 5
 #: Longest run of value tokens that is also looked up joined.
 JOINED = 3
-#: Least score, least share of an entry's weight that is found, and squared weight of a token outside the vocabulary.
-LEAST_SCORE, LEAST_COVER, FILLER = 0.62, 0.7, 0.25
+#: Least score, and least share that is found of an entry's weight and of its letters.
+LEAST_SCORE, LEAST_COVER, LEAST_LETTERS = 0.62, 0.7, 0.6
+#: Squared weight of a value's token without counterpart, outside and inside the vocabulary.
+FILLER, STRANGER = 0.25, 0.5
 
 
-def tokens_of(value: Column) -> Column:
+def tokens_of(value: Column, numerals: bool = True) -> Column:
     """Plain tokens of a value: folded letters and digits, Roman numerals as numbers."""
     plain = F.trim(F.regexp_replace(F.replace(fold(value), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " "))
-    roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
     tokens = F.filter(F.split(plain, " "), lambda t: t != "")
+    if not numerals:
+        return tokens
+    roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(roman, t), t))
 
 
@@ -72,7 +76,8 @@ def reference_forms(reference: DataFrame) -> DataFrame:
     )
     forms = (
         reference.where(F.col("token").isNotNull()).select("kind", "token", F.inline(written))
-        .select("kind", "token", "exact", tokens_of(F.col("text")).alias("tokens"))
+        # Numerals written on to a word stay letters, so both spellings of a number are forms.
+        .select("kind", "token", "exact", F.explode(F.array(tokens_of(F.col("text")), tokens_of(F.col("text"), False))).alias("tokens"))
         .where(F.size("tokens") > 0).groupBy("kind", "token", "tokens").agg(F.min("exact").alias("exact"))
     )
     known = forms.where(~F.col("exact"))
@@ -96,8 +101,9 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     agree.  A value's corrected tokens are then compared with each spelling they touch
     by soft TF-IDF: found weight times similarity over the lengths of both, where tokens
     outside the vocabulary weigh little and vocabulary words without counterpart weigh
-    in full.  A number on one side only excludes a spelling.  The best entry must reach
-    ``LEAST_SCORE`` and cover its spelling to ``LEAST_COVER``; ties go to the longer
+    more.  A number on one side only excludes a spelling.  The best entry must reach
+    ``LEAST_SCORE`` and cover its spelling to ``LEAST_COVER`` by weight and
+    ``LEAST_LETTERS`` by letters; ties go to the longer
     spelling, then to the smaller token.
 
     Values without tokens, of unknown kinds or of an empty list map to ``''``.  Only
@@ -105,25 +111,29 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """
     forms = reference_forms(reference)
     vocabulary = forms.select(
-        "kind", "form_id", "exact", F.size("tokens").alias("n"), F.inline(_runs(F.col("tokens"), F.size("tokens")))
+        "kind", "form_id", "exact", "tokens", F.size("tokens").alias("n"), F.inline(_runs(F.col("tokens"), F.size("tokens")))
     ).where(~F.col("exact") | ((F.col("lo") == 0) & (F.col("hi") == F.col("n"))))
-    terms = vocabulary.groupBy("kind", F.col("seg").alias("term")).agg(F.min("exact").alias("exact"))
+    # Edits of a joined term may not stand for a whole token of it, so they stay below its shortest word.
+    lengths = F.transform(F.filter(F.slice("tokens", F.col("lo") + 1, F.col("hi") - F.col("lo")), lambda t: t.rlike(r"\p{L}")), F.length)
+    slack = F.when(F.col("hi") - F.col("lo") > 1, F.coalesce(F.array_min(lengths), F.lit(1)) - 1).otherwise(2)
+    terms = vocabulary.select("kind", F.col("seg").alias("term"), "exact", slack.alias("slack")).groupBy("kind", "term").agg(
+        F.min("exact").alias("exact"), F.max("slack").alias("slack"))
     longest = terms.groupBy(F.col("kind").alias("l_kind")).agg(F.max(F.length("term")).alias("longest"))
     distinct = values.select("kind", "tokens").distinct().where(F.size("tokens") > 0)
     runs = distinct.select("kind", "tokens", F.inline(_runs(F.col("tokens"), JOINED)))
     # One row per kind; a run longer than any term by more than two edits can match none.
     segments = runs.select("kind", "seg").distinct().join(F.broadcast(longest), (F.col("kind") == F.col("l_kind")) & (F.length("seg") <= F.col("longest") + 2)).select("kind", "seg")
     left = segments.select("kind", "seg", _digits(F.col("seg")).alias("d"), F.explode(_deletions(F.col("seg"))).alias("rest"))
-    right = terms.select("kind", "term", "exact", _digits(F.col("term")).alias("d"),
+    right = terms.select("kind", "term", "exact", "slack", _digits(F.col("term")).alias("d"),
                          F.explode(F.when(F.col("exact"), F.array("term")).otherwise(_deletions(F.col("term")))).alias("rest"))
     deleted = F.greatest(F.length("seg"), F.length("term")) - F.length("rest")
     shorter = F.least(F.length("seg"), F.length("term"))
     cost = F.col("steps") + 0.25 * (F.levenshtein("seg", "term") - F.col("steps"))
     repaired = (
         left.join(right, ["kind", "d", "rest"])
-        .groupBy("kind", "seg", "term", "exact").agg(F.min(deleted).alias("steps"))
+        .groupBy("kind", "seg", "term", "exact", "slack").agg(F.min(deleted).alias("steps"))
         .where((F.col("seg") == F.col("term")) | (~F.col("exact") & (shorter >= ONE_EDIT_FROM)
-               & (F.col("steps") <= F.when(shorter >= TWO_EDITS_FROM, 2).otherwise(1))))
+               & (F.col("steps") <= F.least("slack", F.when(shorter >= TWO_EDITS_FROM, 2).otherwise(1)))))
         .select("kind", "seg", "term", (F.lit(1.0) - cost / F.greatest(F.length("seg"), F.length("term"))).alias("sim"))
     )
     place = vocabulary.select("kind", F.col("seg").alias("term"), "form_id", F.col("lo").alias("f_lo"), F.col("hi").alias("f_hi"))
@@ -152,12 +162,15 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         total(F.zip_with("s", "weights", lambda s, w: s * w * w)).alias("found"),
         total(F.zip_with("s", "weights", lambda s, w: F.when(s > 0, w * w).otherwise(0.0))).alias("mine"),
         total(F.transform("weights", lambda w: w * w)).alias("all"),
-        total(F.transform("v", lambda s, i: F.when(s > 0, 0.0).when(F.array_contains(F.coalesce("known", F.array().cast("array<int>")), i), 1.0).otherwise(FILLER))).alias("rest"),
+        total(F.transform("v", lambda s, i: F.when(s > 0, 0.0).when(F.array_contains(F.coalesce("known", F.array().cast("array<int>")), i), STRANGER).otherwise(FILLER))).alias("rest"),
+        total(F.zip_with("s", "form", lambda s, t: s * F.length(t))).alias("letters"),
+        F.length(F.array_join("form", "")).alias("all_letters"),
         F.exists(F.zip_with("s", "form", lambda s, t: (s == 0) & t.rlike(r"\p{N}")), lambda x: x).alias("lacks"),
         F.exists(F.zip_with("v", "tokens", lambda s, t: (s == 0) & t.rlike(r"\p{N}")), lambda x: x).alias("extra"),
     )
     best = (
-        scored.where(~F.col("lacks") & ~F.col("extra") & (F.col("found") >= LEAST_COVER * F.col("all")))
+        scored.where(~F.col("lacks") & ~F.col("extra") & (F.col("found") >= LEAST_COVER * F.col("all"))
+                     & (F.col("letters") >= LEAST_LETTERS * F.col("all_letters")))
         .select("kind", "tokens", "token", "size", (F.col("found") / F.sqrt(F.col("all") * (F.col("mine") + F.col("rest")))).alias("score"))
         .where(F.col("score") >= LEAST_SCORE)
         .groupBy("kind", "tokens", "token").agg(F.max(F.struct("score", "size")).alias("b"))

@@ -45,14 +45,20 @@ def sentence_words(text: Column) -> Column:
     return F.filter(F.transform(pieces, words_of), lambda w: F.size(w) >= LEAST_SENTENCE)
 
 
-def unfamiliar_share(words: Column, familiar: list[str], known: list[str]) -> Column:
-    """Share of the known words that are outside the familiar list; 0 if none is known."""
+def unfamiliar_share(familiar: list[str], known: list[str]) -> Column:
+    """Share of the known ones of the column ``words`` that are outside the familiar list; 0 if none is known.
+
+    The lists are written as SQL, which plans them as hashed sets; words are letters only.
+    """
     outside = sorted(set(known) - set(familiar))
     if not known:
         return F.lit(0.0)
-    of_known = F.size(F.filter(words, lambda w: w.isin(known)))
-    strange = F.size(F.filter(words, lambda w: w.isin(outside))) if outside else F.lit(0)
-    return F.when(of_known > 0, strange / of_known).otherwise(0.0)
+
+    def of(words: list[str]) -> Column:
+        listed = ", ".join(f"'{w}'" for w in words)
+        return F.expr(f"size(filter(words, w -> w IN ({listed})))") if words else F.lit(0)
+
+    return F.when(of(known) > 0, of(outside) / of(known)).otherwise(0.0)
 
 
 def log_sentence_length(sentences: Column) -> Column:
@@ -113,9 +119,9 @@ def fit_levels(documents: DataFrame, samples: DataFrame, text: str = "text", lab
         F.col(label).alias("label"), sentence_words(F.col(text)).alias("sentences"), F.xxhash64(text).alias("h")
     )
     rows = (
-        prepared.orderBy("h").limit(MAX_SAMPLES)
+        prepared.orderBy("h").limit(MAX_SAMPLES).withColumn("words", F.flatten("sentences"))
         .select("label", log_sentence_length(F.col("sentences")).alias("length"),
-                *[unfamiliar_share(F.flatten("sentences"), familiar, known).alias(f"s{i}") for i, familiar in enumerate(lists.values())])
+                *[unfamiliar_share(familiar, known).alias(f"s{i}") for i, familiar in enumerate(lists.values())])
         .collect()
     )
     y = np.array([r["label"] for r in rows], dtype=int)
@@ -147,5 +153,6 @@ def reading_levels(
     """
     model, familiar, known, _ = fit_levels(corpus, samples, text)
     prepared = documents.where(F.col(text).isNotNull()).select(F.col(key), sentence_words(F.col(text)).alias("sentences"))
-    share, length = unfamiliar_share(F.flatten("sentences"), familiar, known), log_sentence_length(F.col("sentences"))
+    prepared = prepared.withColumn("words", F.flatten("sentences"))
+    share, length = unfamiliar_share(familiar, known), log_sentence_length(F.col("sentences"))
     return prepared.select(key, share.alias("share"), length.alias("length")).select(key, model.level(F.col("share"), F.col("length")).alias("level"))
