@@ -123,7 +123,8 @@ def infer_delimiters(flagged: DataFrame, field: PackedField) -> DataFrame:
 
     ``flagged``: ``source, text`` with signs before candidate marks.  For each source
     and mark, the values cut at that mark alone are scored: consistency, 1 / (1 +
-    variance / mean of the piece counts), times regularity, the share of pieces
+    squared coefficient of variation of the logarithm of piece counts, up to 1,024
+    pieces, so that no single value of very many decides), times regularity, the share of pieces
     that are of the most frequent piece type, of which ``word`` and irregular pieces
     count nothing in titles.  Few observations are drawn towards the score of the
     mark over all sources, so thin sources follow the others.  All sums are partial
@@ -147,7 +148,7 @@ def infer_delimiters(flagged: DataFrame, field: PackedField) -> DataFrame:
         return F.when(F.length(value) == 0, "empty").otherwise(name)
 
     observed = cut.select(
-        "source", F.col("c.mark").alias("mark"), F.size("c.pieces").cast("double").alias("n"),
+        "source", F.col("c.mark").alias("mark"), F.least(F.log2(F.size("c.pieces").cast("double")), F.lit(10.0)).alias("n"),
         F.transform("c.pieces", kind).alias("kinds"))
     regular = [label for label, _ in field.pieces if label != "word"]
     sums = observed.groupBy("source", "mark").agg(
@@ -161,7 +162,7 @@ def infer_delimiters(flagged: DataFrame, field: PackedField) -> DataFrame:
         mean = F.col("s1") / F.col("values")
         variance = F.greatest(F.col("s2") / F.col("values") - mean * mean, F.lit(0.0))
         best = F.greatest(*[F.col(f"k_{r}") for r in regular]) if len(regular) > 1 else F.col(f"k_{regular[0]}")
-        return (F.lit(1.0) / (F.lit(1.0) + variance / mean)) * best / F.greatest(F.col("filled"), F.lit(1))
+        return (F.lit(1.0) / (F.lit(1.0) + variance / (mean * mean))) * best / F.greatest(F.col("filled"), F.lit(1))
 
     everywhere = total.select(F.col("mark").alias("g_mark"), score().alias("g_score"))
     mixed = (F.col("values") * F.col("score") + field.prior * F.col("g_score")) / (F.col("values") + field.prior)
