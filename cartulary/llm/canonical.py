@@ -21,13 +21,13 @@ FILLER, STRANGER = 0.25, 0.5
 
 
 def tokens_of(value: Column, numerals: bool = True) -> Column:
-    """Plain tokens of a value: folded letters and digits, Roman numerals as numbers."""
+    """Different plain tokens of a value: folded letters and digits, Roman numerals as numbers."""
     plain = F.trim(F.regexp_replace(F.replace(fold(value), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " "))
     tokens = F.filter(F.split(plain, " "), lambda t: t != "")
     if not numerals:
-        return tokens
+        return F.array_distinct(tokens)
     roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(roman, t), t))
+    return F.array_distinct(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(roman, t), t)))
 
 
 def _runs(tokens: Column, longest: Column | int) -> Column:
@@ -119,8 +119,9 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     terms = vocabulary.select("kind", F.col("seg").alias("term"), "exact", slack.alias("slack")).groupBy("kind", "term").agg(
         F.min("exact").alias("exact"), F.max("slack").alias("slack"))
     longest = terms.groupBy(F.col("kind").alias("l_kind")).agg(F.max(F.length("term")).alias("longest"))
-    distinct = values.select("kind", "tokens").distinct().where(F.size("tokens") > 0)
-    runs = distinct.select("kind", "tokens", F.inline(_runs(F.col("tokens"), JOINED)))
+    # Runs refer to their value by its digest, so a long value is not repeated in each of them.
+    distinct = values.select("kind", "tokens").distinct().where(F.size("tokens") > 0).withColumn("vid", F.md5(F.array_join("tokens", " ")))
+    runs = distinct.select("kind", "vid", F.inline(_runs(F.col("tokens"), JOINED)))
     # One row per kind; a run longer than any term by more than two edits can match none.
     segments = runs.select("kind", "seg").distinct().join(F.broadcast(longest), (F.col("kind") == F.col("l_kind")) & (F.length("seg") <= F.col("longest") + 2)).select("kind", "seg")
     left = segments.select("kind", "seg", _digits(F.col("seg")).alias("d"), F.explode(_deletions(F.col("seg"))).alias("rest"))
@@ -140,14 +141,14 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     met = (
         runs.join(repaired, ["kind", "seg"])
         .join(place, ["kind", "term"])
-        .groupBy("kind", "tokens", "form_id")
+        .groupBy("kind", "vid", "form_id")
         .agg(F.collect_set(F.struct("lo", "hi", "f_lo", "f_hi", "sim")).alias("met"))
     )
     # Words of a value that the vocabulary knows, whatever spelling they belong to.
     known = runs.where(F.col("hi") - F.col("lo") == 1).join(repaired.where(F.col("sim") >= 0.6).select("kind", "seg").distinct(), ["kind", "seg"]).groupBy(
-        "kind", "tokens").agg(F.collect_set("lo").alias("known"))
+        "kind", "vid").agg(F.collect_set("lo").alias("known"))
     joined = met.join(forms.select(F.col("form_id").alias("id"), "token", F.col("tokens").alias("form"), "weights"), F.col("form_id") == F.col("id")).join(
-        known, ["kind", "tokens"], "left")
+        known, ["kind", "vid"], "left").join(distinct, ["kind", "vid"])
 
     def covers(lo: str, hi: str):
         return lambda p: F.coalesce(F.array_max(F.transform(F.filter("met", lambda m: (m[lo] <= p) & (p < m[hi])), lambda m: m["sim"])), F.lit(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: A word of fewer documents than this share is a name or a slip and says nothing about difficulty.
 KNOWN_SHARE = 0.01
 #: Document shares from which a word can count as familiar; the best on the samples is taken.
-FAMILIAR_SHARES = (0.2, 0.22, 0.24, 0.25, 0.255, 0.26, 0.265, 0.28, 0.3, 0.35, 0.4)
+FAMILIAR_SHARES = (0.15, 0.2, 0.22, 0.24, 0.25, 0.255, 0.26, 0.265, 0.28, 0.3, 0.35, 0.4, 0.5, 0.65)
 #: Labelled samples that the level model is fitted on at most.
 MAX_SAMPLES = 5_000
 #: Words below which a piece is no sentence, and the share of the pooled spread in that of a level.
