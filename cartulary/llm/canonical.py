@@ -20,14 +20,19 @@ LEAST_SCORE, LEAST_COVER, LEAST_LETTERS = 0.62, 0.7, 0.6
 FILLER, STRANGER = 0.25, 0.5
 
 
+def _once(tokens: Column) -> Column:
+    marked = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.when(F.length(t) == 1, i).otherwise(-1).alias("i")))
+    return F.transform(F.array_distinct(marked), lambda m: m["t"])
+
+
 def tokens_of(value: Column, numerals: bool = True) -> Column:
-    """Different plain tokens of a value: folded letters and digits, Roman numerals as numbers."""
+    """Plain tokens of a value: folded letters and digits, Roman numerals as numbers; words (not single letters) once each."""
     plain = F.trim(F.regexp_replace(F.replace(fold(value), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " "))
     tokens = F.filter(F.split(plain, " "), lambda t: t != "")
     if not numerals:
-        return F.array_distinct(tokens)
+        return _once(tokens)
     roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
-    return F.array_distinct(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(roman, t), t)))
+    return _once(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(roman, t), t)))
 
 
 def _runs(tokens: Column, longest: Column | int) -> Column:

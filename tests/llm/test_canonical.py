@@ -11,7 +11,7 @@ REFERENCE = [
 CASES = {
     "VEXOR 20": "vexor-20", "vexor_2": "vexor-2", "2, Vexor": "vexor-2", "Véxör 2": "vexor-2", "Vеxоr 2": "vexor-2", "v.x.2.": "vexor-2", "vx20": "vexor-20", "Vexor": "", "Vexor 3": "", "the Vexor 2 games": "vexor-2",
     "orbia": "orbita", "Orbita-Pnket-Colr": "orbita-pocket-color", "color pocket orbita": "orbita-pocket-color", "OrbitaPocketColor": "orbita-pocket-color", "KelvoII": "kelvo-ii", "Kelvo 2": "kelvo-ii", "kelvo iii": "kelvo-iii",
-    "Kelvo": "", "MirelleHandhelldSP": "mirelle-handheld-sp", "Mirelle Handheld system": "mirelle-handheld", "Zanror8-Bit": "zandor-8-bit", "Gadali": "", "???": "", "Console 9": "", "fidoge-3": "", "n/a": "", "mhsp ": "mirelle-handheld-sp",
+    "Kelvo": "", "MirelleHandhelldSP": "mirelle-handheld-sp", "Mirelle Handheld system": "mirelle-handheld", "Zanror8-Bit": "zandor-8-bit", "Gadali": "", "???": "", "Console 9": "", "fidoge-3": "", "n/a": "", "mhsp ": "mirelle-handheld-sp", "M.H.H.": "mirelle-handheld", "vexor 2 / Vexor 2": "vexor-2",
 }
 
 
