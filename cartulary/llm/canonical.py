@@ -21,8 +21,9 @@ FILLER, STRANGER = 0.25, 0.5
 
 
 def _once(tokens: Column) -> Column:
-    marked = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.when(F.length(t) == 1, i).otherwise(-1).alias("i")))
-    return F.transform(F.array_distinct(marked), lambda m: m["t"])
+    # Distinct strings are found by hash; a sign and the place keep single letters apart.
+    marked = F.transform(tokens, lambda t, i: F.when(F.length(t) == 1, F.concat(t, F.lit("#"), i.cast("string"))).otherwise(t))
+    return F.transform(F.array_distinct(marked), lambda m: F.substring_index(m, "#", 1))
 
 
 def tokens_of(value: Column, numerals: bool = True) -> Column:
@@ -47,7 +48,7 @@ def _runs(tokens: Column, longest: Column | int) -> Column:
 
     runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_))
     whole = F.array(F.struct(F.array_join(tokens, "").alias("seg"), F.lit(0).alias("lo"), n.cast("int").alias("hi")))
-    return F.when(n > 0, F.array_distinct(F.concat(runs, whole)))
+    return F.when(n > longest, F.concat(runs, whole)).when(n > 0, runs)
 
 
 def _deletions(text: Column) -> Column:
