@@ -171,10 +171,10 @@ def fuzzy_match(members: DataFrame, files: DataFrame) -> DataFrame:
     title = lambda p: F.lower(F.trim(F.regexp_replace(F.regexp_replace(file_stem(p), r"\([^()]*\)|\[[^\[\]]*\]", ""), r"\s+", " ")))
     words = lambda t: F.array_distinct(F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
-    def side(df: DataFrame, key: str, path: Column) -> DataFrame:
-        rows = df.select(F.col(key).alias("id"), path.alias("path"), "size", "crc32", "md5", "sha1")
+    def side(df: DataFrame, key: str, name: Column, path: Column) -> DataFrame:
+        rows = df.select(F.col(key).alias("id"), path.alias("path"), name.alias("name"), "size", "crc32", "md5", "sha1")
         known = sum((F.col(d).isNotNull().cast("int") for d in ("crc32", "md5", "sha1")), F.lit(0))
-        return rows.select("*", F.regexp_extract("path", r"([^/\\:]*)$", 1).alias("base"), title(F.col("path")).alias("title"), known.alias("known"))
+        return rows.select("*", F.regexp_extract("name", r"([^/\\]*)$", 1).alias("base"), title(F.col("name")).alias("title"), known.alias("known")).drop("name")
 
     def keyed(df: DataFrame) -> DataFrame:
         size, base = F.col("size").cast("string"), F.col("base")
@@ -187,11 +187,11 @@ def fuzzy_match(members: DataFrame, files: DataFrame) -> DataFrame:
         listed = F.array(*[F.struct(F.lit(k).alias("b"), F.md5(v).alias("v")) for k, v in combinations.items()])
         return df.select("*", F.inline(F.filter(listed, lambda x: x["v"].isNotNull())))
 
-    right = side(files, "file_id", F.concat("source", F.lit("::"), "relative"))
+    right = side(files, "file_id", F.col("relative"), F.concat("source", F.lit("::"), "relative"))
     record = F.struct(*[F.col(c) for c in right.columns])
     best = keyed(right).groupBy("b", "v").agg(F.min_by(record, F.struct((-F.col("known")).alias("k"), "path", "id")).alias("f"))
-    left = side(members, "rom_id", F.col("name")).select(*[F.col(c).alias(f"l_{c}") for c in right.columns])
-    met = keyed(side(members, "rom_id", F.col("name"))).select(F.col("id").alias("rom_id"), "b", "v").join(best, ["b", "v"]).select("rom_id", "f").distinct()
+    left = side(members, "rom_id", F.col("name"), F.col("name")).select(*[F.col(c).alias(f"l_{c}") for c in right.columns])
+    met = keyed(side(members, "rom_id", F.col("name"), F.col("name"))).select(F.col("id").alias("rom_id"), "b", "v").join(best, ["b", "v"]).select("rom_id", "f").distinct()
     full = met.join(left, F.col("rom_id") == F.col("l_id"))
     same = lambda c: F.coalesce(F.col(f"l_{c}") == F.col(f"f.{c}"), F.lit(False))
     lw, rw = words(F.col("l_title")), words(F.col("f.title"))

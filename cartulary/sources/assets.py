@@ -42,7 +42,10 @@ SIGNATURES = (
 
 
 def list_files(spark: SparkSession, paths: list[str], exclude: list[str] | None = None) -> DataFrame:
-    """``path, size, mtime`` of all files below the paths, once each, without junk and exclusions; contents are not read."""
+    """``path, size, mtime`` of all files below the paths, once each, without junk and exclusions; contents are not read.
+
+    Empty files are not listed, as Spark plans no read for them; a member of size 0 needs no file (see ``generate_plan``).
+    """
     def listing(where: list[str]) -> DataFrame:
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
         return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).dropDuplicates(["path"])
@@ -100,7 +103,7 @@ def with_paddings(files: DataFrame, largest: int = 1 << 26) -> DataFrame:
     Contents whose size is a power of two, empty ones and ones above ``largest`` have none.
     """
     size = F.length("content")
-    full = F.shiftleft(F.lit(1).cast("bigint"), F.ceil(F.log2(size.cast("double"))).cast("int")).cast("int")
+    full = F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double")))).cast("int")
     trimmed = (size > 0) & (size <= largest) & (size.bitwiseAND(size - 1) != 0)
 
     def one(fill: int) -> Column:
