@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word of fewer documents than this share is a name or a slip and says nothing about difficulty.
-KNOWN_SHARE = 0.01
+#: A word of fewer documents than this share is a name, a slip or a quotation's and says nothing about difficulty.
+KNOWN_SHARE = 0.05
+#: Share of known words from which a sentence counts; others are quotations, listings or foreign text.
+KNOWN_IN_SENTENCE = 0.5
 #: Document shares from which a word can count as familiar; the best on the samples is taken.
 FAMILIAR_SHARES = (0.15, 0.2, 0.22, 0.24, 0.25, 0.255, 0.26, 0.265, 0.28, 0.3, 0.35, 0.4, 0.5, 0.65)
 #: Labelled samples that the level model is fitted on at most.
@@ -45,18 +47,26 @@ def sentence_words(text: Column) -> Column:
     return F.filter(F.transform(pieces, words_of), lambda w: F.size(w) >= LEAST_SENTENCE)
 
 
-def unfamiliar_share(familiar: list[str], known: list[str]) -> Column:
-    """Share of the known ones of the column ``words`` that are outside the familiar list; 0 if none is known.
+def _listed(words: list[str]) -> str:
+    """Words as an SQL list, which is planned as a hashed set; words are letters only."""
+    return ", ".join(f"'{w}'" for w in words)
 
-    The lists are written as SQL, which plans them as hashed sets; words are letters only.
-    """
+
+def known_sentences(known: list[str]) -> Column:
+    """Those of the column ``sentences`` in which enough words are known."""
+    if not known:
+        return F.col("sentences")
+    return F.expr(f"filter(sentences, s -> size(filter(s, w -> w IN ({_listed(known)}))) >= {KNOWN_IN_SENTENCE} * size(s))")
+
+
+def unfamiliar_share(familiar: list[str], known: list[str]) -> Column:
+    """Share of the known ones of the column ``words`` that are outside the familiar list; 0 if none is known."""
     outside = sorted(set(known) - set(familiar))
     if not known:
         return F.lit(0.0)
 
     def of(words: list[str]) -> Column:
-        listed = ", ".join(f"'{w}'" for w in words)
-        return F.expr(f"size(filter(words, w -> w IN ({listed})))") if words else F.lit(0)
+        return F.expr(f"size(filter(words, w -> w IN ({_listed(words)})))") if words else F.lit(0)
 
     return F.when(of(known) > 0, of(outside) / of(known)).otherwise(0.0)
 
@@ -119,7 +129,7 @@ def fit_levels(documents: DataFrame, samples: DataFrame, text: str = "text", lab
         F.col(label).alias("label"), sentence_words(F.col(text)).alias("sentences"), F.xxhash64(text).alias("h")
     )
     rows = (
-        prepared.orderBy("h").limit(MAX_SAMPLES).withColumn("words", F.flatten("sentences"))
+        prepared.orderBy("h").limit(MAX_SAMPLES).withColumn("sentences", known_sentences(known)).withColumn("words", F.flatten("sentences"))
         .select("label", log_sentence_length(F.col("sentences")).alias("length"),
                 *[unfamiliar_share(familiar, known).alias(f"s{i}") for i, familiar in enumerate(lists.values())])
         .collect()
@@ -144,7 +154,7 @@ def reading_levels(
     Familiar words are those of a high share of the documents of ``corpus``, all of
     which are counted; difficulty is the share of a document's words outside that list
     (words of hardly any document, names above all, are no evidence) together with its
-    average sentence length.  Level and familiar share are calibrated on the labelled
+    average sentence length; sentences of mostly unknown words do not count.  Level and familiar share are calibrated on the labelled
     samples, of which at most ``MAX_SAMPLES`` are used.  Null texts have no level;
     texts without a sentence or a known word count as 0 in that measure.
 
@@ -153,6 +163,6 @@ def reading_levels(
     """
     model, familiar, known, _ = fit_levels(corpus, samples, text)
     prepared = documents.where(F.col(text).isNotNull()).select(F.col(key), sentence_words(F.col(text)).alias("sentences"))
-    prepared = prepared.withColumn("words", F.flatten("sentences"))
+    prepared = prepared.withColumn("sentences", known_sentences(known)).withColumn("words", F.flatten("sentences"))
     share, length = unfamiliar_share(familiar, known), log_sentence_length(F.col("sentences"))
     return prepared.select(key, share.alias("share"), length.alias("length")).select(key, model.level(F.col("share"), F.col("length")).alias("level"))
