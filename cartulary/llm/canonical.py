@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.text import fold
+from cartulary.session import checkpointed
 
 #: Roman numerals that stand for numbers when they are a token.
 ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
@@ -114,8 +115,10 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
 
     Values without tokens, of unknown kinds or of an empty list map to ``''``.  Only
     distinct values and tokens are shuffled, so frequency of a value has no cost.
+    Spellings, distinct values and corrected runs are written to the checkpoint folder.
     """
-    forms = reference_forms(reference)
+    # What later steps use again is written once: spellings, distinct values, corrected runs.
+    forms = checkpointed(reference_forms(reference))
     vocabulary = forms.select(
         "kind", "form_id", "exact", "tokens", F.size("tokens").alias("n"), F.inline(_runs(F.col("tokens"), F.size("tokens")))
     ).where(~F.col("exact") | ((F.col("lo") == 0) & (F.col("hi") == F.col("n"))))
@@ -126,7 +129,8 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         F.min("exact").alias("exact"), F.max("slack").alias("slack"))
     longest = terms.groupBy(F.col("kind").alias("l_kind")).agg(F.max(F.length("term")).alias("longest"))
     # Runs refer to their value by its digest, so a long value is not repeated in each of them.
-    distinct = values.select("kind", "tokens").distinct().where(F.size("tokens") > 0).withColumn("vid", F.md5(F.array_join("tokens", " ")))
+    every = checkpointed(values.select("kind", "tokens").distinct())
+    distinct = every.where(F.size("tokens") > 0).withColumn("vid", F.md5(F.array_join("tokens", " ")))
     runs = distinct.select("kind", "vid", F.inline(_runs(F.col("tokens"), JOINED)))
     # One row per kind; a run longer than any term by more than two edits can match none.
     segments = runs.select("kind", "seg").distinct().join(F.broadcast(longest), (F.col("kind") == F.col("l_kind")) & (F.length("seg") <= F.col("longest") + 2)).select("kind", "seg")
@@ -136,7 +140,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     deleted = F.greatest(F.length("seg"), F.length("term")) - F.length("rest")
     shorter = F.least(F.length("seg"), F.length("term"))
     cost = F.col("steps") + 0.25 * (F.levenshtein("seg", "term") - F.col("steps"))
-    repaired = (
+    repaired = checkpointed(
         left.join(right, ["kind", "d", "rest"])
         .groupBy("kind", "seg", "term", "exact", "slack").agg(F.min(deleted).alias("steps"))
         .where((F.col("seg") == F.col("term")) | (~F.col("exact") & (shorter >= ONE_EDIT_FROM)
@@ -183,7 +187,6 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         .groupBy("kind", "tokens", "token").agg(F.max(F.struct("score", "size")).alias("b"))
         .groupBy("kind", "tokens").agg(F.max_by("token", F.struct(F.col("b.score"), F.col("b.size"))).alias("token"), F.max("b.score").alias("score"))
     )
-    every = values.select("kind", "tokens").distinct()
     return every.join(best, ["kind", "tokens"], "left").select("kind", "tokens", F.coalesce("token", F.lit("")).alias("token"), "score")
 
 
