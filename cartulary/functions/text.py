@@ -34,10 +34,10 @@ def is_blank(col: Column) -> Column:
     return col.isNull() | (F.length(strip(col)) == 0)
 
 
-def is_given(col: Column) -> Column:
-    """True unless ``col`` is blank or only a sign or word for "not known"."""
-    plain = F.lower(strip(col))
-    return F.coalesce(plain.rlike(r"[\p{L}\p{N}]") & ~plain.isin(*UNKNOWN_WORDS), F.lit(False))
+def is_given(col: Column, plain: bool = False) -> Column:
+    """True unless ``col`` is blank or only a sign or word for "not known"; ``plain`` if it is stripped and lower already."""
+    value = col if plain else F.lower(strip(col))
+    return F.coalesce(value.rlike(r"[\p{L}\p{N}]") & ~value.isin(*UNKNOWN_WORDS), F.lit(False))
 
 
 def _folding() -> tuple[str, str]:
