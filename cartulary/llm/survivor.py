@@ -20,39 +20,37 @@ def _plain(col: Column) -> Column:
     return F.lower(strip(col))
 
 
-def quality_rank(quality: Column) -> Column:
-    """0 for none given up to 6 for verified."""
-    rank = F.lit(0)
-    for i, name in enumerate(QUALITY_ORDER, start=1):
-        rank = F.when(_plain(quality) == name, i).otherwise(rank)
-    return rank
+def quality_rank(plain: Column) -> Column:
+    """0 for none given up to 6 for verified, of a plain quality."""
+    ranks = F.create_map(*[F.lit(x) for i, name in enumerate(QUALITY_ORDER, start=1) for x in (name, i)])
+    return F.coalesce(F.try_element_at(ranks, plain), F.lit(0))
 
 
 def given_languages(languages: Column) -> Column:
     """The different languages that are given, case and outer blanks aside, in order."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(languages, is_given), _plain)))
+    plain = F.array_distinct(F.transform(F.coalesce(languages, F.array().cast("array<string>")), _plain))
+    return F.array_sort(F.filter(plain, lambda x: is_given(x, plain=True)))
 
 
-def revision_key(revision: Column) -> Column:
+#: A revision: its word and its number or letters, brackets aside.
+_REVISION = r"^\(?\s*(prg|v|ver|version|rev|revision)[\s._-]*(\d+(?:\.\d+)*|[a-z]+)\s*\)?$"
+
+
+def revision_key(word: Column, mark: Column) -> Column:
     """``struct(kind, numbers)`` in the order of revisions: PRG, version, numbered Rev, lettered Rev, others.
 
     Numbers compare one by one and absent ones are 0; letters compare by length, then alphabet.
     """
-    text = F.regexp_replace(_plain(revision), r"^\(\s*|\s*\)$", "")
-    rules = [
-        (4, r"^prg\s*[-_.]?\s*(\d+)$"),
-        (3, r"^v(?:er|ersion)?\.?\s*(\d+(?:\.\d+)*)$"),
-        (2, r"^rev(?:ision)?\.?\s*(\d+(?:\.\d+)*)$"),
-    ]
-    key = F.struct(F.lit(0).alias("kind"), F.array().cast("array<bigint>").alias("numbers"))
-    letters = F.regexp_extract(text, r"^rev(?:ision)?\.?\s*([a-z]+)$", 1)
-    codes = F.transform(F.split(letters, ""), lambda c: F.ascii(c).cast("bigint"))
-    key = F.when(letters != "", F.struct(F.lit(1).alias("kind"), F.concat(F.array(F.length(letters).cast("bigint")), codes).alias("numbers"))).otherwise(key)
-    for kind, pattern in reversed(rules):
-        found = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"(?:\.0+)+$", "")
-        numbers = F.transform(F.split(found, r"\."), lambda n: F.coalesce(n.try_cast("bigint"), F.lit((1 << 63) - 1)))
-        key = F.when(found != "", F.struct(F.lit(kind).alias("kind"), numbers.alias("numbers"))).otherwise(key)
-    return key
+    numbered = mark.rlike("^[0-9]")
+    kind = (
+        F.when(word == "", 0).when(word.startswith("prg") & numbered, 4).when(word.startswith("v") & numbered, 3)
+        .when(word.startswith("rev") & numbered, 2).when(word.startswith("rev"), 1).otherwise(0)
+    )
+    trimmed = F.regexp_replace(mark, r"(?:\.0+)+$", "")
+    numbers = F.transform(F.split(trimmed, r"\."), lambda n: F.coalesce(n.try_cast("bigint"), F.lit((1 << 63) - 1)))
+    codes = F.concat(F.array(F.length(mark).cast("bigint")), F.transform(F.split(mark, ""), lambda c: F.ascii(c).cast("bigint")))
+    none = F.array().cast("array<bigint>")
+    return F.struct(kind.alias("kind"), F.when(kind >= 2, numbers).when(kind == 1, codes).otherwise(none).alias("numbers"))
 
 
 def long_votes(candidates: DataFrame) -> DataFrame:
@@ -65,29 +63,30 @@ def long_votes(candidates: DataFrame) -> DataFrame:
     ratios matter.
     """
     none = F.array().cast("array<bigint>")
-    rank = quality_rank(F.col("quality"))
-    languages = given_languages(F.col("languages"))
-    revision = revision_key(F.col("revision"))
+    # Plain fields first, so that each is stripped and matched once however often it is used below.
+    plain = candidates.where(F.col("title").isNotNull() & F.col("cand_id").isNotNull()).select(
+        "title", "cand_id", "updated_at", _plain(F.col("region")).alias("region"), given_languages(F.col("languages")).alias("languages"),
+        _plain(F.col("quality")).alias("quality"), _plain(F.col("revision")).alias("revision"))
+    plain = plain.select(
+        "*", quality_rank(F.col("quality")).alias("rank"), F.coalesce(F.regexp_extract("revision", _REVISION, 1), F.lit("")).alias("word"),
+        F.coalesce(F.regexp_extract("revision", _REVISION, 2), F.lit("")).alias("mark"))
+    plain = plain.withColumn("order", revision_key(F.col("word"), F.col("mark")))
     days = F.unix_micros(F.col("updated_at").cast("timestamp")) / F.lit(86_400e6) - F.lit(18_262.0)
 
     def field(name: str, value: Column, given: Column, kind: Column, numbers: Column) -> Column:
         return F.struct(
-            F.lit(name).alias("field"), F.when(given, value).alias("value"), F.coalesce(given, F.lit(False)).alias("given"),
+            F.lit(name).alias("field"), F.when(given, value).alias("value"), given.alias("given"),
             F.struct(kind.cast("int").alias("kind"), numbers.alias("numbers")).alias("standing"))
 
     fields = F.array(
-        field("region", _plain(F.col("region")), is_given(F.col("region")), F.lit(0), none),
-        field("languages", F.array_join(languages, ","), F.size(languages) > 0, F.size(languages), none),
-        field("quality", _plain(F.col("quality")), is_given(F.col("quality")), F.lit(0), none),
-        field("revision", _plain(F.col("revision")), is_given(F.col("revision")), revision["kind"], revision["numbers"]),
-    )
-    return (
-        candidates.where(F.col("title").isNotNull() & F.col("cand_id").isNotNull())
-        .select("title", "cand_id",
-                F.struct(rank.alias("quality"), F.col("updated_at").alias("at"), (-F.col("cand_id")).alias("id")).alias("trust"),
-                (F.pow(F.lit(TRUST_FACTOR), rank) * F.pow(F.lit(2.0), F.coalesce(days, F.lit(0.0)) / HALF_LIFE_DAYS)).alias("weight"),
-                F.inline(fields))
+        field("region", F.col("region"), is_given(F.col("region"), plain=True), F.lit(0), none),
+        field("languages", F.array_join("languages", ","), F.size("languages") > 0, F.size("languages"), none),
+        field("quality", F.col("quality"), is_given(F.col("quality"), plain=True), F.lit(0), none),
+        field("revision", F.col("revision"), is_given(F.col("revision"), plain=True), F.col("order.kind"), F.col("order.numbers")),
     )
+    return plain.select(
+        "title", "cand_id", F.struct(F.col("rank").alias("quality"), F.col("updated_at").alias("at"), (-F.col("cand_id")).alias("id")).alias("trust"),
+        (F.pow(F.lit(TRUST_FACTOR), "rank") * F.pow(F.lit(2.0), F.coalesce(days, F.lit(0.0)) / HALF_LIFE_DAYS)).alias("weight"), F.inline(fields))
 
 
 def elect(candidates: DataFrame, votes: str = "sum") -> DataFrame:
