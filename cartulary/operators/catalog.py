@@ -14,16 +14,23 @@ from cartulary.operators.entries import in_force
 from cartulary.operators.hierarchy import climb
 
 
-def catalog_entries(games: DataFrame) -> DataFrame:
-    """Entries in force that are not removed."""
-    columns = ("dat_id", "id", "name", "description", "cloneof", "romof", "cloneofid", "isbios", "isdevice", "manufacturer", "genre", "category", "release")
-    entries = in_force(games, *columns)
-    return entries.where(~F.col("removed")).drop("removed", "first_delivered", "delivered_at")
+ENTRY_COLUMNS = ("dat_id", "id", "name", "description", "cloneof", "romof", "cloneofid", "isbios", "isdevice", "manufacturer", "genre", "category", "release")
+
+
+def catalog_entries(games: DataFrame, *columns: str) -> DataFrame:
+    """Entries in force that are not removed, with the ``columns`` (all by default); others are not read."""
+    entries = in_force(games, *(columns or ENTRY_COLUMNS))
+    return entries.where(~F.col("removed")).drop("removed", "first_delivered", "delivered_at", *({"removed_at"} - set(columns)))
 
 
 def catalog_members(roms: DataFrame, entries: DataFrame) -> DataFrame:
-    """Members of the entries with normal digests and identity; repeated rows count once."""
-    rows = roms.select("rom_id", "game_id", "ord", "kind", "name", "size", "crc32", "md5", "sha1", "sha256", "status", "merge", "bios").distinct()
+    """Members of the entries with normal digests and identity; repeated rows count once.
+
+    Repeats are dropped over all columns, so an entry with a third of all members is
+    spread there, and its partition is split by adaptive execution in the join.
+    """
+    columns = ["rom_id", "game_id", "ord", "kind", "name", "size", "crc32", "md5", "sha1", "sha256", "status", "merge", "bios"]
+    rows = roms.where(F.col("game_id").isNotNull()).select(*columns).distinct()
     digests = {d: normal_digest(F.col(d), d) for d in ("crc32", "md5", "sha1", "sha256")}
     kept = entries.select(F.col("game_id").alias("e_id"), F.col("dat_id").alias("e_dat"))
     return (

@@ -29,12 +29,12 @@ def query(sql: str | None = None):
     return register
 
 
-def _entries(spark: SparkSession, d: str) -> DataFrame:
-    return C.catalog_entries(table(spark, d, "games"))
+def _entries(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return C.catalog_entries(table(spark, d, "games"), *columns)
 
 
 def _members(spark: SparkSession, d: str, entries: DataFrame | None = None) -> DataFrame:
-    return C.catalog_members(table(spark, d, "roms"), entries if entries is not None else _entries(spark, d))
+    return C.catalog_members(table(spark, d, "roms"), entries if entries is not None else _entries(spark, d, "dat_id"))
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +190,7 @@ SELECT e.game_id, sha256(e.name || '|' || coalesce(m.ids, '')) AS identity FROM
   (SELECT game_id, string_agg(identity, ',' ORDER BY identity) AS ids FROM members WHERE kind <> 'disk' GROUP BY 1) m USING (game_id)""")
 def entry_identities(spark, d):
     """Identity of each entry: name and sorted member identities."""
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name")
     return C.entry_identity(entries, _members(spark, d, entries)).select("game_id", F.sha2("identity", 256).alias("identity"))
 
 
@@ -202,7 +202,7 @@ def name_flags(spark, d):
     """Every naming flag, the retail test and the type of each entry."""
     name, category, maker = F.col("name"), F.col("category"), F.col("manufacturer")
     flags = [N.flag(w, name, category, maker).alias(f"is_{w}") for w in (*N.FLAGS, "bad", "bootleg")]
-    return _entries(spark, d).select(
+    return _entries(spark, d, "name", "isbios", "isdevice", "category", "manufacturer").select(
         "game_id", *flags, N.is_bios(F.col("isbios"), name).alias("is_bios"), N.is_retail(name, category, maker).alias("is_retail"),
         N.entry_type(name, F.col("isbios"), F.col("isdevice"), category, maker).alias("entry_type"))
 
@@ -210,20 +210,20 @@ def name_flags(spark, d):
 @query(f"WITH {_ENTRIES} SELECT game_id, {_REVISION} AS revision FROM entries")
 def revisions(spark, d):
     """Revision number of each entry's name."""
-    return _entries(spark, d).select("game_id", N.revision(F.col("name")).alias("revision"))
+    return _entries(spark, d, "name").select("game_id", N.revision(F.col("name")).alias("revision"))
 
 
 @query(f"WITH {_ENTRIES}, {_LOCALE} SELECT game_id, array_to_string(regions, ',') AS regions, array_to_string(languages, ',') AS languages FROM locale")
 def locales(spark, d):
     """Regions and languages of each entry."""
     name, release = F.col("name"), F.col("release")
-    return _entries(spark, d).select("game_id", F.array_join(N.regions(name, release), ",").alias("regions"), F.array_join(N.languages(name, release), ",").alias("languages"))
+    return _entries(spark, d, "name", "release").select("game_id", F.array_join(N.regions(name, release), ",").alias("regions"), F.array_join(N.languages(name, release), ",").alias("languages"))
 
 
 @query(f"WITH {_ENTRIES}, {_STRIPPED} SELECT game_id, plain_name, stripped_name FROM stripped")
 def stripped_titles(spark, d):
     """Names without region and language, and without any variant mark."""
-    plain = _entries(spark, d).select("game_id", N.strip_locale(F.col("name")).alias("plain_name"))
+    plain = _entries(spark, d, "name").select("game_id", N.strip_locale(F.col("name")).alias("plain_name"))
     return plain.select("game_id", "plain_name", N.strip_variants(F.col("plain_name")).alias("stripped_name"))
 
 
@@ -233,14 +233,14 @@ def stripped_titles(spark, d):
 @query(f"WITH {_ENTRIES}, {_GROUPED} SELECT dat_id, count(*) AS entries, count(DISTINCT group_name) AS groups, count(DISTINCT group_name) > 0 AND count(DISTINCT group_name) <> count(*) AS has_parents FROM grouped GROUP BY 1")
 def parent_info(spark, d):
     """Groups of parents and clones in each catalog."""
-    return C.parent_info(C.group_entries(_entries(spark, d)))
+    return C.parent_info(C.group_entries(_entries(spark, d, "dat_id", "id", "name", "cloneof", "cloneofid")))
 
 
 @query(f"""WITH {_ENTRIES}, {_STRIPPED}, elected AS (SELECT dat_id, stripped_name, coalesce(min(game_id) FILTER (plain_name = stripped_name), min(game_id)) AS parent_id FROM stripped GROUP BY 1, 2)
 SELECT s.game_id, s.stripped_name AS stripped, e.parent_id FROM stripped s JOIN elected e ON e.dat_id IS NOT DISTINCT FROM s.dat_id AND e.stripped_name IS NOT DISTINCT FROM s.stripped_name""")
 def infer_parents(spark, d):
     """Parents inferred from stripped titles."""
-    return C.infer_parents(_entries(spark, d)).select("game_id", "stripped", "parent_id")
+    return C.infer_parents(_entries(spark, d, "dat_id", "name")).select("game_id", "stripped", "parent_id")
 
 
 @query(f"""WITH {_ENTRIES}, {_MEMBERS}, t AS (SELECT dat_id, game_id, name AS entry_name, {_DISC.format('name')} AS title FROM entries),
@@ -250,7 +250,7 @@ c AS (SELECT dat_id, title, count(*) FILTER (n > 1) AS clashes FROM (SELECT dat_
 SELECT r.dat_id, r.title, s.entries, r.game_id, r.rom_id, CASE WHEN s.entries > 1 AND c.clashes > 1 THEN entry_name || '/' || m_name ELSE m_name END AS name FROM r JOIN s USING (dat_id, title) JOIN c USING (dat_id, title)""")
 def merge_discs(spark, d):
     """Members of entries that are discs of one title, under that title."""
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name")
     return C.merge_discs(entries, _members(spark, d, entries))
 
 
@@ -259,7 +259,7 @@ def merge_discs(spark, d):
 SELECT dat_id, game_id, name, identity_sha256, copies FROM (SELECT *, count(*) OVER (PARTITION BY identity_sha256) AS copies, row_number() OVER (PARTITION BY identity_sha256 ORDER BY dat_id, game_id) AS rn FROM i) WHERE rn = 1""")
 def combine_catalogs(spark, d):
     """All catalogs as one, equal entries once."""
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name")
     return C.combine_catalogs(entries, _members(spark, d, entries))
 
 
@@ -279,7 +279,7 @@ def filter_entries(spark, d):
 @query(f"WITH {_ENTRIES} SELECT dat_id, count(*) FILTER ({_RETAIL}) AS retail, count(*) FILTER ({_flag_sql('verified')}) AS verified, count(*) FILTER (NOT {_flag_sql('verified')}) AS unverified, count(*) FILTER ({_flag_sql('unlicensed')}) AS unlicensed, count(*) FILTER (coalesce(isdevice = 'yes', false)) AS devices FROM entries GROUP BY 1")
 def filter_counts(spark, d):
     """What the single filters leave of each catalog."""
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name", "isbios", "isdevice", "category", "manufacturer")
     count = lambda **k: F.count_if(C.passes(C.Filters(**k)))
     return entries.groupBy("dat_id").agg(
         count(only_retail=True).alias("retail"), count(no=("unverified",)).alias("verified"), count(only=("unverified",)).alias("unverified"),
@@ -301,7 +301,7 @@ def prefer_one(spark, d):
 
 def _merged(mode: str):
     def run(spark, d):
-        entries = _entries(spark, d)
+        entries = _entries(spark, d, "dat_id", "id", "name", "cloneof", "cloneofid", "romof", "isbios")
         return C.merge_split(entries, _members(spark, d, entries), mode)
 
     run.__name__ = f"merge_{mode}"
@@ -342,7 +342,7 @@ for _mode, _sql in {
 @query(f"""WITH RECURSIVE {_ENTRIES}, {_ROOTS} SELECT game_id, root_id FROM roots""")
 def romof_roots(spark, d):
     """Topmost ancestors by romof over unbroken chains."""
-    return C.romof_roots(_entries(spark, d))
+    return C.romof_roots(_entries(spark, d, "dat_id", "name", "romof"))
 
 
 # -- matching ------------------------------------------------------------------
@@ -375,7 +375,7 @@ def unmatched_files(spark, d):
 @query(f"{_STATUS} SELECT game_id, name, members, found, status, {_RETAIL} AS retail, {_BIOS} AS bios FROM status")
 def status_report(spark, d):
     """Found, incomplete or missing: the state of every entry."""
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name", "isbios", "category", "manufacturer")
     members = _members(spark, d, entries)
     status = M.entry_status(entries, members, M.tiered_match(members, _files(spark, d)))
     name, category, maker = F.col("name"), F.col("category"), F.col("manufacturer")
@@ -386,7 +386,7 @@ def status_report(spark, d):
 SELECT dat_id, kind, count(*) AS entries, count(*) FILTER (status = 'FOUND') AS found, count(*) FILTER (status = 'INCOMPLETE') AS incomplete, count(*) FILTER (status = 'MISSING') AS missing FROM kinds GROUP BY 1, 2""")
 def status_counts(spark, d):
     """Entries of each catalog and kind by status."""
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name", "isbios", "isdevice", "category", "manufacturer")
     members = _members(spark, d, entries)
     status = M.entry_status(entries, members, M.tiered_match(members, _files(spark, d)))
     name, category, maker = F.col("name"), F.col("category"), F.col("manufacturer")
@@ -400,7 +400,7 @@ def status_counts(spark, d):
 SELECT game_id, dat_id, name FROM entries WHERE game_id IN (SELECT game_id FROM members m WHERE kind <> 'disk' AND NOT EXISTS (SELECT 1 FROM planned p WHERE p.dat_id = m.dat_id AND p.identity = m.identity))""")
 def fixdat(spark, d):
     """Entries that lack a member."""
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name")
     members = _members(spark, d, entries)
     return M.fixdat(entries, members, M.tiered_match(members, _files(spark, d))).select("game_id", "dat_id", "name")
 
@@ -452,7 +452,7 @@ def enrich_digests(spark, d):
 SELECT game_id, coalesce(nullif(genre, ''), p_genre) AS genre, nullif(genre, '') IS NULL AND p_genre IS NOT NULL AS inherited FROM entries LEFT JOIN p ON p_dat = dat_id AND p_name = cloneof""")
 def inherited_genres(spark, d):
     """Genres, taken from the parent where an entry has none."""
-    return M.inherit_genres(_entries(spark, d))
+    return M.inherit_genres(_entries(spark, d, "dat_id", "name", "cloneof", "genre"))
 
 
 @query("SELECT cache_id, json ->> '$.name' AS json_name, json ->> '$.id' AS json_id FROM igdb_cache WHERE json IS NULL OR json_valid(json) ")
@@ -515,7 +515,7 @@ def search_names(spark, d):
 
 
 def _plan(spark: SparkSession, d: str, incomplete: bool = False) -> DataFrame:
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name", "genre", "category", "release", "isbios", "isdevice", "manufacturer")
     members, files = _members(spark, d, entries), _files(spark, d)
     return P.generate_plan(entries, members, M.tiered_match(members, files), files, incomplete)
 
@@ -553,7 +553,7 @@ y AS (SELECT game_id, region, unnest(CASE WHEN len(languages) = 0 THEN [NULL] EL
 SELECT game_id, region, "language", unnest(CASE WHEN category IS NULL OR len(category) = 0 THEN [NULL] ELSE category END) AS one_category FROM y""")
 def expanded_entries(spark, d):
     """One row for each region, language and category of an entry."""
-    return P.expanded(_entries(spark, d)).select("game_id", "region", "language", "one_category")
+    return P.expanded(_entries(spark, d, "name", "release", "category")).select("game_id", "region", "language", "one_category")
 
 
 _LETTER = "regexp_replace(upper(rpad(substring(name, 1, 1), 1, 'A')), '[^A-Z]', '#', 'g')"
@@ -564,7 +564,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY scope, letter ORDER BY name) - 1
 SELECT scope, name, CASE WHEN total > 5 THEN letter || (rank // 5 + 1)::VARCHAR ELSE letter END AS folder FROM r""")
 def letter_folders(spark, d):
     """Letter folders of at most five entries."""
-    return P.letter_folders(_entries(spark, d).select(F.col("dat_id").alias("scope"), "name"), 5)
+    return P.letter_folders(_entries(spark, d, "dat_id", "name").select(F.col("dat_id").alias("scope"), "name"), 5)
 
 
 @query(f"""WITH {_ENTRIES}, n AS (SELECT DISTINCT dat_id AS scope, name, regexp_replace(upper(rpad(substring(name, 1, 1), 1, 'A')), '[^A-Z0-9]', '#', 'g') AS letter FROM entries),
@@ -572,14 +572,14 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY scope ORDER BY letter, name) -
 SELECT scope, name, min(letter) OVER (PARTITION BY scope, chunk) || '-' || max(letter) OVER (PARTITION BY scope, chunk) AS folder FROM r""")
 def letter_groups(spark, d):
     """Folders of twenty entries over ranges of letters."""
-    return P.letter_folders(_entries(spark, d).select(F.col("dat_id").alias("scope"), "name"), 20, grouped=True)
+    return P.letter_folders(_entries(spark, d, "dat_id", "name").select(F.col("dat_id").alias("scope"), "name"), 20, grouped=True)
 
 
 @query(f"""WITH {_ENTRIES}, l AS (SELECT DISTINCT {_LETTER} AS letter FROM entries), r AS (SELECT *, (row_number() OVER (ORDER BY letter) - 1) // 4 AS chunk FROM l)
 SELECT letter, min(letter) OVER (PARTITION BY chunk) || '-' || max(letter) OVER (PARTITION BY chunk) AS folder FROM r""")
 def letter_ranges(spark, d):
     """Folders of four letters each."""
-    return P.letter_ranges(_entries(spark, d), 4)
+    return P.letter_ranges(_entries(spark, d, "name"), 4)
 
 
 @query(f"{_PLAN}, p AS (SELECT DISTINCT dat_id, {_DISC.format('name')} AS title, output FROM outs) SELECT dat_id, title, count(*) AS files, string_agg(output, chr(10) ORDER BY output) AS lines FROM p GROUP BY 1, 2 HAVING count(*) > 1")
@@ -620,5 +620,5 @@ c AS (SELECT game_id, count(*) AS k FROM members GROUP BY 1), w AS (SELECT a.gam
 SELECT dat_id, game_id, rom_id, regexp_replace(regexp_extract(name, '([^/\\\\]*)$', 1), '(.)\\.[^.]*$', '\\1') AS entry_name FROM (SELECT *, row_number() OVER (PARTITION BY game_id, identity ORDER BY ord, rom_id) AS rn FROM members WHERE game_id IN (SELECT game_id FROM w)) WHERE rn = 1""")
 def single_bios(spark, d):
     """Catalogs of a single BIOS as one entry per member."""
-    entries = _entries(spark, d)
+    entries = _entries(spark, d, "dat_id", "name", "isbios")
     return C.split_single_bios(entries, _members(spark, d, entries))
