@@ -132,8 +132,8 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     every = checkpointed(values.select("kind", "tokens").distinct())
     distinct = every.where(F.size("tokens") > 0).withColumn("vid", F.md5(F.array_join("tokens", " ")))
     runs = distinct.select("kind", "vid", F.inline(_runs(F.col("tokens"), JOINED)))
-    # One row per kind; a run longer than any term by more than two edits can match none.
-    segments = runs.select("kind", "seg").distinct().join(F.broadcast(longest), (F.col("kind") == F.col("l_kind")) & (F.length("seg") <= F.col("longest") + 2)).select("kind", "seg")
+    # A run longer than any term of its kind by more than two edits can match none.
+    segments = runs.select("kind", "seg").distinct().join(longest, (F.col("kind") == F.col("l_kind")) & (F.length("seg") <= F.col("longest") + 2)).select("kind", "seg")
     left = segments.select("kind", "seg", _digits(F.col("seg")).alias("d"), F.explode(_deletions(F.col("seg"))).alias("rest"))
     right = terms.select("kind", "term", "exact", "slack", _digits(F.col("term")).alias("d"),
                          F.explode(F.when(F.col("exact"), F.array("term")).otherwise(_deletions(F.col("term")))).alias("rest"))
