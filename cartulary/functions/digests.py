@@ -56,3 +56,14 @@ def required_bit(crc32: Column, md5: Column, sha1: Column, sha256: Column, size:
         .when(sha256.isNotNull(), MASK["sha256"])
         .otherwise(0)
     )
+
+
+def multiset_print(identity: Column) -> Column:
+    """Aggregate: a fingerprint of a group's identities, whatever their order; repeated ones count.
+
+    Number of members and the sums of two 60-bit parts of their MD5s: partial sums
+    combine before the shuffle, so no group is ever collected or sorted.
+    """
+    digest = F.md5(identity)
+    part = lambda start: F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.concat_ws("-", F.count(identity).cast("string"), part(1), part(16))

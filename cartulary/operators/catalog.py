@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions import names as N
-from cartulary.functions.digests import member_identity, normal_digest
+from cartulary.functions.digests import member_identity, multiset_print, normal_digest
 from cartulary.operators.entries import in_force
 from cartulary.operators.hierarchy import climb
 
@@ -92,8 +92,8 @@ def merge_discs(entries: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def entry_identity(entries: DataFrame, members: DataFrame) -> DataFrame:
-    """``game_id, dat_id, identity``: name and sorted member identities of an entry; disks do not count."""
-    listed = members.where(F.col("kind") != "disk").groupBy(F.col("game_id").alias("m_id")).agg(F.array_join(F.array_sort(F.collect_list("identity")), ",").alias("all"))
+    """``game_id, dat_id, name, identity``: name and fingerprint of the member identities of an entry; disks do not count."""
+    listed = members.where(F.col("kind") != "disk").groupBy(F.col("game_id").alias("m_id")).agg(multiset_print(F.col("identity")).alias("all"))
     return entries.join(listed, F.col("game_id") == F.col("m_id"), "left").select(
         "game_id", "dat_id", "name", F.concat("name", F.lit("|"), F.coalesce("all", F.lit(""))).alias("identity")
     )
@@ -224,11 +224,13 @@ def prefer(grouped: DataFrame, preferences: Preferences, members: DataFrame | No
 
 
 def sanitized(members: DataFrame) -> DataFrame:
-    """Members that were dumped, one per name and kind in each entry; the first by place."""
+    """Members that were dumped, one per name and kind in each entry, the first by place; all disks that were dumped."""
     dumped = members.where(~F.coalesce(F.col("status") == "nodump", F.lit(False)))
-    first = Window.partitionBy("game_id", "kind", "name").orderBy("ord", "rom_id")
-    ranked = dumped.withColumn("rn", F.row_number().over(first))
-    return ranked.where((F.col("rn") == 1) | (F.col("kind") == "disk")).drop("rn")
+    key = ["game_id", "kind", "name"]
+    others = [c for c in members.columns if c not in (*key, "ord", "rom_id")]
+    first = dumped.where(F.col("kind") != "disk").groupBy(*key).agg(F.min(F.struct("ord", "rom_id", *others)).alias("m"))
+    kept = first.select(*[F.col(c) if c in key else F.col(f"m.{c}").alias(c) for c in members.columns])
+    return kept.unionByName(dumped.where(F.col("kind") == "disk"))
 
 
 def romof_roots(entries: DataFrame) -> DataFrame:

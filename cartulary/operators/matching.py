@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.functions.digests import MASK, member_identity, normal_digest, required_bit
+from cartulary.functions.digests import MASK, member_identity, multiset_print, normal_digest, required_bit
 from cartulary.functions.names import file_stem
 
 DIGESTS = ("crc32", "md5", "sha1", "sha256")
@@ -114,11 +114,10 @@ def file_usage(files: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def covering_archives(members: DataFrame, files: DataFrame) -> DataFrame:
-    """``game_id, archive``: folders that hold exactly the members of an entry, by sorted identities (relational division)."""
-    want = members.where(F.col("kind") != "disk").groupBy("game_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("identity")), ","), 256).alias("all"))
+    """``game_id, archive``: folders that hold exactly the members of an entry, by fingerprints of both (relational division)."""
+    want = members.where(F.col("kind") != "disk").groupBy("game_id").agg(multiset_print(F.col("identity")).alias("all"))
     folder = F.regexp_extract("relative", r"^(.*)/[^/]*$", 1)
-    have = files.where(folder != "").groupBy(F.concat("source", F.lit("/"), folder).alias("archive")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("identity")), ","), 256).alias("all"))
+    have = files.where(folder != "").groupBy(F.concat("source", F.lit("/"), folder).alias("archive")).agg(multiset_print(F.col("identity")).alias("all"))
     return want.join(have, "all").select("game_id", "archive")
 
 

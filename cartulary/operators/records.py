@@ -61,3 +61,32 @@ def localized(files: DataFrame) -> DataFrame:
     return files.select("file_id", "relative", "derived_region", "derived_languages").distinct().select(
         "file_id", F.coalesce(own, N.tag_region(stem)).alias("region"), F.coalesce(said, F.nullif(F.array_join(N.tag_languages(stem), ","), F.lit(""))).alias("languages")
     )
+
+
+def assign_platforms(catalogs: DataFrame, platforms: DataFrame, largest: int = 1_000) -> DataFrame:
+    """``catalogs`` (``name, extension``) with ``platform``: the last pattern the name matches, else the first platform of the extension.
+
+    ``platforms``: ``ord, platform, pattern, extensions array<string>``.  The table is a
+    fixed list; its size is checked, patterns become one expression and extensions a
+    map, so catalogs are neither shuffled nor crossed with it.  A larger table is refused.
+    """
+    rows = platforms.orderBy("ord").limit(largest + 1).collect()
+    if len(rows) > largest:
+        raise ValueError(f"more than {largest} platforms; split the table by extension first")
+    by_name = F.lit(None).cast("string")
+    for r in rows:
+        if r["pattern"]:
+            by_name = F.when(F.col("name").rlike(r["pattern"]), r["platform"]).otherwise(by_name)
+    first: dict[str, str] = {}
+    for r in rows:
+        for extension in r["extensions"] or []:
+            first.setdefault(extension.lower(), r["platform"])
+    pairs = [F.lit(x) for pair in first.items() for x in pair]
+    by_extension = F.try_element_at(F.create_map(*pairs), F.lower("extension")) if pairs else F.lit(None).cast("string")
+    return catalogs.withColumn("platform", F.coalesce(by_name, by_extension))
+
+
+def digests_in_json(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, sha1, md5``: the first hexadecimal runs of 40 and 32 digits anywhere in a JSON text."""
+    run = lambda n: F.nullif(F.lower(F.regexp_extract(text, rf"(?<![0-9a-fA-F])([0-9a-fA-F]{{{n}}})(?![0-9a-fA-F])", 1)), F.lit(""))
+    return df.select(key, run(40).alias("sha1"), run(32).alias("md5"))

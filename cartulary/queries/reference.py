@@ -56,6 +56,7 @@ def _dig(d: str) -> str:
 
 
 _IDENTITY = "coalesce(sha256, sha1, md5, coalesce(crc32, 'undefined') || '|' || coalesce(size::VARCHAR, '0'))"
+_PRINT = "count(identity)::VARCHAR || '-' || sum(('0x' || substring(md5(identity), 1, 15))::BIGINT::DECIMAL(38,0))::VARCHAR || '-' || sum(('0x' || substring(md5(identity), 16, 15))::BIGINT::DECIMAL(38,0))::VARCHAR"
 _ENTRIES = """entries AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY delivered_at DESC) AS rn FROM games) WHERE rn = 1 AND removed_at IS NULL)"""
 _MEMBERS = f"""members AS (SELECT *, {_IDENTITY} AS identity FROM (SELECT DISTINCT rom_id, r.game_id, e.dat_id, ord, kind, r.name, size, {', '.join(f'{_dig(d)} AS {d}' for d in _WIDTH)}, status, merge, bios
   FROM roms r JOIN entries e USING (game_id)))"""
@@ -187,7 +188,7 @@ def keep_first_files(spark, d):
 
 @query(f"""WITH {_ENTRIES}, {_MEMBERS}
 SELECT e.game_id, sha256(e.name || '|' || coalesce(m.ids, '')) AS identity FROM entries e LEFT JOIN
-  (SELECT game_id, string_agg(identity, ',' ORDER BY identity) AS ids FROM members WHERE kind <> 'disk' GROUP BY 1) m USING (game_id)""")
+  (SELECT game_id, {_PRINT} AS ids FROM members WHERE kind <> 'disk' GROUP BY 1) m USING (game_id)""")
 def entry_identities(spark, d):
     """Identity of each entry: name and sorted member identities."""
     entries = _entries(spark, d, "dat_id", "name")
@@ -255,7 +256,7 @@ def merge_discs(spark, d):
 
 
 @query(f"""WITH {_ENTRIES}, {_MEMBERS}, i AS (SELECT e.dat_id, e.game_id, e.name, sha256(e.name || '|' || coalesce(m.ids, '')) AS identity_sha256 FROM entries e LEFT JOIN
-  (SELECT game_id, string_agg(identity, ',' ORDER BY identity) AS ids FROM members WHERE kind <> 'disk' GROUP BY 1) m USING (game_id))
+  (SELECT game_id, {_PRINT} AS ids FROM members WHERE kind <> 'disk' GROUP BY 1) m USING (game_id))
 SELECT dat_id, game_id, name, identity_sha256, copies FROM (SELECT *, count(*) OVER (PARTITION BY identity_sha256) AS copies, row_number() OVER (PARTITION BY identity_sha256 ORDER BY dat_id, game_id) AS rn FROM i) WHERE rn = 1""")
 def combine_catalogs(spark, d):
     """All catalogs as one, equal entries once."""
@@ -412,8 +413,8 @@ def file_usage(spark, d):
 
 
 @query(f"""WITH {_ENTRIES}, {_MEMBERS}, {_FILES},
-want AS (SELECT game_id, string_agg(identity, ',' ORDER BY identity) AS ids FROM members WHERE kind <> 'disk' GROUP BY 1),
-have AS (SELECT source || '/' || regexp_extract(relative, '^(.*)/[^/]*$', 1) AS archive, string_agg(identity, ',' ORDER BY identity) AS ids FROM files WHERE regexp_extract(relative, '^(.*)/[^/]*$', 1) <> '' GROUP BY 1)
+want AS (SELECT game_id, {_PRINT} AS ids FROM members WHERE kind <> 'disk' GROUP BY 1),
+have AS (SELECT source || '/' || regexp_extract(relative, '^(.*)/[^/]*$', 1) AS archive, {_PRINT} AS ids FROM files WHERE regexp_extract(relative, '^(.*)/[^/]*$', 1) <> '' GROUP BY 1)
 SELECT game_id, archive FROM want JOIN have USING (ids)""")
 def covering_archives(spark, d):
     """Folders that hold exactly the members of an entry."""
@@ -622,3 +623,18 @@ def single_bios(spark, d):
     """Catalogs of a single BIOS as one entry per member."""
     entries = _entries(spark, d, "dat_id", "name", "isbios")
     return C.split_single_bios(entries, _members(spark, d, entries))
+
+
+@query("""SELECT strftime(scanned_at, '%Y-%m-%d') AS day, source, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT DISTINCT file_id, source, size, scanned_at FROM file_records) GROUP BY 1, 2""")
+def scans_by_day(spark, d):
+    """Files and bytes of each source and day of scan, as the stream over a landing folder counts them."""
+    rows = table(spark, d, "file_records").select("file_id", "source", "size", "scanned_at").distinct()
+    return rows.groupBy(F.date_format("scanned_at", "yyyy-MM-dd").alias("day"), "source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query(f"""WITH {_ENTRIES}, {_LOCALE}, r AS (SELECT DISTINCT dat_id, unnest(regions) AS region FROM locale WHERE len(regions) > 0)
+SELECT dat_id, string_agg(region, ',' ORDER BY region) AS regions FROM r GROUP BY 1""")
+def catalog_regions(spark, d):
+    """Regions that occur in each catalog: unique output folders of a template by region."""
+    rows = _entries(spark, d, "dat_id", "name", "release").select("dat_id", F.explode(N.regions(F.col("name"), F.col("release"))).alias("region")).distinct()
+    return rows.groupBy("dat_id").agg(F.array_join(F.array_sort(F.collect_list("region")), ",").alias("regions"))

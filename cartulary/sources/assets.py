@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from hashlib import md5, sha1, sha256
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions.digests import fingerprint
@@ -201,6 +201,8 @@ def expand_archives(files: DataFrame, quick: bool = False) -> DataFrame:
 
 
 def unique_files(files: DataFrame, identity: str = "sha256") -> DataFrame:
-    """One file per identity, the first by path; files without identity all stay."""
-    ranked = files.withColumn("rn", F.row_number().over(Window.partitionBy(F.coalesce(F.col(identity), F.col("path"))).orderBy("path")))
-    return ranked.where("rn = 1").drop("rn")
+    """One file per identity, the first by path; files without identity all stay.  A minimum per key, combined before the shuffle."""
+    others = [c for c in files.columns if c != "path"]
+    key = F.coalesce(F.col(identity), F.concat(F.lit("path:"), F.col("path")))
+    first = files.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*files.columns), "path").alias("f"))
+    return first.select(*[F.col(f"f.{c}").alias(c) for c in ["path", *others]])

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Magic bytes of the formats, longest first.
-MAGIC = ((b"IPS32", "ips32"), (b"PATCH", "ips"), (b"APS10", "aps_n64"), (b"APS1", "aps_gba"), (b"BPS1", "bps"), (b"UPS1", "ups"), (b"PPF", "ppf"))
-EXTENSIONS = {".ips": "ips", ".ips32": "ips32", ".ebp": "ips", ".bps": "bps", ".ups": "ups", ".aps": "aps_n64", ".ppf": "ppf", ".dps": "dps"}
+MAGIC = ((b"NINJA2", "ninja"), (b"IPS32", "ips32"), (b"PATCH", "ips"), (b"APS10", "aps_n64"), (b"APS1", "aps_gba"), (b"BPS1", "bps"), (b"UPS1", "ups"), (b"PPF", "ppf"), (b"\xd6\xc3\xc4", "vcdiff"))
+EXTENSIONS = {".ips": "ips", ".ips32": "ips32", ".ebp": "ips", ".bps": "bps", ".ups": "ups", ".aps": "aps_n64", ".ppf": "ppf", ".dps": "dps", ".vcdiff": "vcdiff", ".xdelta": "vcdiff"}
 
 
 class PatchError(ValueError):
@@ -174,6 +174,112 @@ def _dps(source: bytes, data: bytes) -> bytes:
     return bytes(target)
 
 
+def _ppf(source: bytes, data: bytes) -> bytes:
+    """Versions 1 to 3: a header of fixed size, a block to check the input, records of place, length and bytes."""
+    version = data[5] + 1
+    at, wide, undo = 56, 4, False
+    if version == 2:
+        if int.from_bytes(data[56:60], "little") != len(source):
+            raise PatchError("input has another size")
+        at = 60 + 1024
+    elif version == 3:
+        wide, undo = 8, bool(data[58])
+        at = 60 + (1024 if data[57] else 0)
+    target, end = bytearray(source), data.rfind(b"@BEGIN_FILE_ID.DIZ")
+    end = len(data) if end < 0 else end
+    while at + wide < end:
+        place, size = int.from_bytes(data[at : at + wide], "little"), data[at + wide]
+        at += wide + 1
+        _put(target, place, data[at : at + size])
+        at += size * (2 if undo else 1)
+    return bytes(target)
+
+
+# -- VCDIFF (RFC 3284, without secondary compression) -----------------------------
+
+
+def _big(data: bytes, at: int) -> tuple[int, int]:
+    """A base-128 number, most significant digits first, and the place behind it."""
+    value = 0
+    while True:
+        if at >= len(data):
+            raise PatchError("number runs over the end")
+        byte, at = data[at], at + 1
+        value = value << 7 | byte & 0x7F
+        if not byte & 0x80:
+            return value, at
+
+
+def _default_codes() -> list[tuple[tuple[str, int, int], tuple[str, int, int] | None]]:
+    """The default instruction table by its rule: pairs of (kind, size, mode)."""
+    codes: list = [(("run", 0, 0), None)]
+    codes += [(("add", size, 0), None) for size in range(18)]
+    for mode in range(9):
+        codes += [(("copy", size, mode), None) for size in (0, *range(4, 19))]
+    for mode in range(6):
+        codes += [(("add", add, 0), ("copy", copy, mode)) for add in range(1, 5) for copy in range(4, 7)]
+    for mode in range(6, 9):
+        codes += [(("add", add, 0), ("copy", 4, mode)) for add in range(1, 5)]
+    codes += [(("copy", 4, mode), ("add", 1, 0)) for mode in range(9)]
+    return codes
+
+
+def _vcdiff(source: bytes, data: bytes) -> bytes:
+    codes, out, at = _default_codes(), bytearray(), 5
+    if data[4] & 3:
+        raise PatchError("secondary compression and own code tables are not supported")
+    if data[4] & 4:  # application header
+        size, at = _big(data, at)
+        at += size
+    while at < len(data):
+        indicator, at = data[at], at + 1
+        segment = b""
+        if indicator & 3:
+            size, at = _big(data, at)
+            place, at = _big(data, at)
+            segment = (source if indicator & 1 else bytes(out))[place : place + size]
+        _, at = _big(data, at)
+        wanted, at = _big(data, at)
+        if data[at]:
+            raise PatchError("compressed sections are not supported")
+        adds, at = _big(data, at + 1)
+        instructions, at = _big(data, at)
+        addresses, at = _big(data, at)
+        at += 4 if indicator & 4 else 0  # checksum of the window
+        add_at, code_at, address_at = at, at + adds, at + adds + instructions
+        end, at = address_at, address_at + addresses
+        window, near, same, slot = bytearray(), [0] * 4, [0] * 768, 0
+        while code_at < end:
+            pair, code_at = codes[data[code_at]], code_at + 1
+            for step in pair:
+                if step is None:
+                    continue
+                kind, size, mode = step
+                if not size:
+                    size, code_at = _big(data, code_at)
+                if kind == "add":
+                    window += data[add_at : add_at + size]
+                    add_at += size
+                elif kind == "run":
+                    window += data[add_at : add_at + 1] * size
+                    add_at += 1
+                else:
+                    here = len(segment) + len(window)
+                    if mode < 6:
+                        value, address_at = _big(data, address_at)
+                        address = value if mode == 0 else here - value if mode == 1 else near[mode - 2] + value
+                    else:
+                        address, address_at = same[(mode - 6) * 256 + data[address_at]], address_at + 1
+                    near[slot], slot = address, (slot + 1) % 4
+                    same[address % 768] = address
+                    for k in range(address, address + size):
+                        window.append(segment[k] if k < len(segment) else window[k - len(segment)])
+        if len(window) != wanted:
+            raise PatchError("window has another size")
+        out += window
+    return bytes(out)
+
+
 def apply_patch(source: bytes, path: str, data: bytes) -> bytes:
     """The patched content; PatchError if format, input or patch is wrong."""
     kind = patch_format(path, data)
@@ -182,7 +288,7 @@ def apply_patch(source: bytes, path: str, data: bytes) -> bytes:
             return _ips(source, data, 3, 5, b"EOF")
         if kind == "ips32":
             return _ips(source, data, 4, 5, b"EEOF")
-        simple = {"ups": _ups, "bps": _bps, "aps_n64": _aps_n64, "aps_gba": _aps_gba, "dps": _dps}
+        simple = {"ups": _ups, "bps": _bps, "aps_n64": _aps_n64, "aps_gba": _aps_gba, "dps": _dps, "ppf": _ppf, "vcdiff": _vcdiff}
         if kind in simple:
             return simple[kind](source, data)
     except IndexError as problem:

@@ -82,6 +82,13 @@ def number(n):
         n -= 1
 
 
+def number_big(n):
+    out = bytes([n & 0x7F])
+    while n := n >> 7:
+        out = bytes([n & 0x7F | 0x80]) + out
+    return out
+
+
 def test_patches(spark):
     source = b"0123456789"
     ips = b"PATCH" + b"\0\0\2" + b"\0\3" + b"abc" + b"\0\0\x0c" + b"\0\0" + b"\0\2" + b"z" + b"EOF"
@@ -93,6 +100,13 @@ def test_patches(spark):
     assert Z.apply_patch(source, "x.bps", bps) == b"01Q56701"
     aps = b"APS10" + bytes(56) + (3).to_bytes(4, "little") + b"\2" + b"xy" + (0).to_bytes(4, "little") + b"\0" + b"k\2"
     assert Z.apply_patch(source, "x.aps", aps) == b"kk2xy56789"
+    ppf = b"PPF30\2" + bytes(50) + bytes([0, 0, 0, 0]) + (4).to_bytes(8, "little") + b"\2" + b"PQ"
+    assert Z.apply_patch(source, "x.ppf", ppf) == b"0123PQ6789"
+    sections = (b"ab!", bytes([0x13 + 1, 1 + 2, 0, 3, 0x13 + 1]), bytes([5, 4]))  # copy 4, add 2, run 3, copy 4
+    body = bytes([12 + 1]) if False else number_big(13) + b"\0" + b"".join(number_big(len(x)) for x in sections) + b"".join(sections)
+    delta = b"\xd6\xc3\xc4\0\0" + b"\1" + number_big(10) + number_big(0) + number_big(len(body)) + body
+    assert Z.apply_patch(source, "x.xdelta", delta) == b"5678ab!!!4567"
+    assert len(Z._default_codes()) == 256
     with pytest.raises(Z.PatchError):
         Z.apply_patch(b"short", "x.ups", ups)
     with pytest.raises(Z.PatchError):
