@@ -481,20 +481,49 @@ def consumed_archives(spark, d):
 # -- records -------------------------------------------------------------------
 
 
-@query()
+_TAG_MAP = {which: "map {" + ", ".join(f"'{w}': '{code}'" for code, words in table_.items() for w in words.split()) + "}" for which, table_ in (("region", N.TAG_REGIONS), ("language", N.TAG_LANGUAGES))}
+_HAS = "len(list_filter(up, lambda t: regexp_matches(t, '{0}'))) > 0"
+_NUM = "try_cast(regexp_extract(t, '{0}', {1}) AS BIGINT)"
+_VER = "^V(?:ER(?:SION)?)?\\.?\\s*(\\d+)(?:\\.(\\d+))?(?:\\.(\\d+))?$"
+_VARIANTS = f"""WITH f AS (SELECT DISTINCT file_id, relative FROM file_records),
+s AS (SELECT *, regexp_replace(regexp_extract(relative, '([^/\\\\]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem FROM f),
+t AS (SELECT *, list_transform(regexp_extract_all(stem, '\\([^()]*\\)|\\[[^\\[\\]]*\\]'), lambda x: trim(x)) AS tags, trim(regexp_replace(regexp_replace(stem, '\\([^()]*\\)|\\[[^\\[\\]]*\\]', '', 'g'), '\\s+', ' ', 'g')) AS bare FROM s),
+w AS (SELECT *, list_transform(tags, lambda x: upper(x)) AS up, list_filter(string_split_regex(upper(array_to_string(tags, ' ')), '[^A-Z0-9]+'), lambda x: x <> '') AS words FROM t),
+m AS (SELECT *, list_filter(list_transform(words, lambda x: {_TAG_MAP['region']}[x]), lambda x: x IS NOT NULL) AS rs, list_filter(list_transform(words, lambda x: {_TAG_MAP['language']}[x]), lambda x: x IS NOT NULL) AS ls,
+  list_sort(list_concat([[255, 4294967295]], list_transform(list_transform(up, lambda x: trim(regexp_replace(x, '^[(\\[]|[)\\]]$', '', 'g'))), lambda t:
+    CASE WHEN regexp_matches(t, '^PRG\\s*\\d+$') THEN [0, 4294967295 - {_NUM.format('^PRG' + chr(92) + 's*(' + chr(92) + 'd+)$', 1)}]
+      WHEN regexp_matches(t, '{_VER}') THEN [1, 4294967295 - (coalesce({_NUM.format(_VER, 1)}, 0) * 1048576 + coalesce({_NUM.format(_VER, 2)}, 0) * 1024 + coalesce({_NUM.format(_VER, 3)}, 0))]
+      WHEN regexp_matches(t, '^REV\\s*\\d+$') THEN [2, 4294967295 - {_NUM.format('^REV' + chr(92) + 's*(' + chr(92) + 'd+)$', 1)}]
+      WHEN regexp_matches(t, '^REV\\s*[A-Z]$') THEN [3, 4294967295 - (ascii(right(t, 1)) - 64)] ELSE [255, 4294967295] END)))[1] AS rank FROM w)
+SELECT file_id, CASE WHEN bare = '' THEN stem ELSE bare END AS title, rs[1] AS region, array_to_string({_UNIQ.format('ls')}, ',') AS languages,
+  CASE WHEN {_HAS.format('^' + chr(92) + '[' + chr(92) + 's*!' + chr(92) + 's*' + chr(92) + ']$')} THEN 'verified' WHEN {_HAS.format('^' + chr(92) + '[' + chr(92) + 's*B')} THEN 'bad' WHEN {_HAS.format('^' + chr(92) + '[' + chr(92) + 's*F')} THEN 'fixed'
+    WHEN {_HAS.format('^' + chr(92) + '[' + chr(92) + 's*!P' + chr(92) + 's*' + chr(92) + ']$')} THEN 'pending' WHEN {_HAS.format('^' + chr(92) + '[' + chr(92) + 's*[HPTOAU]|^' + chr(92) + '(.*(?:BETA|PROTO|ALPHA|SAMPLE|DEMO|TRIAL)')} THEN 'modified' ELSE 'clean' END AS quality,
+  rank[1]::INT AS priority, rank[2] AS score, try_cast(regexp_extract(upper(array_to_string(tags, ' ')), 'SET[^\\d)\\]]*(\\d+)', 1) AS BIGINT) AS set_number FROM m"""
+
+
+@query(_VARIANTS)
 def file_variants(spark, d):
     """Title, region, languages, quality and revision read off each file's name."""
     rows = R.described(table(spark, d, "file_records"))
     return rows.select("file_id", "title", "region", F.array_join("languages", ",").alias("languages"), "quality", F.col("rank.priority").alias("priority"), F.col("rank.score").alias("score"), "set_number")
 
 
-@query()
+_CHOSEN = f"""WITH v AS ({_VARIANTS}), r AS (SELECT v.*, f.relative, coalesce(list_position(['USA', 'WORLD', 'EUR'], region) - 1, 3) AS rr,
+  CASE WHEN list_contains(string_split(languages, ','), 'EN') THEN 0 WHEN list_contains(string_split(languages, ','), 'JA') THEN 1 ELSE 2 END AS lr, list_position(['verified', 'fixed', 'pending', 'clean', 'modified', 'bad'], quality) AS q
+  FROM v JOIN (SELECT DISTINCT file_id, relative FROM file_records) f USING (file_id)),
+o AS (SELECT *, rr < 3 OR lr < 2 AS fits, row_number() OVER (PARTITION BY title, rr < 3 OR lr < 2 ORDER BY rr, lr, q, priority, score, set_number IS NULL, set_number, relative, file_id) AS rn FROM r),
+b AS (SELECT title, rr AS br, lr AS bl, q AS bq, priority AS bp, score AS bs FROM o WHERE fits AND rn = 1),
+x AS (SELECT o.*, fits AND rn = 1 AS kept, CASE WHEN fits AND rn = 1 THEN NULL WHEN NOT fits THEN 'not in preferences' WHEN rr > br THEN 'region' WHEN lr > bl THEN 'language' WHEN q > bq THEN 'quality'
+  WHEN priority > bp OR (priority = bp AND score > bs) THEN 'revision' ELSE 'another variant' END AS reason FROM o LEFT JOIN b USING (title))"""
+
+
+@query(f"{_CHOSEN} SELECT file_id, title, kept, reason FROM x")
 def chosen_variants(spark, d):
     """The variant kept of each title, and why the others were not."""
     return R.choose_variants(R.described(table(spark, d, "file_records")), ("USA", "WORLD", "EUR"), ("EN", "JA"))
 
 
-@query()
+@query(f"{_CHOSEN} SELECT reason, count(*) AS files FROM x WHERE NOT kept GROUP BY 1")
 def skip_breakdown(spark, d):
     """Skipped variants by reason."""
     return R.skip_breakdown(chosen_variants(spark, d))
@@ -506,7 +535,9 @@ def localized_files(spark, d):
     return R.localized(table(spark, d, "file_records"))
 
 
-@query()
+@query("""WITH w AS (SELECT cache_id, name, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(name, '\\.[^.]{1,8}$', ''), '\\([^)]*\\)|\\[[^\\]]*\\]', '', 'g'), '[^A-Za-z0-9\\s]|\\s+', ' ', 'g')), '\\s+'), lambda w: w <> '') AS words FROM igdb_cache)
+SELECT cache_id, CASE WHEN name IS NOT NULL THEN array_to_string(list_filter(words, lambda t, i: lower(t) <> 'rev' AND NOT (regexp_matches(t, '^[0-9]+$') AND i > 1 AND coalesce(lower(words[i - 1]) = 'rev', false))
+  AND NOT regexp_matches(t, '^[0-9]{4}$') AND lower(t) NOT IN ('usa', 'eu', 'japan', 'pal', 'ntsc', 'psx', 'ps2', 'ps3', 'ps4', 'snes', 'nes', 'md', 'gen', 'mega', 'sega', 'n64', 'ds', '3ds', 'switch', 'xbox', 'xbox360', 'pc')), ' ') END AS search_name FROM w""")
 def search_names(spark, d):
     """Words to search each cached title by."""
     return table(spark, d, "igdb_cache").select("cache_id", N.search_name(F.col("name")).alias("search_name"))
