@@ -153,7 +153,32 @@ cases AS (SELECT *, CASE WHEN target IS NULL THEN 'missing' WHEN removed THEN 'd
   FROM (SELECT * FROM plain UNION ALL SELECT * FROM merged))
 """
 
+
+
+def _listed(value: str) -> str:
+    return f"(CASE json_type({value}) WHEN 'ARRAY' THEN CAST({value} AS JSON[]) WHEN 'OBJECT' THEN [{value}] ELSE CAST([] AS JSON[]) END)"
+
+
+_KINDS = "(VALUES ('rom'), ('disk')) k(kind)"
+_P7 = f"""
+WITH j AS (SELECT raw_id, CAST(raw AS JSON) AS d FROM dat_objects WHERE raw IS NOT NULL AND json_valid(raw)),
+roots AS (SELECT raw_id, root, json_extract(d, '$.' || root) AS c FROM j, (VALUES ('datafile'), ('mame')) r(root)),
+flat AS (SELECT raw_id, root, -1 AS list_pos, tag AS entry_tag, unnest(range(len(a))) AS entry_pos, unnest(a) AS e
+  FROM (SELECT raw_id, root, tag, {_listed("json_extract(c, '$.' || tag)")} AS a FROM roots, (VALUES ('game'), ('machine')) t(tag) WHERE json_type(c) = 'OBJECT')),
+lists AS (SELECT raw_id, 'softwarelist' AS root, -1 AS list_pos, json_extract(d, '$.softwarelist') AS c FROM j
+  UNION ALL SELECT raw_id, 'softwarelists', unnest(range(len(a))), unnest(a) FROM (SELECT raw_id, {_listed("json_extract(d, '$.softwarelists.softwarelist')")} AS a FROM j)),
+soft AS (SELECT raw_id, root, list_pos, 'software' AS entry_tag, unnest(range(len(a))) AS entry_pos, unnest(a) AS e
+  FROM (SELECT raw_id, root, list_pos, {_listed("json_extract(c, '$.software')")} AS a FROM lists WHERE json_type(c) = 'OBJECT')),
+parts AS (SELECT * EXCLUDE (a, e), unnest(range(len(a))) AS part_pos, unnest(a) AS p FROM (SELECT *, {_listed("json_extract(e, '$.part')")} AS a FROM soft)),
+areas AS (SELECT * EXCLUDE (a, p), unnest(range(len(a))) AS area_pos, unnest(a) AS h FROM (SELECT parts.*, {_listed("json_extract(p, '$.' || area)")} AS a FROM parts, (VALUES ('dataarea'), ('diskarea')) q(area))),
+holders AS (SELECT raw_id, root, list_pos, entry_tag, entry_pos, -1 AS part_pos, -1 AS area_pos, e AS h FROM flat
+  UNION ALL SELECT raw_id, root, list_pos, entry_tag, entry_pos, part_pos, area_pos, h FROM areas),
+members AS (SELECT * EXCLUDE (a, h), unnest(range(len(a))) AS member_pos, unnest(a) AS m FROM (SELECT holders.*, kind, {_listed("json_extract(h, '$.' || kind)")} AS a FROM holders, {_KINDS}))
+SELECT raw_id, root, list_pos::BIGINT AS list_pos, entry_tag, entry_pos::BIGINT AS entry_pos, part_pos::BIGINT AS part_pos, area_pos::BIGINT AS area_pos, kind, member_pos::BIGINT AS member_pos
+FROM members WHERE json_type(m) = 'OBJECT' AND len(json_keys(m)) > 0"""
+
 ORACLE_SQL = {
+    "p7_found": _P7,
     "p3_found": _CLIMB + """SELECT l.link, l.child AS game_id, coalesce(e.path[1], -1)::BIGINT AS root_id, coalesce(len(e.path) - 1, -1)::BIGINT AS depth
         FROM links l LEFT JOIN ends e ON e.link = l.link AND e.node = l.child""",
     "p3_paths": _CLIMB + "SELECT link, node AS game_id, array_to_string(path, '/') AS path FROM ends",
