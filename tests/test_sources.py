@@ -103,7 +103,7 @@ def test_patches(spark):
     ppf = b"PPF30\2" + bytes(50) + bytes([0, 0, 0, 0]) + (4).to_bytes(8, "little") + b"\2" + b"PQ"
     assert Z.apply_patch(source, "x.ppf", ppf) == b"0123PQ6789"
     sections = (b"ab!", bytes([0x13 + 1, 1 + 2, 0, 3, 0x13 + 1]), bytes([5, 4]))  # copy 4, add 2, run 3, copy 4
-    body = bytes([12 + 1]) if False else number_big(13) + b"\0" + b"".join(number_big(len(x)) for x in sections) + b"".join(sections)
+    body = number_big(13) + b"\0" + b"".join(number_big(len(x)) for x in sections) + b"".join(sections)
     delta = b"\xd6\xc3\xc4\0\0" + b"\1" + number_big(10) + number_big(0) + number_big(len(body)) + body
     assert Z.apply_patch(source, "x.xdelta", delta) == b"5678ab!!!4567"
     assert len(Z._default_codes()) == 256
