@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.digests import MASK, member_identity, multiset_print, normal_digest, required_bit
@@ -158,76 +158,206 @@ SCORES = {"sha1": 900.0, "md5": 850.0, "crc32": 800.0, "size_name": 700.0, "size
 LEAST_SCORE = 25.0
 
 
-def fuzzy_match(members: DataFrame, files: DataFrame) -> DataFrame:
-    """``rom_id, file_id, score, by_digest``: the best file of each member by digests, size, name and title words.
+def _parts(df: DataFrame, key: str, name: str, place: Column) -> DataFrame:
+    """``id, place, size, digests, base, title``: what the score of a member or file is made of."""
+    title = F.lower(F.trim(F.regexp_replace(F.regexp_replace(file_stem(F.col(name)), r"\([^()]*\)|\[[^\[\]]*\]", ""), r"\s+", " ")))
+    base = F.regexp_extract(name, r"([^/\\]*)$", 1)
+    return df.select(F.col(key).alias("id"), place.alias("place"), "size", "crc32", "md5", "sha1", base.alias("base"), F.coalesce(title, F.lit("")).alias("title"))
 
-    A file can win only if it shares a digest, size and name, or the title, so it is
-    the best of those that agree on one combination of these keys.  Each combination
-    keeps one file (most digests known, then path), and each member meets at most one
-    file per combination it has: work is linear, whatever the groups, and nothing is
-    crossed.  Files that agree by digest displace all others; then score, then path.
-    """
-    title = lambda p: F.lower(F.trim(F.regexp_replace(F.regexp_replace(file_stem(p), r"\([^()]*\)|\[[^\[\]]*\]", ""), r"\s+", " ")))
-    words = lambda t: F.array_distinct(F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-
-    def side(df: DataFrame, key: str, name: Column, path: Column) -> DataFrame:
-        rows = df.select(F.col(key).alias("id"), path.alias("path"), name.alias("name"), "size", "crc32", "md5", "sha1")
-        known = sum((F.col(d).isNotNull().cast("int") for d in ("crc32", "md5", "sha1")), F.lit(0))
-        return rows.select("*", F.regexp_extract("name", r"([^/\\]*)$", 1).alias("base"), title(F.col("name")).alias("title"), known.alias("known")).drop("name")
-
-    def keyed(df: DataFrame) -> DataFrame:
-        size, base = F.col("size").cast("string"), F.col("base")
-        weak, name, titled = F.concat("crc32", F.lit("|"), size), F.concat(base, F.lit("|"), size), F.nullif("title", F.lit(""))
-        combinations = {
-            "sha1": F.col("sha1"), "md5": F.col("md5"), "crc32": weak, "sha1+name": F.concat("sha1", name), "md5+name": F.concat("md5", name),
-            "crc32+name": F.concat(weak, base), "sha1+title": F.concat("sha1", titled), "md5+title": F.concat("md5", titled), "crc32+title": F.concat(weak, titled),
-            "name": name, "title": titled, "title+size": F.concat(titled, F.lit("|"), size),
-        }
-        listed = F.array(*[F.struct(F.lit(k).alias("b"), F.md5(v).alias("v")) for k, v in combinations.items()])
-        return df.select("*", F.inline(F.filter(listed, lambda x: x["v"].isNotNull())))
-
-    right = side(files, "file_id", F.col("relative"), F.concat("source", F.lit("::"), "relative"))
-    record = F.struct(*[F.col(c) for c in right.columns])
-    best = keyed(right).groupBy("b", "v").agg(F.min_by(record, F.struct((-F.col("known")).alias("k"), "path", "id")).alias("f"))
-    left = side(members, "rom_id", F.col("name"), F.col("name")).select(*[F.col(c).alias(f"l_{c}") for c in right.columns])
-    met = keyed(side(members, "rom_id", F.col("name"), F.col("name"))).select(F.col("id").alias("rom_id"), "b", "v").join(best, ["b", "v"]).select("rom_id", "f").distinct()
-    full = met.join(left, F.col("rom_id") == F.col("l_id"))
-    same = lambda c: F.coalesce(F.col(f"l_{c}") == F.col(f"f.{c}"), F.lit(False))
-    lw, rw = words(F.col("l_title")), words(F.col("f.title"))
-    shared = F.size(F.array_intersect(lw, rw)) / F.greatest(F.size(F.array_union(lw, rw)), F.lit(1)) * SCORES["title"]
-    weak = same("crc32") & same("size")
+
+def _words(title: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(title, r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0)) * SCORES["title"]
+
+
+def _profile() -> Column:
+    """One number for files of which no score can differ (64 bits; two among n agree by chance once in 2**65 / n**2)."""
+    return F.xxhash64(F.lit("profile"), *[F.coalesce(c, F.lit("")) for c in ("sha1", "md5", "crc32", "base", "title")], F.coalesce("size", F.lit(-1)))
+
+
+def _name_keys() -> list[tuple[Column, float | Column]]:
+    """Keys by which names and titles agree, with the score of two that share one; null where one can't be had."""
+    sized = F.col("size").isNotNull()
+    titled = F.col("title") != ""
+    both = SCORES["size_name"] + F.when(titled, SCORES["title"]).otherwise(0.0)
+    return [
+        (F.when(sized & (F.col("base") != ""), F.xxhash64(F.lit("name"), "base", "size")), both),
+        (F.when(sized & titled, F.xxhash64(F.lit("title+size"), "title", "size")), F.lit(SCORES["title"] + SCORES["size"])),
+        (F.when(titled, F.xxhash64(F.lit("title"), "title")), F.lit(SCORES["title"])),
+    ]
+
+
+def _digest_asks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Asks of the members that share a digest with files: each profile of such files, with its score."""
+    profiles = right.select(_profile().alias("key"), *[c for c in right.columns if c not in ("id", "place")]).dropDuplicates(["key"])
+
+    def ways(df: DataFrame) -> DataFrame:
+        weak = F.concat("crc32", F.lit("|"), F.col("size").cast("string"))
+        listed = F.array(*[F.struct(F.lit(w).alias("way"), v.alias("value")) for w, v in (("sha1", F.col("sha1")), ("md5", F.col("md5")), ("crc32", weak))])
+        return df.select(F.struct(*df.columns).alias("row"), F.inline(F.filter(listed, lambda x: x["value"].isNotNull())))
+
+    met = ways(left).withColumnRenamed("row", "l").join(ways(profiles).withColumnRenamed("row", "f"), ["way", "value"])
+    met = met.withColumns({"rom_id": F.col("l.id"), "key": F.col("f.key")}).dropDuplicates(["rom_id", "key"])
+    same = lambda c: F.coalesce(F.col(f"l.{c}") == F.col(f"f.{c}"), F.lit(False))
     score = (
-        F.when(same("sha1"), SCORES["sha1"]).otherwise(0.0) + F.when(same("md5"), SCORES["md5"]).otherwise(0.0) + F.when(weak, SCORES["crc32"]).otherwise(0.0)
+        F.when(same("sha1"), SCORES["sha1"]).otherwise(0.0) + F.when(same("md5"), SCORES["md5"]).otherwise(0.0) + F.when(same("crc32") & same("size"), SCORES["crc32"]).otherwise(0.0)
         + F.when(same("size") & same("base"), SCORES["size_name"]).when(same("size"), SCORES["size"]).otherwise(0.0)
-        + F.when((F.col("l_title") != "") & same("title"), SCORES["title"]).otherwise(shared)
+        + F.when((F.col("l.title") != "") & same("title"), SCORES["title"]).otherwise(_jaccard(_words(F.col("l.title")), _words(F.col("f.title"))))
     )
-    scored = full.select("rom_id", F.col("f.id").alias("file_id"), F.col("f.path").alias("path"), (same("sha1") | same("md5") | weak).alias("by_digest"), score.alias("score"))
+    return met.select("rom_id", "key", score.alias("base"), *_no_words(), F.lit(True).alias("by_digest"))
+
+
+def _no_words() -> list[Column]:
+    return [F.lit(0).cast("byte").alias(c) for c in ("shared", "words")]
+
+
+def _asks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``rom_id, key, base, shared, words, by_digest``: the keys under which a member finds files, with the score of each."""
+    by_digest = _digest_asks(left, right)
+    rest = left.join(by_digest.select(F.col("rom_id").alias("d_id")).distinct(), F.col("id") == F.col("d_id"), "left_anti")
+    return by_digest.unionByName(_listed(rest, "rom_id", *_name_asks()))
+
+
+def _name_asks() -> list[Column]:
+    return [F.struct(key.alias("key"), F.lit(score).alias("base") if isinstance(score, float) else score.alias("base"), *_no_words(), F.lit(False).alias("by_digest")) for key, score in _name_keys()]
+
+
+def _listed(df: DataFrame, name: str, *rows: Column) -> DataFrame:
+    return df.select(F.col("id").alias(name), F.inline(F.filter(F.array(*rows), lambda x: x["key"].isNotNull())))
+
+
+def _supply(right: DataFrame) -> DataFrame:
+    """``file_id, place, key, words``: the files under each key; those with fewer words come first, then by place."""
+    keys = [_profile(), *[key for key, _ in _name_keys()]]
+    rows = F.array(*[F.struct(k.alias("key"), F.lit(0).cast("byte").alias("words")) for k in keys])
+    return right.select(F.col("id").alias("file_id"), "place", F.inline(F.filter(rows, lambda x: x["key"].isNotNull())))
+
+
+def _path() -> Column:
+    return F.coalesce(F.concat("source", F.lit("::"), "relative"), F.lit(""))
+
+
+def fuzzy_match(members: DataFrame, files: DataFrame) -> DataFrame:
+    """``rom_id, file_id, score, by_digest``: the best file of each member by digests, size, name and title words.
+
+    Members ask under keys, and of each key only the first file can be the best one,
+    so a member meets one file per key it has and no groups are crossed.  Files that
+    agree by digest displace all others; then score, then path.
+    """
+    left, right = _parts(members, "rom_id", "name", F.lit(0)), _parts(files, "file_id", "relative", _path())
+    first = _supply(right).groupBy("key").agg(F.min(F.struct("words", "place", "file_id")).alias("f"))
+    score = F.col("base") + F.when(F.col("shared") > 0, F.col("shared") / (F.col("words") + F.col("f.words") - F.col("shared")) * SCORES["title"]).otherwise(0.0)
+    scored = _asks(left, right).join(first, "key").select("rom_id", "f.file_id", F.col("f.place").alias("place"), score.alias("score"), "by_digest")
     won = scored.where(F.col("score") >= LEAST_SCORE).groupBy("rom_id").agg(
-        F.min_by(F.struct("file_id", "score", "by_digest"), F.struct((~F.col("by_digest")).alias("d"), (-F.col("score")).alias("s"), "path", "file_id")).alias("m"))
+        F.min_by(F.struct("file_id", "score", "by_digest"), F.struct((-F.col("score")).alias("s"), "place", "file_id")).alias("m"))
     return won.select("rom_id", "m.file_id", F.round("m.score", 6).alias("score"), "m.by_digest")
 
 
-def assign_once(scored: DataFrame, rounds: int = 20) -> DataFrame:
-    """Each file for one member at most: mutual best pairs are taken, the rest compete again.
+def fuzzy_assign(members: DataFrame, files: DataFrame) -> DataFrame:
+    """``rom_id, file_id``: each file for one member at most, of all files that score for a member.
 
-    ``scored``: ``rom_id, file_id, score``.  In every round the pairs that are the best
-    of both their member and their file (score, then smaller ids) are kept and their
-    members and files leave; that is the greedy assignment by descending score without
-    its sequence.  Rounds end when no pair is left; the plan is cut in each round.
+    Greedy by descending score, then smaller ``rom_id``, then path: a member whose best
+    files are taken goes on to its next one, until its list ends.
     """
     from cartulary.session import checkpointed
 
-    left, kept = checkpointed(scored.select("rom_id", "file_id", "score")), None
-    order = F.struct(F.col("score"), (-F.col("rom_id")).alias("a"), (-F.col("file_id")).alias("b"))
-    for _ in range(rounds):
-        by_rom = left.groupBy("rom_id").agg(F.max_by("file_id", order).alias("file_id"))
-        by_file = left.groupBy("file_id").agg(F.max_by("rom_id", order).alias("rom_id"))
-        best = checkpointed(by_rom.join(by_file, ["rom_id", "file_id"]))
-        kept = best if kept is None else kept.unionByName(best)
-        left = checkpointed(left.join(best.select("rom_id"), "rom_id", "left_anti").join(best.select("file_id"), "file_id", "left_anti"))
-        if left.isEmpty():
-            break
-    return kept
+    places = files.select("file_id", F.row_number().over(Window.orderBy(_path(), "file_id")).cast("long").alias("place"))
+    ranked = files.join(places, "file_id")
+    left, right = _parts(members, "rom_id", "name", F.lit(0)), _parts(ranked, "file_id", "relative", F.col("place"))
+    supply = _supply(right)
+    asks = checkpointed(_asks(left, right).drop("by_digest").join(supply.select("key").distinct(), "key", "left_semi"))
+    supply = supply.join(asks.select("key").distinct(), "key", "left_semi")
+    return _dealt(asks, supply.select("key", "place", "words"), LEAST_SCORE).join(places, "place").select("rom_id", "file_id")
+
+
+def assign_once(scored: DataFrame) -> DataFrame:
+    """Each file for one member at most, by descending score, then smaller ids, until no pair of ``scored`` (``rom_id, file_id, score``) is left."""
+    asks = scored.select("rom_id", F.col("file_id").cast("long").alias("key"), F.col("score").cast("double").alias("base"), *_no_words())
+    supply = scored.select(F.col("file_id").cast("long").alias("key")).distinct().select("key", F.col("key").alias("place"), _no_words()[1])
+    return _dealt(asks, supply).select("rom_id", F.col("place").alias("file_id"))
+
+
+def _dealt(asks: DataFrame, supply: DataFrame, least: float = float("-inf")) -> DataFrame:
+    """``rom_id, place``: greedy assignment in one task, as each choice depends on all before it.
+
+    ``asks``: ``rom_id, key, base, shared, words``; ``supply``: ``key, place, words``.
+    Pairs below the ``least`` score do not count.
+    """
+    long, byte, none = (lambda c: F.col(c).cast("long")), (lambda c: F.col(c).cast("byte")), F.lit(0)
+    told = asks.select(F.lit(True).alias("ask"), "key", long("rom_id").alias("id"), "base", byte("shared").alias("shared"), byte("words").alias("words"))
+    held = supply.select(F.lit(False).alias("ask"), "key", long("place").alias("id"), none.cast("double").alias("base"), none.cast("byte").alias("shared"), byte("words").alias("words"))
+    return told.unionByName(held).repartition(1).mapInArrow(partial(_deal, least), "rom_id long, place long")
+
+
+def _deal(least: float, batches):
+    """The sequence of the greedy assignment: a queue of members by their best score, and a pointer to the next free file of each key."""
+    import heapq
+
+    import numpy as np
+    import pyarrow as pa
+
+    columns: list[list] = [[] for _ in range(6)]
+    for batch in batches:
+        for held, column in zip(columns, batch.columns):
+            held.append(column.to_numpy(zero_copy_only=False))
+    if not columns[0]:
+        return
+    ask = np.concatenate(columns[0]).astype(bool)
+    key, ids, base, shared, words = (np.concatenate(c) for c in columns[1:])
+    del columns
+    s_key, s_place, s_words = key[~ask], ids[~ask], words[~ask]
+    order = np.lexsort((s_place, s_words, s_key))
+    s_key, s_place, s_words = s_key[order], s_place[order], s_words[order]
+    keys, starts = np.unique(s_key, return_index=True)
+    places, entry = np.unique(s_place, return_inverse=True)
+    ends = np.append(starts[1:], len(s_key))
+    key, ids, base, shared, words = key[ask], ids[ask], base[ask], shared[ask], words[ask]
+    slot = np.searchsorted(keys, key)
+    known = (slot < len(keys)) & (keys[np.minimum(slot, len(keys) - 1)] == key) if len(keys) else np.zeros(len(key), bool)
+    ids, base, shared, words, slot = ids[known], base[known], shared[known], words[known], slot[known]
+    order = np.argsort(ids, kind="stable")
+    base, shared, words, slot = (memoryview(np.ascontiguousarray(c[order])) for c in (base, shared, words, slot))
+    roms, first = np.unique(ids[order], return_index=True)
+    first = np.append(first, len(order)).tolist()
+    next_, end, entry, s_words = memoryview(starts.copy()), memoryview(ends), memoryview(np.ascontiguousarray(entry)), memoryview(np.ascontiguousarray(s_words))
+    used, scale = bytearray(len(places)), SCORES["title"]
+
+    def best(rom: int) -> tuple[float, int]:
+        top, file = float("-inf"), -1
+        for i in range(first[rom], first[rom + 1]):
+            at = slot[i]
+            p, stop = next_[at], end[at]
+            while p < stop and used[entry[p]]:
+                p += 1
+            next_[at] = p
+            if p == stop:
+                continue
+            n = shared[i]
+            score = base[i] + n / (words[i] + s_words[p] - n) * scale if n else base[i]
+            if file < 0 or score > top or score == top and entry[p] < file:
+                top, file = score, entry[p]
+        return top, file
+
+    queue = [(-score, rom) for rom in range(len(roms)) for score, file in [best(rom)] if file >= 0 and score >= least]
+    heapq.heapify(queue)
+    taken: list[tuple[int, int]] = []
+    while queue:
+        was, rom = heapq.heappop(queue)
+        score, file = best(rom)
+        if file < 0:
+            continue
+        if score == -was:
+            used[file] = 1
+            taken.append((rom, file))
+        elif score >= least:
+            heapq.heappush(queue, (-score, rom))
+    pairs = np.array(taken, dtype=np.int64).reshape(-1, 2)
+    for i in range(0, len(pairs), 50_000):
+        part = pairs[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(roms[part[:, 0]]), pa.array(places[part[:, 1]])], names=["rom_id", "place"])
 
 
 def patch_candidates(matched: DataFrame, patches: DataFrame) -> DataFrame:

@@ -430,7 +430,7 @@ def fuzzy_match(spark, d):
 @query()
 def assigned_files(spark, d):
     """Each file for one member at most, by descending score."""
-    return M.assign_once(M.fuzzy_match(_members(spark, d), _files(spark, d)))
+    return M.fuzzy_assign(_members(spark, d), _files(spark, d))
 
 
 def _enrich_sql() -> str:

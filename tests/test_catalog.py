@@ -108,6 +108,16 @@ def test_tiers_usage_and_fuzzy(spark):
     assert once == {10: 2, 12: 4}
 
 
+def test_assignment_goes_on_to_free_files(spark):
+    files = M.scanned_files(spark.createDataFrame([(i, "s", f"c{i}.bin", 5, "ab", None, None, None) for i in range(1, 41)], FILE))
+    roms = spark.createDataFrame([(1, 1, 100 + i, i, "rom", "b.bin", 5, "000000ab", None, None, None, None, None, None, "") for i in range(45)], MEMBER)
+    got = {r.rom_id: r.file_id for r in M.fuzzy_assign(roms, files).collect()}
+    by_path = sorted(range(1, 41), key=lambda i: f"s::c{i}.bin")
+    assert got == {100 + i: f for i, f in enumerate(by_path)}
+    pairs = spark.createDataFrame([(r, f, 100.0) for r in range(30) for f in range(30)], "rom_id bigint, file_id bigint, score double")
+    assert {r.rom_id: r.file_id for r in M.assign_once(pairs).collect()} == {i: i for i in range(30)}
+
+
 def test_patches_enrich_and_prefix(spark):
     matched = spark.createDataFrame([(1, "aabbccdd", "x.bin"), (2, "00000000", "y.bin")], "rom_id bigint, crc32 string, name string")
     patches = spark.createDataFrame([("p/Fix AABBCCDD.ips", None, "11111111", 4), ("p/other.bps", "ffffffff", None, None)], "path string, crc_before string, crc_after string, size_after bigint")
