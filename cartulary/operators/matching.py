@@ -192,15 +192,17 @@ def _name_keys() -> list[tuple[Column, float | Column]]:
 
 def _digest_asks(left: DataFrame, right: DataFrame) -> DataFrame:
     """Asks of the members that share a digest with files: each profile of such files, with its score."""
-    profiles = right.select(_profile().alias("key"), *[c for c in right.columns if c not in ("id", "place")]).dropDuplicates(["key"])
 
-    def ways(df: DataFrame) -> DataFrame:
-        weak = F.concat("crc32", F.lit("|"), F.col("size").cast("string"))
-        listed = F.array(*[F.struct(F.lit(w).alias("way"), v.alias("value")) for w, v in (("sha1", F.col("sha1")), ("md5", F.col("md5")), ("crc32", weak))])
-        return df.select(F.struct(*df.columns).alias("row"), F.inline(F.filter(listed, lambda x: x["value"].isNotNull())))
+    def ways(df: DataFrame, key: Column, name: str) -> DataFrame:
+        keys = [F.xxhash64(F.lit(d), d) for d in ("sha1", "md5")] + [F.xxhash64(F.lit("crc32"), "crc32", "size")]
+        known = [F.col("sha1").isNotNull(), F.col("md5").isNotNull(), F.col("crc32").isNotNull() & F.col("size").isNotNull()]
+        listed = F.array(*[F.when(k, v) for k, v in zip(known, keys)])
+        return df.select(key.alias(name), F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("way"))
 
-    met = ways(left).withColumnRenamed("row", "l").join(ways(profiles).withColumnRenamed("row", "f"), ["way", "value"])
-    met = met.withColumns({"rom_id": F.col("l.id"), "key": F.col("f.key")}).dropDuplicates(["rom_id", "key"])
+    profiles = right.select(_profile().alias("key"), *[c for c in right.columns if c not in ("id", "place")]).dropDuplicates(["key"])
+    pairs = ways(left, F.col("id"), "rom_id").join(ways(right, _profile(), "key"), "way").select("rom_id", "key").distinct()
+    l, f = (df.select(k, F.struct("size", "crc32", "md5", "sha1", "base", "title").alias(n)) for df, k, n in ((left, F.col("id").alias("rom_id"), "l"), (profiles, F.col("key"), "f")))
+    met = pairs.join(l, "rom_id").join(f, "key")
     same = lambda c: F.coalesce(F.col(f"l.{c}") == F.col(f"f.{c}"), F.lit(False))
     score = (
         F.when(same("sha1"), SCORES["sha1"]).otherwise(0.0) + F.when(same("md5"), SCORES["md5"]).otherwise(0.0) + F.when(same("crc32") & same("size"), SCORES["crc32"]).otherwise(0.0)
@@ -214,11 +216,52 @@ def _no_words() -> list[Column]:
     return [F.lit(0).cast("byte").alias(c) for c in ("shared", "words")]
 
 
+#: Titles of more words than this are compared in pairs; of the others all sets of words are keys (63 of six words).
+LONG = 6
+
+
+def _keys(df: DataFrame, name: str, *kept: str, profile: bool = False) -> DataFrame:
+    """``df`` once for each key by name, title or set of title words: ``key, base, shared, words``."""
+    plain = [(_profile(), F.lit(0.0))] * profile + [(k, F.lit(s) if isinstance(s, float) else s) for k, s in _name_keys()]
+    named = F.array(*[F.struct(k.alias("key"), s.alias("base"), *_no_words()) for k, s in plain])
+    n = F.size("w").cast("byte").alias("words")
+
+    def of(s: Column) -> Column:
+        size = F.size(s).cast("byte").alias("shared")
+        alone = F.struct(F.xxhash64(F.lit("words"), s).alias("key"), F.lit(0.0).alias("base"), size, n)
+        sized = F.struct(F.when(F.col("size").isNotNull(), F.xxhash64(F.lit("words+size"), s, "size")).alias("key"), F.lit(SCORES["size"]).alias("base"), size, n)
+        return F.array(alone, sized)
+
+    none = F.array().cast("array<array<bigint>>")
+    sets = F.aggregate(F.transform("w", lambda w: F.xxhash64(w)), none, lambda acc, w: F.concat(acc, F.array(F.array(w)), F.transform(acc, lambda s: F.concat(s, F.array(w)))))
+    few = F.when(F.size("w").between(1, LONG), sets).otherwise(none)
+    listed = F.filter(F.concat(named, F.flatten(F.transform(few, of))), lambda x: x["key"].isNotNull())
+    return df.withColumn("w", _words(F.col("title"))).select(F.col("id").alias(name), *kept, F.inline(listed))
+
+
 def _asks(left: DataFrame, right: DataFrame) -> DataFrame:
     """``rom_id, key, base, shared, words, by_digest``: the keys under which a member finds files, with the score of each."""
     by_digest = _digest_asks(left, right)
     rest = left.join(by_digest.select(F.col("rom_id").alias("d_id")).distinct(), F.col("id") == F.col("d_id"), "left_anti")
-    return by_digest.unionByName(_listed(rest, "rom_id", *_name_asks()))
+    return by_digest.unionByName(_keys(rest, "rom_id").withColumn("by_digest", F.lit(False))).unionByName(_long_asks(rest, right))
+
+
+def _listed(df: DataFrame, name: str, *rows: Column) -> DataFrame:
+    return df.select(F.col("id").alias(name), F.inline(F.filter(F.array(*rows), lambda x: x["key"].isNotNull())))
+
+
+def _long_asks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Asks of members for files by title where either title is long: distinct titles that share a word, in pairs."""
+    titles = lambda df: df.select("title").distinct().select("title", _words(F.col("title")).alias("w"))
+    spread = lambda df, s: df.select(F.struct("title", "w").alias(s), F.explode("w").alias("word"))
+    mine, theirs, long = titles(left), titles(right), F.size("w") > LONG
+    met = spread(mine.where(long), "l").join(spread(theirs, "f"), "word").unionByName(spread(mine.where(~long), "l").join(spread(theirs.where(long), "f"), "word"))
+    pairs = met.select("l", "f").distinct().where(F.col("l.title") != F.col("f.title")).select(F.col("l.title").alias("l_title"), F.col("f.title").alias("title"), _jaccard(F.col("l.w"), F.col("f.w")).alias("score"))
+    pairs = pairs.where(F.col("score") + SCORES["size"] >= LEAST_SCORE)
+    rows = left.select("id", "size", F.col("title").alias("own")).join(pairs, F.col("own") == F.col("l_title"))
+    (_, _), (sized, _), (titled, _) = _name_keys()
+    asks = [F.struct(k.alias("key"), s.alias("base"), *_no_words(), F.lit(False).alias("by_digest")) for k, s in ((sized, F.col("score") + SCORES["size"]), (titled, F.col("score")))]
+    return _listed(rows, "rom_id", *asks)
 
 
 def _name_asks() -> list[Column]:
@@ -230,30 +273,37 @@ def _listed(df: DataFrame, name: str, *rows: Column) -> DataFrame:
 
 
 def _supply(right: DataFrame) -> DataFrame:
-    """``file_id, place, key, words``: the files under each key; those with fewer words come first, then by place."""
-    keys = [_profile(), *[key for key, _ in _name_keys()]]
-    rows = F.array(*[F.struct(k.alias("key"), F.lit(0).cast("byte").alias("words")) for k in keys])
-    return right.select(F.col("id").alias("file_id"), "place", F.inline(F.filter(rows, lambda x: x["key"].isNotNull())))
+    """``place, key, words``: the files under each key; those with fewer words come first, then by place."""
+    return _keys(right, "file_id", "place", profile=True).select("place", "key", "words")
 
 
-def _path() -> Column:
-    return F.coalesce(F.concat("source", F.lit("::"), "relative"), F.lit(""))
+def _sides(members: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What scores need of members and of files, written once, and ``file_id, place``: the files' order by path."""
+    from cartulary.session import checkpointed
+
+    path = F.coalesce(F.concat("source", F.lit("::"), "relative"), F.lit(""))
+    place = F.row_number().over(Window.orderBy(path, "file_id")).cast("long")
+    right = checkpointed(_parts(files, "file_id", "relative", place))
+    return checkpointed(_parts(members, "rom_id", "name", F.lit(0))), right, right.select(F.col("id").alias("file_id"), "place")
 
 
 def fuzzy_match(members: DataFrame, files: DataFrame) -> DataFrame:
     """``rom_id, file_id, score, by_digest``: the best file of each member by digests, size, name and title words.
 
     Members ask under keys, and of each key only the first file can be the best one,
-    so a member meets one file per key it has and no groups are crossed.  Files that
-    agree by digest displace all others; then score, then path.
+    so a member meets one file per key it has.  Titles that agree in part meet under
+    the words they share: every set of a title's words is a key, and of the files with
+    these words the one with the fewest words is the most alike.  Only long titles are
+    compared in pairs, and members with the profiles of files that share a digest.
+    Files that agree by digest displace all others; then score, then path.
     """
-    left, right = _parts(members, "rom_id", "name", F.lit(0)), _parts(files, "file_id", "relative", _path())
-    first = _supply(right).groupBy("key").agg(F.min(F.struct("words", "place", "file_id")).alias("f"))
+    left, right, places = _sides(members, files)
+    first = _supply(right).groupBy("key").agg(F.min(F.struct("words", "place")).alias("f"))
     score = F.col("base") + F.when(F.col("shared") > 0, F.col("shared") / (F.col("words") + F.col("f.words") - F.col("shared")) * SCORES["title"]).otherwise(0.0)
-    scored = _asks(left, right).join(first, "key").select("rom_id", "f.file_id", F.col("f.place").alias("place"), score.alias("score"), "by_digest")
+    scored = _asks(left, right).join(first, "key").select("rom_id", F.col("f.place").alias("place"), score.alias("score"), "by_digest")
     won = scored.where(F.col("score") >= LEAST_SCORE).groupBy("rom_id").agg(
-        F.min_by(F.struct("file_id", "score", "by_digest"), F.struct((-F.col("score")).alias("s"), "place", "file_id")).alias("m"))
-    return won.select("rom_id", "m.file_id", F.round("m.score", 6).alias("score"), "m.by_digest")
+        F.min(F.struct((-F.col("score")).alias("s"), "place", "by_digest")).alias("m"))
+    return won.select("rom_id", "m.place", F.round(-F.col("m.s"), 6).alias("score"), "m.by_digest").join(places, "place").select("rom_id", "file_id", "score", "by_digest")
 
 
 def fuzzy_assign(members: DataFrame, files: DataFrame) -> DataFrame:
@@ -262,15 +312,8 @@ def fuzzy_assign(members: DataFrame, files: DataFrame) -> DataFrame:
     Greedy by descending score, then smaller ``rom_id``, then path: a member whose best
     files are taken goes on to its next one, until its list ends.
     """
-    from cartulary.session import checkpointed
-
-    places = files.select("file_id", F.row_number().over(Window.orderBy(_path(), "file_id")).cast("long").alias("place"))
-    ranked = files.join(places, "file_id")
-    left, right = _parts(members, "rom_id", "name", F.lit(0)), _parts(ranked, "file_id", "relative", F.col("place"))
-    supply = _supply(right)
-    asks = checkpointed(_asks(left, right).drop("by_digest").join(supply.select("key").distinct(), "key", "left_semi"))
-    supply = supply.join(asks.select("key").distinct(), "key", "left_semi")
-    return _dealt(asks, supply.select("key", "place", "words"), LEAST_SCORE).join(places, "place").select("rom_id", "file_id")
+    left, right, places = _sides(members, files)
+    return _dealt(_asks(left, right), _supply(right), LEAST_SCORE).join(places, "place").select("rom_id", "file_id")
 
 
 def assign_once(scored: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,32 @@ def test_assignment_goes_on_to_free_files(spark):
     assert {r.rom_id: r.file_id for r in M.assign_once(pairs).collect()} == {i: i for i in range(30)}
 
 
+def test_partial_titles_equal_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(12)]
+    title = lambda: " ".join(rng.sample(vocabulary, rng.choice((1, 2, 3, 4, 6, 7, 9)))) + rng.choice((" (USA)", ""))
+    raw = [(i, "s", f"{title()}.bin", rng.choice((1, 2, None)), None, None, None, None) for i in range(60)]
+    names = [(i, f"{title()}.{rng.choice(('bin', 'rom'))}", rng.choice((1, 2, None))) for i in range(80)]
+    files = M.scanned_files(spark.createDataFrame(raw, FILE))
+    roms = spark.createDataFrame([(1, 1, i, i, "rom", n, s, None, None, None, None, None, None, None, "") for i, n, s in names], MEMBER)
+    plain = lambda n: n.rsplit(".", 1)[0].replace("(USA)", "").strip()
+
+    def score(name, size, file):
+        a, b = set(plain(name).split()), set(plain(file[2]).split())
+        sized = 0 if size is None or size != file[3] else 700 if name == file[2] else 20
+        return sized + (300 if plain(name) == plain(file[2]) else len(a & b) / len(a | b) * 300)
+
+    ranked = sorted((-score(n, s, f), i, f"s::{f[2]}", f[0]) for i, n, s in names for f in raw if score(n, s, f) >= 25)
+    best, used, once = {}, set(), {}
+    for points, i, _, f in ranked:
+        best.setdefault(i, (f, round(-points, 6)))
+        if i not in once and f not in used:
+            once[i] = f
+            used.add(f)
+    assert len(best) > 70 and {r.rom_id: (r.file_id, r.score) for r in M.fuzzy_match(roms, files).collect()} == best
+    assert {r.rom_id: r.file_id for r in M.fuzzy_assign(roms, files).collect()} == once
+
+
 def test_patches_enrich_and_prefix(spark):
     matched = spark.createDataFrame([(1, "aabbccdd", "x.bin"), (2, "00000000", "y.bin")], "rom_id bigint, crc32 string, name string")
     patches = spark.createDataFrame([("p/Fix AABBCCDD.ips", None, "11111111", 4), ("p/other.bps", "ffffffff", None, None)], "path string, crc_before string, crc_after string, size_after bigint")
