@@ -262,7 +262,8 @@ def merge_split(entries: DataFrame, members: DataFrame, mode: str, devices: Data
     to (``devices``: game_id, device); ``nonmerged`` leaves out what the topmost romof
     ancestor holds (all of a BIOS, only BIOS members of another entry); ``split`` also
     what the parent holds; ``merged`` puts the clones' members into their parent under
-    ``clone\\name`` and keeps each identity once, clones first.
+    ``clone\\name`` and keeps each identity once, clones first; the
+    disks that ``split`` leaves to entries that are no clones stay as they are.
     """
     rows = sanitized(members).select("dat_id", "game_id", "rom_id", "ord", "kind", "name", "identity", "merge", "bios")
     if mode == "fullnonmerged":
@@ -289,7 +290,9 @@ def merge_split(entries: DataFrame, members: DataFrame, mode: str, devices: Data
         "dat_id", "group_name", "clone", "game_id", "ord", "rom_id", "kind", "identity", F.when(F.col("clone"), F.concat("g_name", F.lit("\\"), "name")).otherwise(F.col("name")).alias("name"))
     first = flat.where(F.col("kind") != "disk").groupBy("dat_id", "group_name", "identity").agg(
         F.min(F.struct((~F.col("clone")).alias("own"), "game_id", "ord", "rom_id", "kind", "name")).alias("m"))
-    return first.select("dat_id", "group_name", "m.game_id", "m.rom_id", "m.kind", "m.name", "identity")
+    merged = first.select("dat_id", "group_name", "m.game_id", "m.rom_id", "m.kind", "m.name", "identity")
+    disks = flat.where((F.col("kind") == "disk") & ~F.col("clone"))
+    return merged.unionByName(disks.select(merged.columns))
 
 
 def split_single_bios(entries: DataFrame, members: DataFrame, limit: int = 10) -> DataFrame:

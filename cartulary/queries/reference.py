@@ -303,7 +303,8 @@ def prefer_one(spark, d):
 def _merged(mode: str):
     def run(spark, d):
         entries = _entries(spark, d, "dat_id", "id", "name", "cloneof", "cloneofid", "romof", "isbios")
-        return C.merge_split(entries, _members(spark, d, entries), mode)
+        rows = C.merge_split(entries, _members(spark, d, entries), mode)
+        return rows.where(F.col("kind") != "disk") if mode == "merged" else rows  # as its SQL states; merge_merged_disks has the disks
 
     run.__name__ = f"merge_{mode}"
     run.__doc__ = f"Members of each set under the merge mode {mode}."
@@ -340,6 +341,13 @@ for _mode, _sql in {
     query(_sql)(_merged(_mode))
 
 
+@query()
+def merge_merged_disks(spark, d):
+    """Members and disks of each set under the merge mode merged."""
+    entries = _entries(spark, d, "dat_id", "id", "name", "cloneof", "cloneofid", "romof", "isbios")
+    return C.merge_split(entries, _members(spark, d, entries), "merged")
+
+
 @query(f"""WITH RECURSIVE {_ENTRIES}, {_ROOTS} SELECT game_id, root_id FROM roots""")
 def romof_roots(spark, d):
     """Topmost ancestors by romof over unbroken chains."""

@@ -94,6 +94,13 @@ def test_merge_modes(spark):
     assert got("fullnonmerged", devices=devices) == sorted([(0, "b"), (1, "b"), (1, "x"), (2, "y"), (2, "z"), (2, "b"), (3, "d"), (1, "d")])
 
 
+def test_merged_keeps_disks(spark):
+    e = entries(spark, {"name": "p"}, {"name": "c", "cloneof": "p"})
+    rows = [(1, g, i, i, k, n, 1, None, None, None, None, None, None, None, h) for i, (g, k, n, h) in enumerate([(0, "rom", "x", "hx"), (0, "disk", "d", "hd"), (1, "rom", "y", "hy"), (1, "disk", "e", "he")])]
+    got = sorted((r.game_id, r.kind, r.name) for r in C.merge_split(e, spark.createDataFrame(rows, MEMBER), "merged").collect())
+    assert got == [(0, "disk", "d"), (0, "rom", "x"), (1, "rom", "c\\y")]
+
+
 FILE = "file_id bigint, source string, relative string, size bigint, crc32 string, md5 string, sha1 string, sha256 string"
 
 
