@@ -122,18 +122,18 @@ def covering_archives(members: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def enrich_digests(files: DataFrame) -> DataFrame:
-    """``file_id`` with digests that other files of equal digests know: by crc32, then md5, sha1, sha256; the last file wins.
+    """``file_id`` with digests that other files of equal digests know: by crc32 with size, then md5, sha1, sha256; the last file wins.
 
-    Each round is an aggregation by one digest and a join back; digests shared by
-    few files stay small, a hot one is one row of the aggregate.
+    Each round is an aggregation by one of the digests that the files came with and a
+    join back; digests shared by few files stay small, a hot one is one row of the aggregate.
     """
-    rows = files.select("file_id", *DIGESTS)
-    for by in DIGESTS:
-        known = rows.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("by")).agg(
-            *[F.max_by(d, F.when(F.col(d).isNotNull(), F.col("file_id"))).alias(f"k_{d}") for d in DIGESTS if d != by])
-        rows = rows.join(known, F.col(by) == F.col("by"), "left").select(
-            "file_id", *[F.col(d) if d == by else F.coalesce(f"k_{d}", d).alias(d) for d in DIGESTS])
-    return rows
+    own = files.select("file_id", *DIGESTS, *[F.col(d).alias(f"by_{d}") for d in DIGESTS if d != "crc32"], F.when(F.col("size") > 0, F.concat("crc32", F.lit("|"), F.col("size").cast("string"))).alias("by_crc32"))
+    rows, keys = own, [f"by_{d}" for d in DIGESTS]
+    for by in keys:
+        known = own.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("by")).agg(
+            *[F.max_by(d, F.when(F.col(d).isNotNull(), F.col("file_id"))).alias(f"k_{d}") for d in DIGESTS])
+        rows = rows.join(known, F.col(by) == F.col("by"), "left").select("file_id", *keys, *[F.coalesce(f"k_{d}", d).alias(d) for d in DIGESTS])
+    return rows.select("file_id", *DIGESTS)
 
 
 def fill_from_cache(files: DataFrame, cache: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -153,6 +153,12 @@ def test_partial_titles_equal_brute_force(spark):
     assert {r.rom_id: r.file_id for r in M.fuzzy_assign(roms, files).collect()} == once
 
 
+def test_enrich_needs_equal_sizes_and_own_digests(spark):
+    rows = [(1, "s", "a", 5, "aa", "1" * 32, None, None), (2, "s", "b", 6, "aa", "2" * 32, None, None), (3, "s", "c", 5, "aa", None, None, None), (4, "s", "d", 7, "bb", "1" * 32, "4" * 40, None), (5, "s", "e", 0, "cc", "5" * 32, None, None), (6, "s", "f", 0, "cc", None, None, None)]
+    got = {r.file_id: (r.crc32, r.md5, r.sha1) for r in M.enrich_digests(M.scanned_files(spark.createDataFrame(rows, FILE))).collect()}
+    assert got[1][1] == "1" * 32 and got[2] == ("000000aa", "2" * 32, None) and got[3] == ("000000aa", "1" * 32, None) and got[6][1] is None and got[1][2] == "4" * 40
+
+
 def test_patches_enrich_and_prefix(spark):
     matched = spark.createDataFrame([(1, "aabbccdd", "x.bin"), (2, "00000000", "y.bin")], "rom_id bigint, crc32 string, name string")
     patches = spark.createDataFrame([("p/Fix AABBCCDD.ips", None, "11111111", 4), ("p/other.bps", "ffffffff", None, None)], "path string, crc_before string, crc_after string, size_after bigint")
