@@ -10,11 +10,15 @@ from cartulary.operators.diff import compare_copies
 from cartulary.operators.entries import in_force
 from cartulary.operators.hierarchy import climb, descendants, entry_links
 from cartulary.operators.multivalue import LANGUAGES, TITLES, split_values
-from cartulary.operators.nested import flatten_members, flatten_nodes
+from cartulary.operators.nested import flatten_nodes, level_table
 from cartulary.operators.references import catalog_references, orphan_references, orphan_report
 from cartulary.session import table
 
 
+#: Columns of p7_found.
+P7_KEYS = ("raw_id", "root", "list_pos", "entry_tag", "entry_pos", "part_pos", "area_pos", "kind", "member_pos")
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry_links(in_force(table(spark, sf_dir, "games"), "dat_id", "name", "cloneof", "romof"))
 
@@ -76,8 +80,19 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions of each rom and disk inside its catalog object."""
-    return flatten_members(table(spark, sf_dir, "dat_objects")).drop("area_tag")
+    """Positions of each rom and disk inside its catalog object: the keys of the member subtype tables."""
+    return level_table(flatten_nodes(table(spark, sf_dir, "dat_objects")), "member").select(*P7_KEYS)
+
+
+def p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roms and disks with the typed fields of their variant's table."""
+    return level_table(flatten_nodes(table(spark, sf_dir, "dat_objects")), "member").select(*P7_KEYS, "variant", "name", "size", "status", "merge", "crc", "md5", "sha1")
+
+
+def p7_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, entries, parts and areas with the keys that tie them to their parents, and their names."""
+    nodes = flatten_nodes(table(spark, sf_dir, "dat_objects")).where(F.col("level") != "member")
+    return nodes.select(*[c for c in P7_KEYS if c not in ("kind", "member_pos")], "area_tag", "level", "variant", F.try_element_at("fields", F.lit("name")).alias("name"))
 
 
 def p7_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +103,7 @@ def p7_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_paths, p3_descendants, p4_found, p4_summary, p5_found, p6_found, p6_report, p7_found, p7_variants)
+    for f in (p3_found, p3_paths, p3_descendants, p4_found, p4_summary, p5_found, p6_found, p6_report, p7_found, p7_members, p7_holders, p7_variants)
 }
 
 _IN_FORCE = """
@@ -159,26 +174,56 @@ def _listed(value: str) -> str:
     return f"(CASE json_type({value}) WHEN 'ARRAY' THEN CAST({value} AS JSON[]) WHEN 'OBJECT' THEN [{value}] ELSE CAST([] AS JSON[]) END)"
 
 
+def _given(*names: str) -> str:
+    return "(" + " OR ".join(f"coalesce(json_extract_string(m, '$.{n}') <> '', false)" for n in names) + ")"
+
+
 _KINDS = "(VALUES ('rom'), ('disk')) k(kind)"
-_P7 = f"""
+_P7_NODES = f"""
 WITH j AS (SELECT raw_id, CAST(raw AS JSON) AS d FROM dat_objects WHERE raw IS NOT NULL AND json_valid(raw)),
 roots AS (SELECT raw_id, root, json_extract(d, '$.' || root) AS c FROM j, (VALUES ('datafile'), ('mame')) r(root)),
 flat AS (SELECT raw_id, root, -1 AS list_pos, tag AS entry_tag, unnest(range(len(a))) AS entry_pos, unnest(a) AS e
   FROM (SELECT raw_id, root, tag, {_listed("json_extract(c, '$.' || tag)")} AS a FROM roots, (VALUES ('game'), ('machine')) t(tag) WHERE json_type(c) = 'OBJECT')),
 lists AS (SELECT raw_id, 'softwarelist' AS root, -1 AS list_pos, json_extract(d, '$.softwarelist') AS c FROM j
-  UNION ALL SELECT raw_id, 'softwarelists', unnest(range(len(a))), unnest(a) FROM (SELECT raw_id, {_listed("json_extract(d, '$.softwarelists.softwarelist')")} AS a FROM j)),
+  UNION ALL SELECT raw_id, 'softwarelists', unnest(range(len(a))), unnest(a) FROM (SELECT raw_id, {_listed("json_extract(d, '$.softwarelists.softwarelist')")} AS a FROM j WHERE json_type(d, '$.softwarelists') = 'OBJECT')),
 soft AS (SELECT raw_id, root, list_pos, 'software' AS entry_tag, unnest(range(len(a))) AS entry_pos, unnest(a) AS e
   FROM (SELECT raw_id, root, list_pos, {_listed("json_extract(c, '$.software')")} AS a FROM lists WHERE json_type(c) = 'OBJECT')),
-parts AS (SELECT * EXCLUDE (a, e), unnest(range(len(a))) AS part_pos, unnest(a) AS p FROM (SELECT *, {_listed("json_extract(e, '$.part')")} AS a FROM soft)),
-areas AS (SELECT * EXCLUDE (a, p), unnest(range(len(a))) AS area_pos, unnest(a) AS h FROM (SELECT parts.*, {_listed("json_extract(p, '$.' || area)")} AS a FROM parts, (VALUES ('dataarea'), ('diskarea')) q(area))),
-holders AS (SELECT raw_id, root, list_pos, entry_tag, entry_pos, -1 AS part_pos, -1 AS area_pos, e AS h FROM flat
-  UNION ALL SELECT raw_id, root, list_pos, entry_tag, entry_pos, part_pos, area_pos, h FROM areas),
-members AS (SELECT * EXCLUDE (a, h), unnest(range(len(a))) AS member_pos, unnest(a) AS m FROM (SELECT holders.*, kind, {_listed("json_extract(h, '$.' || kind)")} AS a FROM holders, {_KINDS}))
-SELECT raw_id, root, list_pos::BIGINT AS list_pos, entry_tag, entry_pos::BIGINT AS entry_pos, part_pos::BIGINT AS part_pos, area_pos::BIGINT AS area_pos, kind, member_pos::BIGINT AS member_pos
-FROM members WHERE json_type(m) = 'OBJECT' AND len(json_keys(m)) > 0"""
+parts AS (SELECT * EXCLUDE (a, e), unnest(range(len(a))) AS part_pos, unnest(a) AS p FROM (SELECT *, {_listed("json_extract(e, '$.part')")} AS a FROM soft WHERE json_type(e) = 'OBJECT')),
+areas AS (SELECT * EXCLUDE (a, p), unnest(range(len(a))) AS area_pos, unnest(a) AS h FROM (SELECT parts.*, area AS area_tag, {_listed("json_extract(p, '$.' || area)")} AS a FROM parts, (VALUES ('dataarea'), ('diskarea')) q(area) WHERE json_type(p) = 'OBJECT')),
+holders AS (SELECT raw_id, root, list_pos, entry_tag, entry_pos, -1 AS part_pos, NULL AS area_tag, -1 AS area_pos, e AS h FROM flat WHERE json_type(e) = 'OBJECT'
+  UNION ALL SELECT raw_id, root, list_pos, entry_tag, entry_pos, part_pos, area_tag, area_pos, h FROM areas WHERE json_type(h) = 'OBJECT'),
+members AS (SELECT * EXCLUDE (a, h), unnest(range(len(a))) AS member_pos, unnest(a) AS m FROM (SELECT holders.*, kind, {_listed("json_extract(h, '$.' || kind)")} AS a FROM holders, {_KINDS})),
+found AS (SELECT *, CASE WHEN {_given('md5', 'sha1', 'sha256')} THEN 'digested' WHEN {_given('crc')} THEN 'summed' ELSE 'plain' END AS variant FROM members WHERE json_type(m) = 'OBJECT' AND len(json_keys(m)) > 0)
+"""
+_P7_COLUMNS = "raw_id, root, list_pos::BIGINT AS list_pos, entry_tag, entry_pos::BIGINT AS entry_pos, part_pos::BIGINT AS part_pos, area_pos::BIGINT AS area_pos"
+_P7 = f"{_P7_NODES} SELECT {_P7_COLUMNS}, kind, member_pos::BIGINT AS member_pos FROM found"
+_TEXT = "json_extract_string({0}, '$.{1}')"
+_SIZE = "lower(trim(json_extract_string(m, '$.size')))"
+_P7_MEMBERS = f"""{_P7_NODES} SELECT {_P7_COLUMNS}, kind, member_pos::BIGINT AS member_pos, variant, {', '.join(f"{_TEXT.format('m', n)} AS {n}" for n in ('name', 'status', 'merge'))},
+  CASE WHEN {_SIZE} LIKE '0x%' THEN try_cast({_SIZE} AS BIGINT) ELSE try_cast({_SIZE} AS BIGINT) END AS size,
+  CASE WHEN variant <> 'plain' THEN {_TEXT.format('m', 'crc')} END AS crc, CASE WHEN variant = 'digested' THEN {_TEXT.format('m', 'md5')} END AS md5, CASE WHEN variant = 'digested' THEN {_TEXT.format('m', 'sha1')} END AS sha1 FROM found"""
+_UP = ["raw_id", "root", "list_pos", "entry_tag", "entry_pos", "part_pos", "area_tag", "area_pos"]
+_P7_HOLDERS = f"""{_P7_NODES},
+area_rows AS (SELECT h.* EXCLUDE (h), 'area' AS level, CASE WHEN f.raw_id IS NULL THEN 'vacant' ELSE 'filled' END AS variant, {_TEXT.format('h', 'name')} AS name
+  FROM holders h LEFT JOIN (SELECT DISTINCT {', '.join(_UP)} FROM found WHERE area_pos >= 0) f USING ({', '.join(_UP)}) WHERE h.area_pos >= 0),
+part_rows AS (SELECT p.* EXCLUDE (p), NULL AS area_tag, -1 AS area_pos, 'part' AS level, CASE WHEN a.best IS NULL THEN 'alone' WHEN a.best = 'filled' THEN 'housed' ELSE 'hollow' END AS variant, {_TEXT.format('p', 'name')} AS name
+  FROM parts p LEFT JOIN (SELECT {', '.join(_UP[:6])}, min(variant) AS best FROM area_rows GROUP BY ALL) a USING ({', '.join(_UP[:6])}) WHERE json_type(p) = 'OBJECT'),
+set_rows AS (SELECT s.* EXCLUDE (e), -1 AS part_pos, NULL AS area_tag, -1 AS area_pos, 'entry' AS level, CASE WHEN p.full_ THEN 'composed' WHEN p.full_ IS NOT NULL THEN 'outlined' ELSE 'empty' END AS variant, {_TEXT.format('e', 'name')} AS name
+  FROM soft s LEFT JOIN (SELECT {', '.join(_UP[:5])}, bool_or(variant = 'housed') AS full_ FROM part_rows GROUP BY ALL) p USING ({', '.join(_UP[:5])}) WHERE json_type(e) = 'OBJECT'),
+entry_rows AS (SELECT f.* EXCLUDE (e), -1 AS part_pos, NULL AS area_tag, -1 AS area_pos, 'entry' AS level, CASE WHEN m.raw_id IS NULL THEN 'empty' ELSE 'direct' END AS variant, {_TEXT.format('e', 'name')} AS name
+  FROM flat f LEFT JOIN (SELECT DISTINCT {', '.join(_UP[:5])} FROM found WHERE area_pos < 0) m USING ({', '.join(_UP[:5])}) WHERE json_type(e) = 'OBJECT'),
+entries_ AS (SELECT * FROM set_rows UNION ALL BY NAME SELECT * FROM entry_rows),
+list_rows AS (SELECT l.raw_id, l.root, l.list_pos, NULL AS entry_tag, -1 AS entry_pos, -1 AS part_pos, NULL AS area_tag, -1 AS area_pos, 'list' AS level,
+    CASE WHEN x.full_ THEN 'stocked' WHEN x.full_ IS NOT NULL THEN 'listed' ELSE 'blank' END AS variant, {_TEXT.format('c', 'name')} AS name
+  FROM (SELECT raw_id, root, list_pos, c FROM lists UNION ALL SELECT raw_id, root, -1, c FROM roots) l
+  LEFT JOIN (SELECT raw_id, root, list_pos, bool_or(variant IN ('direct', 'composed')) AS full_ FROM entries_ GROUP BY ALL) x USING (raw_id, root, list_pos) WHERE json_type(c) = 'OBJECT'),
+above AS (SELECT * FROM area_rows UNION ALL BY NAME SELECT * FROM part_rows UNION ALL BY NAME SELECT * FROM entries_ UNION ALL BY NAME SELECT * FROM list_rows)"""
 
 ORACLE_SQL = {
     "p7_found": _P7,
+    "p7_members": _P7_MEMBERS,
+    "p7_holders": f"{_P7_HOLDERS} SELECT {_P7_COLUMNS}, area_tag, level, variant, name FROM above",
+    "p7_variants": f"{_P7_HOLDERS} SELECT root, level, variant, count(*) AS nodes, count(DISTINCT raw_id) AS texts FROM (SELECT raw_id, root, level, variant FROM above UNION ALL SELECT raw_id, root, 'member', variant FROM found) GROUP BY 1, 2, 3",
     "p3_found": _CLIMB + """SELECT l.link, l.child AS game_id, coalesce(e.path[1], -1)::BIGINT AS root_id, coalesce(len(e.path) - 1, -1)::BIGINT AS depth
         FROM links l LEFT JOIN ends e ON e.link = l.link AND e.node = l.child""",
     "p3_paths": _CLIMB + "SELECT link, node AS game_id, array_to_string(path, '/') AS path FROM ends",

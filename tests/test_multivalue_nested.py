@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from cartulary.operators.multivalue import LANGUAGES, TITLES, split_values
-from cartulary.operators.nested import SUBTYPES, flatten_members, flatten_nodes, parse, subtype_table
+from cartulary.operators import nested
+from cartulary.operators.nested import SUBTYPES, flatten_nodes, level_table, parse, subtype_table, write_subtypes
 
 
 def split(spark, values, field, repeat=30):
@@ -53,20 +56,60 @@ DOC = {
 }
 
 
-def test_nested_positions_and_tables(spark):
+KEYS = ("raw_id", "root", "list_pos", "entry_tag", "entry_pos", "part_pos", "area_pos", "kind", "member_pos")
+
+
+def members_of(df):
+    return level_table(flatten_nodes(df), "member")
+
+
+def test_nested_positions_and_tables(spark, tmp_path):
     texts = [json.dumps(DOC), None, "", "  ", "{", '{"mame": {}} {}', "[]", '"x"', "NaN", '{"datafile": ""}', "[" * 100_000, '{"mame": {"game": {"rom": {"n": NaN}}}}']
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "raw_id bigint, raw string, root string")
-    got = sorted(tuple(r) for r in flatten_members(df).select("raw_id", "root", "list_pos", "entry_tag", "entry_pos", "part_pos", "area_pos", "kind", "member_pos").collect())
+    got = sorted(tuple(r) for r in members_of(df).select(*KEYS).collect())
     assert got == [
         (0, "datafile", -1, "game", 0, -1, -1, "rom", 2), (0, "datafile", -1, "game", 2, -1, -1, "disk", 0), (0, "datafile", -1, "machine", 0, -1, -1, "rom", 0),
         (0, "softwarelists", 1, "software", 0, 1, 0, "disk", 0), (0, "softwarelists", 1, "software", 0, 1, 1, "rom", 0),
     ]
     nodes = flatten_nodes(df).cache()
-    assert nodes.where("level = 'member'").count() == 5
     summed = subtype_table(nodes, "member", "summed").collect()
     assert [(r.name, r["size"], r.crc) for r in summed] == [("5", 16, "1")]
+    assert {(r.level, r.variant) for r in nodes.collect()} == {
+        ("list", "stocked"), ("entry", "direct"), ("entry", "composed"), ("part", "alone"), ("part", "housed"), ("area", "vacant"), ("area", "filled"),
+        ("member", "summed"), ("member", "digested"), ("member", "plain")}
+    write_subtypes(nodes, str(tmp_path / "nodes"))
+    kept = spark.read.parquet(str(tmp_path / "nodes"))
     for level, variant in SUBTYPES:
-        subtype_table(nodes, level, variant).collect()
-    assert {(r.level, r.variant) for r in nodes.collect()} == {("list", "catalog"), ("entry", "flat"), ("entry", "parted"), ("part", "bare"), ("part", "housed"), ("area", "bare"), ("area", "filled"), ("member", "summed"), ("member", "digested"), ("member", "bare")}
-    assert flatten_members(df.limit(0)).count() == 0
+        assert sorted(map(str, subtype_table(kept, level, variant).collect())) == sorted(map(str, subtype_table(nodes, level, variant).collect()))
+    assert members_of(df.limit(0)).count() == 0
     assert parse('{"a": 1' + "0" * 5_000 + "}") is not None
+
+
+def test_deep_texts_and_lone_surrogates_lose_nothing(spark):
+    deep = '{"mame": {"game": {"name": "g", "rom": {"name": "r", "extra": ' + '[{"x":' * 20_000 + "1" + "}]" * 20_000 + "}}}}"
+    odd = r'{"mame": {"game": {"rom": [{"name": "\ud83d x", "\udc00": "\ud83d\ude00"}]}}}'
+    df = spark.createDataFrame([(1, deep), (2, odd), (3, deep[:-1])], "raw_id bigint, raw string")
+    got = members_of(df).orderBy("raw_id").collect()
+    assert [(r.raw_id, r.name) for r in got] == [(1, "r"), (2, "\ufffd x")]
+    fields = flatten_nodes(df).where("raw_id = 2 AND level = 'member'").first().fields
+    assert fields["\ufffd"] == "\U0001f600"
+
+
+def test_deep_parser_agrees_with_the_decoder():
+    good = ["{}", "[]", ' {"a":[1,2.5,{"b":null,"c":"\\u00e9\\ud83d"}],"d":true} ', '"x"', "-0.5e+10", "[[],{}]", '{"a":1,"a":[2]}']
+    assert [nested._parse_deep(x) for x in good] == [json.loads(x, parse_int=str, parse_float=str) for x in good]
+    for bad in ("{", '{"a":1,}', "[1,]", "[01]", '{"a" 1}', '"\\x"', "nul", "[1 2]", '{"a":1}}', "[+1]", "[1.]", "[.5]", '["\t"]', "", "{1:2}"):
+        with pytest.raises(ValueError):
+            nested._parse_deep(bad)
+
+
+def test_automaton_is_its_tables():
+    """Every symbol that a route leads to is passed through or has transitions, every state has its table."""
+    reached = {under for keys in nested.ROUTES.values() for under in keys.values()}
+    assert reached - set(nested.TRANSITIONS) == {"lists"}
+    assert {(nested.LEVEL_OF[s], state) for s, rules in nested.TRANSITIONS.items() for _, state in rules} == set(SUBTYPES)
+
+
+def test_batches_are_cut_inside_a_text(spark, monkeypatch):
+    text = json.dumps({"mame": {"game": [{"rom": [{"name": str(i)} for i in range(20_000)]}]}})
+    assert members_of(spark.createDataFrame([(1, text)], "raw_id bigint, raw string")).count() == 20_000
