@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartulary.llm.canonical import map_records
 from cartulary.llm.leakage import leaked_items
 from cartulary.llm.reading import reading_levels
-from cartulary.llm.survivor import elect, surviving_records
+from cartulary.llm.survivor import FIELDS, elect, surviving_records
 from cartulary.llm.tokens import encode_documents
 from cartulary.session import table
 
@@ -81,21 +81,28 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_records,
 
 _KNOWN = "(regexp_matches({0}, '[\\p{{L}}\\p{{N}}]') AND lower(trim({0})) NOT IN ('unknown', 'n/a', 'na', 'none', 'null', 'nil', 'not known', 'not given', 'none given', 'not available', 'not specified', 'unspecified', 'undefined', 'missing', 'tbd', 'tba', 'nan'))"
 
-ORACLE_SQL = {
-    "p2_found": f"""
+_VALUES = f"""
 WITH c AS (SELECT *, coalesce(list_position(['bad', 'modified', 'clean', 'pending', 'fixed', 'verified'], lower(trim(quality))), 0) AS q,
-    len(list_distinct(list_transform(list_filter(languages, lambda x: coalesce({_KNOWN.format('x')}, false)), lambda x: lower(trim(x))))) AS n_lang,
-    regexp_replace(lower(trim(revision)), '^\\(\\s*|\\s*\\)$', '', 'g') AS rev, count(*) OVER (PARTITION BY title) AS n
+    list_sort(list_distinct(list_transform(list_filter(languages, lambda x: coalesce({_KNOWN.format('x')}, false)), lambda x: lower(trim(x))))) AS langs,
+    regexp_replace(lower(trim(revision)), '^\\(\\s*|\\s*\\)$', '', 'g') AS rev, count(*) OVER (PARTITION BY title) AS n,
+    3600 + coalesce(least(greatest(epoch_us(updated_at) // 86400000000 - 18262, -3600), 3600), -3600) AS age
   FROM candidates WHERE title IS NOT NULL),
-k AS (SELECT *, CASE WHEN regexp_matches(rev, '^prg\\s*\\d+$') THEN 4 WHEN regexp_matches(rev, '^v\\s*\\d+(\\.\\d+)*$') THEN 3
-    WHEN regexp_matches(rev, '^rev\\s*\\d+$') THEN 2 WHEN regexp_matches(rev, '^rev\\s*[a-z]$') THEN 1 ELSE 0 END AS kind FROM c WHERE n > 1),
+k AS (SELECT *, coalesce(len(langs), 0) AS n_lang, CASE WHEN regexp_matches(rev, '^prg\\s*\\d+$') THEN 4 WHEN regexp_matches(rev, '^v\\s*\\d+(\\.\\d+)*$') THEN 3
+    WHEN regexp_matches(rev, '^rev\\s*\\d+$') THEN 2 WHEN regexp_matches(rev, '^rev\\s*[a-z]$') THEN 1 ELSE 0 END AS kind,
+    (3 ** q)::HUGEINT * (2 ** (age // 180))::HUGEINT * (180 + age % 180) AS weight FROM c WHERE n > 1),
 v AS (SELECT *, CASE WHEN kind >= 2 THEN list_transform(string_split(regexp_extract(rev, '[0-9.]+$'), '.'), lambda x: x::BIGINT)
     WHEN kind = 1 THEN [ascii(right(rev, 1))::BIGINT] ELSE [0::BIGINT] END AS nums FROM k),
 f AS (
-  SELECT title, 'region' AS field, cand_id, q, updated_at, 0 AS a, [0, 0, 0, 0]::BIGINT[] AS b FROM v WHERE coalesce({_KNOWN.format('region')}, false)
-  UNION ALL SELECT title, 'quality', cand_id, q, updated_at, 0, [0, 0, 0, 0]::BIGINT[] FROM v WHERE coalesce({_KNOWN.format('quality')}, false)
-  UNION ALL SELECT title, 'languages', cand_id, q, updated_at, n_lang, [0, 0, 0, 0]::BIGINT[] FROM v WHERE n_lang > 0
-  UNION ALL SELECT title, 'revision', cand_id, q, updated_at, kind, [coalesce(nums[1], 0), coalesce(nums[2], 0), coalesce(nums[3], 0), coalesce(nums[4], 0)] FROM v WHERE coalesce({_KNOWN.format('revision')}, false))
-SELECT title, field, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY title, field
-  ORDER BY a DESC, b[1] DESC, b[2] DESC, b[3] DESC, b[4] DESC, q DESC, updated_at DESC NULLS LAST, cand_id) AS rn FROM f) WHERE rn = 1""",
+  SELECT title, 'region' AS field, cand_id, q, updated_at, weight, lower(trim(region)) AS value, 0 AS a, [0, 0, 0, 0]::BIGINT[] AS b FROM v WHERE coalesce({_KNOWN.format('region')}, false)
+  UNION ALL SELECT title, 'quality', cand_id, q, updated_at, weight, lower(trim(quality)), 0, [0, 0, 0, 0]::BIGINT[] FROM v WHERE coalesce({_KNOWN.format('quality')}, false)
+  UNION ALL SELECT title, 'languages', cand_id, q, updated_at, weight, array_to_string(langs, ','), n_lang, [0, 0, 0, 0]::BIGINT[] FROM v WHERE n_lang > 0
+  UNION ALL SELECT title, 'revision', cand_id, q, updated_at, weight, lower(trim(revision)), kind, [coalesce(nums[1], 0), coalesce(nums[2], 0), coalesce(nums[3], 0), coalesce(nums[4], 0)] FROM v WHERE coalesce({_KNOWN.format('revision')}, false))
+"""
+_BEST = "a DESC, b[1] DESC, b[2] DESC, b[3] DESC, b[4] DESC, q DESC, updated_at DESC NULLS LAST, cand_id"
+
+ORACLE_SQL = {
+    "p2_found": f"{_VALUES} SELECT title, field, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY title, field ORDER BY {_BEST}) AS rn FROM f) WHERE rn = 1",
+    "p2_records": f"""{_VALUES}, s AS (SELECT *, sum(weight) OVER (PARTITION BY title, field, value) AS votes FROM f),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, field ORDER BY votes DESC, {_BEST}) AS rn FROM s) WHERE rn = 1)
+SELECT title, {', '.join(f"max(value) FILTER (field = '{x}') AS {x}" for x in FIELDS)}, {', '.join(f"max(cand_id) FILTER (field = '{x}') AS {x}_from" for x in FIELDS)} FROM w GROUP BY title""",
 }

@@ -11,9 +11,11 @@ from cartulary.functions.text import is_given, strip
 QUALITY_ORDER = ("bad", "modified", "clean", "pending", "fixed", "verified")
 FIELDS = ("region", "languages", "quality", "revision")
 
-#: Votes: weight of a source grows by this factor with each step of trust, halves with this age.
-TRUST_FACTOR = 3.0
-HALF_LIFE_DAYS = 180.0
+#: Votes: weight of a source grows by this factor with each step of trust and halves with this age in days;
+#: times are counted from a fixed day (2020-01-01, as days since 1970), beyond so many half-lives either way all alike.
+TRUST_FACTOR = 3
+HALF_LIFE_DAYS = 180
+ORIGIN_DAY, HALF_LIVES = 18_262, 20
 
 
 def _plain(col: Column) -> Column:
@@ -53,14 +55,26 @@ def revision_key(word: Column, mark: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind >= 2, numbers).when(kind == 1, codes).otherwise(none).alias("numbers"))
 
 
+def vote(rank: Column, at: Column) -> Column:
+    """Source trust times recency decay, as a whole number, so that sums do not depend on their order.
+
+    Trust is ``TRUST_FACTOR`` to the power of the quality's rank.  The decay doubles
+    from half-life to half-life towards later times and is linear between; a null time
+    counts as the earliest.
+    """
+    days = F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(86_400e6)) - ORIGIN_DAY
+    span = HALF_LIVES * HALF_LIFE_DAYS
+    age = F.coalesce(F.least(F.greatest(days, F.lit(-span)), F.lit(span)), F.lit(-span)) + span
+    decay = F.pow(F.lit(2.0), F.floor(age / HALF_LIFE_DAYS)).cast("bigint") * (HALF_LIFE_DAYS + age % HALF_LIFE_DAYS)
+    return (F.pow(F.lit(float(TRUST_FACTOR)), rank).cast("bigint") * decay).cast("decimal(19,0)")
+
+
 def long_votes(candidates: DataFrame) -> DataFrame:
     """One row per record and field: ``title, field, cand_id, value, given, standing, trust, weight``.
 
     ``value`` is the normalised value (null where none is given), ``standing`` what
     ranks a value before trust does (number of languages, revision), ``trust`` the
-    record's quality, time and id, best greatest, and ``weight`` its vote: trust of
-    its quality times decay with age.  The decay is taken from a fixed day, as only
-    ratios matter.
+    record's quality, time and id, best greatest, and ``weight`` its vote.
     """
     none = F.array().cast("array<bigint>")
     # Plain fields first, so that each is stripped and matched once however often it is used below.
@@ -71,7 +85,6 @@ def long_votes(candidates: DataFrame) -> DataFrame:
         "*", quality_rank(F.col("quality")).alias("rank"), F.coalesce(F.regexp_extract("revision", _REVISION, 1), F.lit("")).alias("word"),
         F.coalesce(F.regexp_extract("revision", _REVISION, 2), F.lit("")).alias("mark"))
     plain = plain.withColumn("order", revision_key(F.col("word"), F.col("mark")))
-    days = F.unix_micros(F.col("updated_at").cast("timestamp")) / F.lit(86_400e6) - F.lit(18_262.0)
 
     def field(name: str, value: Column, given: Column, kind: Column, numbers: Column) -> Column:
         return F.struct(
@@ -86,46 +99,46 @@ def long_votes(candidates: DataFrame) -> DataFrame:
     )
     return plain.select(
         "title", "cand_id", F.struct(F.col("rank").alias("quality"), F.col("updated_at").alias("at"), (-F.col("cand_id")).alias("id")).alias("trust"),
-        (F.pow(F.lit(TRUST_FACTOR), "rank") * F.pow(F.lit(2.0), F.coalesce(days, F.lit(0.0)) / HALF_LIFE_DAYS)).alias("weight"), F.inline(fields))
+        vote(F.col("rank"), F.col("updated_at")).alias("weight"), F.inline(fields))
+
+
+def _elected(candidates: DataFrame, votes: str) -> DataFrame:
+    """One row per title: for each field a struct ``value, cand_id, score`` of the winner, null where no record gives one."""
+    given = F.struct("standing", "trust", "cand_id", "value")
+    per_value = long_votes(candidates).groupBy("title", "field", "value").agg(
+        F.max(F.when(F.col("given"), given)).alias("best"), F.sum("weight").alias("votes"), F.min("cand_id").alias("least"), F.max("cand_id").alias("most"))
+    key = F.struct("votes", "best") if votes == "sum" else F.struct("best", "votes")
+    winner = F.struct(F.col("best.value").alias("value"), F.col("best.cand_id").alias("cand_id"), F.col("votes").alias("score"))
+    wins = lambda f: F.max_by(winner, F.when((F.col("field") == f) & F.col("best").isNotNull(), key))
+    record = per_value.groupBy("title").agg(*[wins(f).alias(f) for f in FIELDS], F.min("least").alias("least"), F.max("most").alias("most"))
+    some = [F.col(f).isNotNull() for f in FIELDS]
+    return record.where((F.col("least") < F.col("most")) & (some[0] | some[1] | some[2] | some[3])).select("title", *FIELDS)
 
 
 def elect(candidates: DataFrame, votes: str = "sum") -> DataFrame:
     """The surviving value of each title and field: ``title, field, value, cand_id, score``.
 
-    Fields are unpivoted to long rows, votes are gathered per normalised value and
-    ``max_by`` elects the winner.  ``votes='sum'`` adds source trust times recency
-    decay over all records that give a value; ``votes='strongest'`` lets a value
-    stand by its strongest record alone, ranked by the field's own standing and then
-    by trust (better quality, later, smaller id).  ``cand_id`` is the most trusted
-    record that gives the winning value (in standing first), the one that supplies it.
+    Fields are unpivoted to long rows, votes (source trust times recency decay) are
+    summed per normalised value together with the value's best record, ``max_by`` elects
+    a value of each field, and the winners are pivoted to one record per title.
+    ``votes='sum'`` ranks values by their sum, then by their best record;
+    ``votes='strongest'`` ranks them by their best record (the field's own standing,
+    then trust: better quality, later, smaller id) and then by their sum, for rules in
+    which any number of weaker records may not outvote a stronger one.  ``cand_id`` is
+    the best record that gives the winning value, the one that supplies it.
 
     Groups have two or more records; repeated rows of one record count once in
     'strongest' votes.  Records without title or id belong to no group.  Blank
     fields and signs and words for "not known" are no values; a field that no record
-    gives has no row; a null time is earlier than any other; ties of the sum go to
-    the value with the more trusted record.  Both groupings combine partial
-    aggregates before they shuffle, so one title with a third of all rows costs no
-    task more than its share.
+    gives has no row; a null time is earlier than any other.  Both groupings combine
+    partial aggregates before they shuffle, so one title with a third of all rows costs
+    no task more than its share.
     """
-    rows = long_votes(candidates)
-    best = F.max(F.when(F.col("given"), F.struct("standing", "trust", "cand_id", "value"))).alias("best")
-    spread = [F.min("cand_id").alias("least"), F.max("cand_id").alias("most")]
-    if votes == "strongest":
-        won = rows.groupBy("title", "field").agg(best, *spread, F.count_if("given").cast("double").alias("score"))
-    else:
-        per_value = rows.groupBy("title", "field", "value").agg(best, *spread, F.sum("weight").alias("score"))
-        ranked = F.when(F.col("best").isNotNull(), F.struct("score", "best"))
-        won = per_value.groupBy("title", "field").agg(
-            F.max_by("best", ranked).alias("best"), F.min("least").alias("least"), F.max("most").alias("most"), F.max(F.when(F.col("best").isNotNull(), F.col("score"))).alias("score"))
-    return won.where((F.col("least") < F.col("most")) & F.col("best").isNotNull()).select(
-        "title", "field", F.col("best.value").alias("value"), F.col("best.cand_id").alias("cand_id"), "score"
-    )
+    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("w")) for f in FIELDS])
+    return _elected(candidates, votes).select("title", F.inline(F.filter(listed, lambda x: x["w"].isNotNull()))).select("title", "field", "w.*")
 
 
 def surviving_records(candidates: DataFrame, votes: str = "sum") -> DataFrame:
-    """One record per title, the elected values pivoted back to columns."""
-    won = elect(candidates, votes)
-    return won.groupBy("title").agg(
-        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS],
-        *[F.max(F.when(F.col("field") == f, F.col("cand_id"))).alias(f"{f}_from") for f in FIELDS],
-    )
+    """One record per title: the elected values, and the record that supplies each."""
+    won = _elected(candidates, votes)
+    return won.select("title", *[F.col(f"{f}.value").alias(f) for f in FIELDS], *[F.col(f"{f}.cand_id").alias(f"{f}_from") for f in FIELDS])
