@@ -8,12 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word of fewer documents than this share is a name, a slip or a quotation's and says nothing about difficulty.
-KNOWN_SHARE = 0.05
-#: Share of known words from which a sentence counts; others are quotations, listings or foreign text.
-KNOWN_IN_SENTENCE = 0.5
 #: Document shares from which a word can count as familiar; the best on the samples is taken.
-FAMILIAR_SHARES = (0.15, 0.2, 0.22, 0.24, 0.25, 0.255, 0.26, 0.265, 0.28, 0.3, 0.35, 0.4, 0.5, 0.65)
+FAMILIAR_SHARES = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)
 #: Labelled samples that the level model is fitted on at most.
 MAX_SAMPLES = 5_000
 #: Words below which a piece is no sentence, and the share of the pooled spread in that of a level.
@@ -27,7 +23,7 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0)
 
 
-def document_shares(documents: DataFrame, text: str = "text", least: float = KNOWN_SHARE) -> dict[str, float]:
+def document_shares(documents: DataFrame, text: str = "text", least: float = FAMILIAR_SHARES[0]) -> dict[str, float]:
     """Words of at least ``least`` of all documents, with the share of documents that have them.
 
     A document has a mean number of distinct words, so no more than that mean divided by
@@ -41,39 +37,25 @@ def document_shares(documents: DataFrame, text: str = "text", least: float = KNO
     return {r["word"]: r["count"] / r["total"] for r in rows}
 
 
-def sentence_words(text: Column) -> Column:
-    """Words of each sentence; headings, bullets and other pieces below three words are left out."""
-    pieces = F.split(text, _SENTENCE_END)
-    return F.filter(F.transform(pieces, words_of), lambda w: F.size(w) >= LEAST_SENTENCE)
+def piece_words(text: Column) -> Column:
+    """Words of each piece of a text: sentences, headings, list items; all words of the text are in one of them."""
+    return F.transform(F.split(text, _SENTENCE_END), words_of)
 
 
-def _listed(words: list[str]) -> str:
-    """Words as an SQL list, which is planned as a hashed set; words are letters only."""
-    return ", ".join(f"'{w}'" for w in words)
+def unfamiliar_share(familiar: list[str]) -> Column:
+    """Share of all words of the column ``pieces`` that are outside the familiar list; 0 without words.
 
-
-def known_sentences(known: list[str]) -> Column:
-    """Those of the column ``sentences`` in which enough words are known."""
-    if not known:
-        return F.col("sentences")
-    return F.expr(f"filter(sentences, s -> size(filter(s, w -> w IN ({_listed(known)}))) >= {KNOWN_IN_SENTENCE} * size(s))")
-
-
-def unfamiliar_share(familiar: list[str], known: list[str]) -> Column:
-    """Share of the known ones of the column ``words`` that are outside the familiar list; 0 if none is known."""
-    outside = sorted(set(known) - set(familiar))
-    if not known:
-        return F.lit(0.0)
-
-    def of(words: list[str]) -> Column:
-        return F.expr(f"size(filter(words, w -> w IN ({_listed(words)})))") if words else F.lit(0)
-
-    return F.when(of(known) > 0, of(outside) / of(known)).otherwise(0.0)
+    Words are letters only; the list is planned as a hashed set.
+    """
+    words = F.size(F.flatten("pieces"))
+    inside = F.expr(f"size(filter(flatten(pieces), w -> w IN ({', '.join(repr(w) for w in familiar)})))") if familiar else F.lit(0)
+    return F.when(words > 0, (words - inside) / words).otherwise(0.0)
 
 
-def log_sentence_length(sentences: Column) -> Column:
-    """Logarithm of the average number of words in a sentence; 0 without sentences."""
-    return F.when(F.size(sentences) > 0, F.log(F.size(F.flatten(sentences)) / F.size(sentences))).otherwise(0.0)
+def log_sentence_length() -> Column:
+    """Logarithm of the average number of words in a sentence of ``pieces``; pieces below three words are none; 0 without sentences."""
+    sizes = F.filter(F.transform("pieces", F.size), lambda n: n >= LEAST_SENTENCE)
+    return F.when(F.size(sizes) > 0, F.log(F.aggregate(sizes, F.lit(0), lambda a, n: a + n) / F.size(sizes))).otherwise(0.0)
 
 
 @dataclass
@@ -120,30 +102,27 @@ def left_out(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return right / len(y), likely / len(y)
 
 
-def fit_levels(documents: DataFrame, samples: DataFrame, text: str = "text", label: str = "level") -> tuple[LevelModel, list[str], list[str], float]:
-    """The level model, the familiar and the known words, and the accuracy on samples left out."""
+def fit_levels(documents: DataFrame, samples: DataFrame, text: str = "text", label: str = "level") -> tuple[LevelModel, list[str], float]:
+    """The level model, the familiar words, and the accuracy on samples left out."""
     shares = document_shares(documents, text)
-    known = sorted(shares)
-    lists = {cut: sorted(w for w, s in shares.items() if s >= cut) for cut in FAMILIAR_SHARES}
+    lists = [sorted(w for w, s in shares.items() if s >= cut) for cut in FAMILIAR_SHARES]
     prepared = samples.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(label).alias("label"), sentence_words(F.col(text)).alias("sentences"), F.xxhash64(text).alias("h")
-    )
+        F.col(label).alias("label"), piece_words(F.col(text)).alias("pieces"), F.xxhash64(text).alias("h"))
     rows = (
-        prepared.orderBy("h").limit(MAX_SAMPLES).withColumn("sentences", known_sentences(known)).withColumn("words", F.flatten("sentences"))
-        .select("label", log_sentence_length(F.col("sentences")).alias("length"),
-                *[unfamiliar_share(familiar, known).alias(f"s{i}") for i, familiar in enumerate(lists.values())])
+        prepared.orderBy("h").limit(MAX_SAMPLES)
+        .select("label", log_sentence_length().alias("length"), *[unfamiliar_share(familiar).alias(f"s{i}") for i, familiar in enumerate(lists)])
         .collect()
     )
     y = np.array([r["label"] for r in rows], dtype=int)
     if len(set(y.tolist())) < 2:
         raise ValueError("reading samples need at least two levels")
     best = None
-    for i, familiar in enumerate(lists.values()):
+    for i, familiar in enumerate(lists):
         x = np.array([[r[f"s{i}"], r["length"]] for r in rows], dtype=float)
         accuracy, likely = left_out(x, y)
         if best is None or (accuracy, likely) > best[:2]:
             best = (accuracy, likely, LevelModel.fit(x, y), familiar)
-    return best[2], best[3], known, best[0]
+    return best[2], best[3], best[0]
 
 
 def reading_levels(
@@ -151,18 +130,17 @@ def reading_levels(
 ) -> DataFrame:
     """``key, level``: the reading level of each document, on the scale of the samples.
 
-    Familiar words are those of a high share of the documents of ``corpus``, all of
-    which are counted; difficulty is the share of a document's words outside that list
-    (words of hardly any document, names above all, are no evidence) together with its
-    average sentence length; sentences of mostly unknown words do not count.  Level and familiar share are calibrated on the labelled
-    samples, of which at most ``MAX_SAMPLES`` are used.  Null texts have no level;
-    texts without a sentence or a known word count as 0 in that measure.
+    The formula is that of familiar words: the share of all words of a text that are
+    outside a list of high document frequency, plus the (logarithm of the) average
+    sentence length.  The list is derived from ``corpus``, of which all documents are
+    counted.  Where the list begins and which pairs of the two measures make a level
+    is calibrated on the labelled samples, of which at most ``MAX_SAMPLES`` are used.
+    Null texts have no level; a measure is 0 for texts without words or sentences.
 
-    One shuffle, of words with their partial counts.  The word lists are of bounded
-    size and part of the plan as hashed sets; documents are scored inside the JVM.
+    One shuffle, of words with their partial counts.  The word list is of bounded
+    size and part of the plan as a hashed set; documents are scored inside the JVM.
     """
-    model, familiar, known, _ = fit_levels(corpus, samples, text)
-    prepared = documents.where(F.col(text).isNotNull()).select(F.col(key), sentence_words(F.col(text)).alias("sentences"))
-    prepared = prepared.withColumn("sentences", known_sentences(known)).withColumn("words", F.flatten("sentences"))
-    share, length = unfamiliar_share(familiar, known), log_sentence_length(F.col("sentences"))
-    return prepared.select(key, share.alias("share"), length.alias("length")).select(key, model.level(F.col("share"), F.col("length")).alias("level"))
+    model, familiar, _ = fit_levels(corpus, samples, text)
+    prepared = documents.where(F.col(text).isNotNull()).select(F.col(key), piece_words(F.col(text)).alias("pieces"))
+    measured = prepared.select(key, unfamiliar_share(familiar).alias("share"), log_sentence_length().alias("length"))
+    return measured.select(key, model.level(F.col("share"), F.col("length")).alias("level"))

@@ -41,4 +41,6 @@ def test_document_shares_are_exact(spark):
 
 def test_sentences(spark):
     df = spark.createDataFrame([("# Head\n\nOne two three. Four five six seven!\n\n* item\n* item\n\nEight nine ten",)], "text string")
-    assert [len(w) for w in df.select(R.sentence_words(F.col("text")).alias("s")).first().s] == [3, 4, 3]
+    assert [len(w) for w in df.select(R.piece_words(F.col("text")).alias("s")).first().s] == [1, 3, 4, 2, 3]
+    row = df.select(R.piece_words(F.col("text")).alias("pieces")).select(R.log_sentence_length().alias("l"), R.unfamiliar_share(["head", "item"]).alias("u"), R.unfamiliar_share([]).alias("all")).first()
+    assert np.isclose(row.l, np.log(10 / 3)) and np.isclose(row.u, 10 / 13) and row["all"] == 1.0
