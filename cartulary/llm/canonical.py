@@ -13,8 +13,6 @@ ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "
 
 #: Edits allowed in a token by its length; below the first length it must be exact.
 ONE_EDIT_FROM, TWO_EDITS_FROM = 3, 5
-#: Longest run of value tokens that is also looked up joined.
-JOINED = 3
 #: Least score, and least share that is found of an entry's weight and of its letters.
 LEAST_SCORE, LEAST_COVER, LEAST_LETTERS = 0.62, 0.7, 0.6
 #: Squared weight of a value's token without counterpart, outside and inside the vocabulary.
@@ -37,19 +35,17 @@ def tokens_of(value: Column, numerals: bool = True) -> Column:
     return _once(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(roman, t), t)))
 
 
-def _runs(tokens: Column, longest: Column | int) -> Column:
-    """Every run of up to ``longest`` tokens and the run of all, joined, with its place: ``(seg, lo, hi)``."""
+def _runs(tokens: Column, letters: Column) -> Column:
+    """Every run of neighbouring tokens that has up to ``letters`` letters when joined, with its place: ``(seg, lo, hi)``."""
     n = F.size(tokens)
-    longest = F.lit(longest) if isinstance(longest, int) else longest
 
     def from_(lo: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.least(longest, n - lo))
-        return F.transform(lengths, lambda k: F.struct(
-            F.array_join(F.slice(tokens, lo + 1, k), "").alias("seg"), lo.cast("int").alias("lo"), (lo + k).cast("int").alias("hi")))
+        # A token has a letter at least, so no run has more tokens than letters.
+        runs = F.transform(F.sequence(F.lit(1), F.least(letters, n - lo)), lambda k: F.struct(
+            F.array_join(F.slice(tokens, lo + 1, k), "").alias("seg"), lo.cast("int").alias("lo"), (lo + k).cast("int").alias("hi")))
+        return F.filter(runs, lambda r: F.length(r["seg"]) <= letters)
 
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_))
-    whole = F.array(F.struct(F.array_join(tokens, "").alias("seg"), F.lit(0).alias("lo"), n.cast("int").alias("hi")))
-    return F.when(n > longest, F.concat(runs, whole)).when(n > 0, runs)
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_)))
 
 
 def _deletions(text: Column) -> Column:
@@ -90,18 +86,20 @@ def reference_forms(reference: DataFrame) -> DataFrame:
     known = forms.where(~F.col("exact"))
     entries = known.groupBy("kind").agg(F.count_distinct("token").alias("entries"))
     spread = known.select("kind", "token", F.explode("tokens").alias("t")).groupBy("kind", "t").agg(F.count_distinct("token").alias("df"))
-    weights = spread.join(entries, "kind").select("kind", F.struct("t", (F.log1p(F.col("entries") / F.col("df")) / F.log1p("entries")).alias("w")).alias("e"))
-    maps = weights.groupBy("kind").agg(F.map_from_entries(F.collect_list("e")).alias("idf"))
-    return forms.join(maps, "kind", "left").select(
-        "kind", "token", "exact", "tokens", F.xxhash64("kind", "token", "tokens").alias("form_id"),
-        F.transform("tokens", lambda t: F.coalesce(F.try_element_at("idf", t), F.lit(1.0))).alias("weights"))
+    weights = spread.join(entries, "kind").select("kind", "t", (F.log1p(F.col("entries") / F.col("df")) / F.log1p("entries")).alias("w"))
+    numbered = forms.withColumn("form_id", F.xxhash64("kind", "token", "tokens"))
+    # Each token of a spelling meets its weight by a join, and a spelling gathers its own few again.
+    placed = numbered.select("kind", "form_id", F.posexplode("tokens").alias("at", "t")).join(weights, ["kind", "t"], "left")
+    gathered = placed.groupBy(F.col("form_id").alias("g_id")).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("w", F.lit(1.0)).alias("w")))).alias("g"))
+    return numbered.join(gathered, F.col("form_id") == F.col("g_id")).select(
+        "kind", "token", "exact", "tokens", "form_id", F.transform("g", lambda x: x["w"]).alias("weights"))
 
 
 def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """``kind, tokens, token, score``: the entry of each distinct tokenised value, ``''`` if it stands for none.
 
     ``values``: ``kind, tokens`` (from ``tokens_of``).  Each distinct token of the
-    values, also tokens joined with their neighbours, meets the vocabulary of the
+    values, also any number of neighbouring tokens joined, meets the vocabulary of the
     reference list (tokens and joined tokens of all spellings) by edit distance: both
     sides are reduced to what up to two deletions leave, equal remains are joined, so
     no pair within two edits or swaps is missed and none is enumerated.  Digits must
@@ -120,7 +118,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     # What later steps use again is written once: spellings, distinct values, corrected runs.
     forms = checkpointed(reference_forms(reference))
     vocabulary = forms.select(
-        "kind", "form_id", "exact", "tokens", F.size("tokens").alias("n"), F.inline(_runs(F.col("tokens"), F.size("tokens")))
+        "kind", "form_id", "exact", "tokens", F.size("tokens").alias("n"), F.inline(_runs(F.col("tokens"), F.length(F.array_join("tokens", ""))))
     ).where(~F.col("exact") | ((F.col("lo") == 0) & (F.col("hi") == F.col("n"))))
     # Edits of a joined term may not stand for a whole token of it, so they stay below its shortest word.
     lengths = F.transform(F.filter(F.slice("tokens", F.col("lo") + 1, F.col("hi") - F.col("lo")), lambda t: t.rlike(r"\p{L}")), F.length)
@@ -131,9 +129,9 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     # Runs refer to their value by its digest, so a long value is not repeated in each of them.
     every = checkpointed(values.select("kind", "tokens").distinct())
     distinct = every.where(F.size("tokens") > 0).withColumn("vid", F.md5(F.array_join("tokens", " ")))
-    runs = distinct.select("kind", "vid", F.inline(_runs(F.col("tokens"), JOINED)))
-    # A run longer than any term of its kind by more than two edits can match none.
-    segments = runs.select("kind", "seg").distinct().join(longest, (F.col("kind") == F.col("l_kind")) & (F.length("seg") <= F.col("longest") + 2)).select("kind", "seg")
+    # A run longer than any term of its kind by more than two edits can match none; there is one row for each kind.
+    runs = distinct.join(F.broadcast(longest), F.col("kind") == F.col("l_kind")).select("kind", "vid", F.inline(_runs(F.col("tokens"), F.col("longest") + 2)))
+    segments = runs.select("kind", "seg").distinct()
     left = segments.select("kind", "seg", _digits(F.col("seg")).alias("d"), F.explode(_deletions(F.col("seg"))).alias("rest"))
     right = terms.select("kind", "term", "exact", "slack", _digits(F.col("term")).alias("d"),
                          F.explode(F.when(F.col("exact"), F.array("term")).otherwise(_deletions(F.col("term")))).alias("rest"))
