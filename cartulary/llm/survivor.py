@@ -70,13 +70,14 @@ def vote(rank: Column, at: Column) -> Column:
 
 
 def long_votes(candidates: DataFrame) -> DataFrame:
-    """One row per record and field: ``title, field, cand_id, value, given, standing, trust, weight``.
+    """One row per record and field: ``title, field, value, cand_id, weight, standing``.
 
-    ``value`` is the normalised value (null where none is given), ``standing`` what
-    ranks a value before trust does (number of languages, revision), ``trust`` the
-    record's quality, time and id, best greatest, and ``weight`` its vote.
+    ``value`` is the normalised value, ``weight`` the record's vote, and ``standing``
+    ranks the record for the field, best greatest: what ranks a value before trust does
+    (number of languages, revision), then the record's quality, time and id.  Value and
+    standing are null where none is given.
     """
-    none = F.array().cast("array<bigint>")
+    none = F.lit(None).cast("array<bigint>")
     # Plain fields first, so that each is stripped and matched once however often it is used below.
     plain = candidates.where(F.col("title").isNotNull() & F.col("cand_id").isNotNull()).select(
         "title", "cand_id", "updated_at", _plain(F.col("region")).alias("region"), given_languages(F.col("languages")).alias("languages"),
@@ -89,7 +90,7 @@ def long_votes(candidates: DataFrame) -> DataFrame:
     def field(name: str, value: Column, given: Column, kind: Column, numbers: Column) -> Column:
         return F.struct(
             F.lit(name).alias("field"), F.when(given, value).alias("value"), given.alias("given"),
-            F.struct(kind.cast("int").alias("kind"), numbers.alias("numbers")).alias("standing"))
+            kind.cast("int").alias("kind"), numbers.alias("numbers"))
 
     fields = F.array(
         field("region", F.col("region"), is_given(F.col("region"), plain=True), F.lit(0), none),
@@ -97,18 +98,17 @@ def long_votes(candidates: DataFrame) -> DataFrame:
         field("quality", F.col("quality"), is_given(F.col("quality"), plain=True), F.lit(0), none),
         field("revision", F.col("revision"), is_given(F.col("revision"), plain=True), F.col("order.kind"), F.col("order.numbers")),
     )
-    return plain.select(
-        "title", "cand_id", F.struct(F.col("rank").alias("quality"), F.col("updated_at").alias("at"), (-F.col("cand_id")).alias("id")).alias("trust"),
-        vote(F.col("rank"), F.col("updated_at")).alias("weight"), F.inline(fields))
+    rows = plain.select("title", "cand_id", "rank", "updated_at", vote(F.col("rank"), F.col("updated_at")).alias("weight"), F.inline(fields))
+    order = F.struct("kind", "numbers", F.col("rank").alias("quality"), F.col("updated_at").alias("at"), (-F.col("cand_id")).alias("id"))
+    return rows.select("title", "field", "value", "cand_id", "weight", F.when(F.col("given"), order).alias("standing"))
 
 
 def _elected(candidates: DataFrame, votes: str) -> DataFrame:
     """One row per title: for each field a struct ``value, cand_id, score`` of the winner, null where no record gives one."""
-    given = F.struct("standing", "trust", "cand_id", "value")
     per_value = long_votes(candidates).groupBy("title", "field", "value").agg(
-        F.max(F.when(F.col("given"), given)).alias("best"), F.sum("weight").alias("votes"), F.min("cand_id").alias("least"), F.max("cand_id").alias("most"))
+        F.max("standing").alias("best"), F.sum("weight").alias("votes"), F.min("cand_id").alias("least"), F.max("cand_id").alias("most"))
     key = F.struct("votes", "best") if votes == "sum" else F.struct("best", "votes")
-    winner = F.struct(F.col("best.value").alias("value"), F.col("best.cand_id").alias("cand_id"), F.col("votes").alias("score"))
+    winner = F.struct("value", (-F.col("best.id")).alias("cand_id"), F.col("votes").alias("score"))
     wins = lambda f: F.max_by(winner, F.when((F.col("field") == f) & F.col("best").isNotNull(), key))
     record = per_value.groupBy("title").agg(*[wins(f).alias(f) for f in FIELDS], F.min("least").alias("least"), F.max("most").alias("most"))
     some = [F.col(f).isNotNull() for f in FIELDS]
