@@ -28,8 +28,9 @@ def compare_copies(
     A key in one copy only gives one row with field ``''`` and state ``only_first``
     or ``only_mirror``; other keys give a ``differs`` row for each field that
     differs.  Null equals null and differs from any value.  Repeated rows of a side
-    count once; where rows of one key disagree within a side, the greatest struct
-    stands for it.  Rows with a null key are compared like those of any other key.
+    count once; where rows of one key disagree within a side, that is a row with field
+    ``''`` and state ``unlike_first`` or ``unlike_mirror`` besides, and the greatest struct
+    stands for the side.  Rows with a null key are compared like those of any other key.
     Empty copies and further columns on either side are allowed.
 
     Only key and fields are read.  The per-side maxima are combined before the
@@ -38,18 +39,22 @@ def compare_copies(
     names = list(fields)
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        record = F.struct(*[(fields[f] or (lambda c: c))(df[_quoted(f)]).alias(f"f{i}") for i, f in enumerate(names)])
-        return df.select(df[_quoted(key)].alias("row_key"), F.lit(tag).alias("side"), record.alias("rec"))
+        values = [(fields[f] or (lambda c: c))(df[_quoted(f)]) for f in names]
+        record = F.struct(*[v.alias(f"f{i}") for i, v in enumerate(values)])
+        # A hash passes over nulls, so each value is told from a null besides.
+        rows = df.select(df[_quoted(key)].alias("row_key"), F.lit(tag).alias("side"), record.alias("rec"))
+        parts = [F.col(f"rec.f{i}") for i in range(len(names))]
+        return rows.withColumn("print", F.xxhash64(*parts, *[p.isNull() for p in parts]))
 
     grouped = (
         side(first, "first")
         .unionByName(side(mirror, "mirror"))
         .groupBy("row_key")
-        .agg(
-            F.max(F.when(F.col("side") == "first", F.col("rec"))).alias("a"),
-            F.max(F.when(F.col("side") == "mirror", F.col("rec"))).alias("b"),
-        )
-    )
+        .agg(*[
+            made for tag, name in (("first", "a"), ("mirror", "b"))
+            for made in (F.max(F.when(F.col("side") == tag, F.col("rec"))).alias(name), F.min(F.when(F.col("side") == tag, F.col("print"))).alias(f"{name}_least"),
+                         F.max(F.when(F.col("side") == tag, F.col("print"))).alias(f"{name}_most"))])
+    )
     literal = [n.replace("\\", "\\\\").replace("'", "\\'") for n in names]
     compared = ", ".join(
         f"named_struct('field', '{n}', 'same', a.f{i} <=> b.f{i})" for i, n in enumerate(literal)
@@ -59,4 +64,6 @@ def compare_copies(
         WHEN a IS NULL THEN array(named_struct('field', '', 'state', 'only_mirror'))
         ELSE transform(filter(array({compared}), x -> NOT x.same),
                        x -> named_struct('field', x.field, 'state', 'differs')) END"""
-    return grouped.select("row_key", F.expr(f"inline({cases})"))
+    unlike = """filter(array(IF(a_least < a_most, named_struct('field', '', 'state', 'unlike_first'), NULL),
+                            IF(b_least < b_most, named_struct('field', '', 'state', 'unlike_mirror'), NULL)), x -> x IS NOT NULL)"""
+    return grouped.select("row_key", F.expr(f"inline(concat({cases}, {unlike}))"))

@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from cartulary.session import checkpointed
 
 #: Links that one task takes into its forest (three 8-byte numbers each).
-LINKS_PER_TASK = 400_000
-#: Merge rounds after which a climb that still goes on can only be a cycle.
-MAX_ROUNDS = 45
+LINKS_PER_TASK = 50_000
 
 
 class WeightedForest:
@@ -99,10 +97,15 @@ def _contract_with_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
                                 "looped": looped[here], "steps": steps})
 
 
-def _merge(links: DataFrame, with_steps: bool, round_: int = 0) -> DataFrame:
-    """``tree, grp, child, top, distance, looped[, steps]`` for every link of a checkpointed table."""
+def _merge(links: DataFrame, with_steps: bool, per_task: int, rounds: int | None = None) -> DataFrame:
+    """``tree, grp, child, top, distance, looped[, steps]`` for every link of a checkpointed table.
+
+    Each round halves the links, or else the length of every chain, so after twice as
+    many rounds as the number of all links has bits only cycles can be left.
+    """
     size = links.count()
-    parts = max(1, -(-size // LINKS_PER_TASK))
+    rounds = 2 * size.bit_length() + 4 if rounds is None else rounds
+    parts = max(1, -(-size // per_task))
     schema = "tree string, grp bigint, child bigint, top bigint, distance bigint, looped boolean"
     contract = _contract
     if with_steps:
@@ -122,13 +125,13 @@ def _merge(links: DataFrame, with_steps: bool, round_: int = 0) -> DataFrame:
     count = portals.count()
     if count == 0:
         return local
-    if round_ >= MAX_ROUNDS:
+    if rounds <= 0:
         above = portals.select(F.col("tree").alias("u_tree"), F.col("child").alias("u_child"), F.lit(True).alias("u_loop"))
         return local.join(above, (F.col("tree") == F.col("u_tree")) & (F.col("top") == F.col("u_child")), "left").select(
             "tree", "grp", "child", "top", "distance", (F.col("looped") | F.coalesce("u_loop", F.lit(False))).alias("looped"), *steps)
     if count > size // 2:
         portals = checkpointed(_doubled(portals, with_steps))
-    merged = _merge(portals, with_steps, round_ + 1).select(
+    merged = _merge(portals, with_steps, per_task, rounds - 1).select(
         F.col("tree").alias("u_tree"), F.col("child").alias("u_child"), F.col("top").alias("u_top"),
         F.col("distance").alias("u_distance"), F.col("looped").alias("u_looped"),
         *([F.col("steps").alias("u_steps")] if with_steps else []))
@@ -155,7 +158,7 @@ def _doubled(portals: DataFrame, with_steps: bool) -> DataFrame:
     return joined.select(*done)
 
 
-def climb(links: DataFrame, with_path: bool = False) -> DataFrame:
+def climb(links: DataFrame, with_path: bool = False, per_task: int = LINKS_PER_TASK) -> DataFrame:
     """Root, depth and, if wanted, path of every node that has a parent.
 
     ``links``: ``tree string, grp bigint, child bigint, parent bigint``, at most one
@@ -173,14 +176,14 @@ def climb(links: DataFrame, with_path: bool = False) -> DataFrame:
     partition holds all: a hot group is just several partitions.  Where partitions
     share few chains, links are doubled by a join before the next round, so rounds
     grow with the logarithm of the longest chain and no task ever holds more than
-    about ``LINKS_PER_TASK`` links.  Results flow back by one join per round on the
+    about ``per_task`` links.  Results flow back by one join per round on the
     topmost node.  Paths are read off an index of parents inside each partition and
     joined end to end.
     """
     base = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select(
         "tree", F.coalesce("grp", F.lit(0)).cast("bigint").alias("grp"), F.col("child").cast("bigint").alias("child"),
         F.col("parent").cast("bigint").alias("parent"), F.lit(1).cast("bigint").alias("weight"))
-    done = _merge(checkpointed(base), with_path)
+    done = _merge(checkpointed(base), with_path, per_task)
     result = [
         F.col("tree"), F.col("child").alias("node"),
         F.when(F.col("looped"), F.lit(-1)).otherwise(F.col("top")).cast("bigint").alias("root"),

@@ -45,27 +45,49 @@ def required_digests(members: DataFrame, least: str | None = None, most: str | N
     return members.groupBy("dat_id").agg(mask.alias("mask")).withColumn("mask", F.when(F.col("mask") == 0, MASK["crc32"]).otherwise(F.col("mask")))
 
 
-def _tier_keys(df: DataFrame, *kept: str) -> DataFrame:
-    """Long form ``tier, key`` of the digests a row has, strongest first; a null never joins."""
-    weak = F.concat("crc32", F.lit("|"), F.col("size").cast("string"))
-    keys = [(1, F.col("sha256")), (2, F.col("sha1")), (3, F.col("md5")), (4, weak)]
+def tier_keys(df: DataFrame, *kept: str, suffix: str = "") -> DataFrame:
+    """Long form ``tier, key`` of the digests a row has (columns with the ``suffix``), strongest first; a null never joins."""
+    digest = {d: F.col(d + suffix) for d in DIGESTS}
+    weak = F.concat(digest["crc32"], F.lit("|"), F.col("size" + suffix).cast("string"))
+    keys = [(1, digest["sha256"]), (2, digest["sha1"]), (3, digest["md5"]), (4, weak)]
     tiers = F.array(*[F.struct(F.lit(t).alias("tier"), k.alias("key")) for t, k in keys])
     return df.select(*kept, F.inline(F.filter(tiers, lambda x: x["key"].isNotNull())))
 
 
-def tiered_match(members: DataFrame, files: DataFrame) -> DataFrame:
-    """``rom_id, file_id, tier``: the file of each member, by the strongest digest that any file shares with it.
+#: Variants of a file in order of preference: as it is, without its header, padded.
+RAW, HEADERLESS, PADDED = 0, 1, 2
+
+
+def file_keys(files: DataFrame) -> DataFrame:
+    """``variant, tier, key`` of files: of raw digests, of those behind a header (``*_headerless``) and of paddings, as far as the columns exist."""
+    kept = ["file_id", "container", "source", "relative"]
+    keys = tier_keys(files, *kept).withColumn("variant", F.lit(RAW))
+    if "sha1_headerless" in files.columns:
+        rows = files if "size_headerless" in files.columns else files.withColumn("size_headerless", F.lit(None).cast("bigint"))
+        keys = keys.unionByName(tier_keys(rows, *kept, suffix="_headerless").withColumn("variant", F.lit(HEADERLESS)))
+    if "paddings" in files.columns:
+        padded = files.select(*kept, F.explode("paddings").alias("p")).select(*kept, F.col("p.padded_size").alias("size"), *[F.col(f"p.{d}").alias(d) for d in DIGESTS])
+        keys = keys.unionByName(tier_keys(padded, *kept).withColumn("variant", F.lit(PADDED)))
+    return keys
+
 
-    Files of one key compete by container, then source and path, then id, before the
-    join, so a digest shared by many files meets the members as one row; members of a
-    hot digest are split by adaptive execution.  Members without a match are left out.
+def variant_match(members: DataFrame, files: DataFrame) -> DataFrame:
+    """``rom_id, file_id, tier, variant``: the file of each member, by the strongest digest that any variant of a file shares with it.
+
+    Of one digest raw files come before headerless and padded variants.  Files of one
+    key compete by variant, container, source and path, then id, before the join, so a
+    digest shared by many files meets the members as one row; members of a hot digest are
+    split by adaptive execution.  Members without a match are left out.
     """
-    best = _tier_keys(files, "file_id", "container", "source", "relative").groupBy("tier", "key").agg(
-        F.min(F.struct("container", "source", "relative", "file_id")).alias("f"))
-    keys = _tier_keys(members, "rom_id")
-    return keys.join(best, ["tier", "key"]).groupBy("rom_id").agg(F.min(F.struct("tier", F.col("f.file_id").alias("file_id"))).alias("m")).select(
-        "rom_id", "m.file_id", "m.tier"
-    )
+    best = file_keys(files).groupBy("tier", "key").agg(F.min(F.struct("variant", "container", "source", "relative", "file_id")).alias("f"))
+    keys = tier_keys(members, "rom_id")
+    first = F.min(F.struct("tier", F.col("f.file_id").alias("file_id"), F.col("f.variant").alias("variant"))).alias("m")
+    return keys.join(best, ["tier", "key"]).groupBy("rom_id").agg(first).select("rom_id", "m.file_id", "m.tier", "m.variant")
+
+
+def tiered_match(members: DataFrame, files: DataFrame) -> DataFrame:
+    """``rom_id, file_id, tier`` of ``variant_match``."""
+    return variant_match(members, files).drop("variant")
 
 
 def match_reasons(files: DataFrame, members: DataFrame) -> DataFrame:
@@ -264,14 +286,6 @@ def _long_asks(left: DataFrame, right: DataFrame) -> DataFrame:
     return _listed(rows, "rom_id", *asks)
 
 
-def _name_asks() -> list[Column]:
-    return [F.struct(key.alias("key"), F.lit(score).alias("base") if isinstance(score, float) else score.alias("base"), *_no_words(), F.lit(False).alias("by_digest")) for key, score in _name_keys()]
-
-
-def _listed(df: DataFrame, name: str, *rows: Column) -> DataFrame:
-    return df.select(F.col("id").alias(name), F.inline(F.filter(F.array(*rows), lambda x: x["key"].isNotNull())))
-
-
 def _supply(right: DataFrame) -> DataFrame:
     """``place, key, words``: the files under each key; those with fewer words come first, then by place."""
     return _keys(right, "file_id", "place", profile=True).select("place", "key", "words")
@@ -420,16 +434,19 @@ def patch_candidates(matched: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def assign_by_prefix(files: DataFrame, prefixes: DataFrame, default: str = "") -> DataFrame:
-    """``file_id, label``: the label of the longest prefix (of ``prefix, label``) that a source starts with.
+    """``file_id, label``: a row for every prefix (of ``prefix, label``) that a file's ``path`` starts with, the default label without any.
 
-    Sources are cut at their separators and joined by equality, so prefixes are never
-    crossed with files; files below no prefix get the default label.
+    Prefixes are plain beginnings, not whole folders, and may overlap: a file counts
+    under each.  Paths are cut at the lengths that prefixes have, which are no more than
+    a path is long, and joined by equality, so prefixes are never crossed with files.
     """
-    parts = F.split("source", "/")
-    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    sources = files.select("source").distinct().select("source", F.explode(heads).alias("head"))
-    best = sources.join(prefixes.select(F.rtrim(F.col("prefix"), F.lit("/")).alias("head"), "label"), "head").groupBy("source").agg(F.max_by("label", F.struct(F.length("head"), "label")).alias("label"))
-    return files.join(best.withColumnRenamed("source", "s"), F.col("source") == F.col("s"), "left").select("file_id", F.coalesce("label", F.lit(default)).alias("label"))
+    lengths = sorted(r["n"] for r in prefixes.where(F.col("prefix").isNotNull()).select(F.length("prefix").alias("n")).distinct().collect())
+    if not lengths:
+        return files.select("file_id", F.lit(default).alias("label"))
+    heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda h: h.isNotNull())
+    known = prefixes.select(F.col("prefix").alias("head"), "label").distinct()
+    under = files.select("file_id", F.explode(heads).alias("head")).join(known, "head").select(F.col("file_id").alias("u_id"), "label").distinct()
+    return files.select("file_id").join(under, F.col("file_id") == F.col("u_id"), "left").select("file_id", F.coalesce("label", F.lit(default)).alias("label"))
 
 
 def consumed_archives(files: DataFrame, moved: DataFrame) -> DataFrame:
@@ -447,8 +464,3 @@ def member_archives(members: DataFrame) -> DataFrame:
 def json_fields(df: DataFrame, key: str, text: str, paths: dict[str, str]) -> DataFrame:
     """Scalar fields of a JSON column by path; null where text or path is missing or invalid."""
     return df.select(key, *[F.get_json_object(text, p).alias(n) for n, p in paths.items()])
-
-
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    """A column, or a typed null where the table lacks it."""
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)

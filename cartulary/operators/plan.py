@@ -11,8 +11,13 @@ from cartulary.operators.matching import ARCHIVE_PATTERN
 #: Tokens of an output template and the columns that fill them.
 TOKENS = {
     "{datId}": "dat_id", "{region}": "region", "{language}": "language", "{type}": "type", "{category}": "one_category", "{genre}": "genre",
-    "{inputDirname}": "input_dir", "{outputBasename}": "basename", "{outputName}": "stem", "{outputExt}": "ext",
+    "{letter}": "letter", "{datName}": "dat_name", "{datDescription}": "dat_description", "{inputDirname}": "input_dir", "{outputBasename}": "basename",
+    "{outputName}": "stem", "{outputExt}": "ext",
+    **{f"{{{t}}}": f"platform_{t}" for t in (
+        "adam", "batocera", "es", "funkeyos", "jelos", "minui", "mister", "miyoocfw", "onion", "pocket", "retrodeck", "romm", "spruce", "twmenu")},
 }
+#: Columns in which separators become underscores before they fill a token.
+FLAT = ("dat_name", "dat_description")
 
 
 def expanded(entries: DataFrame) -> DataFrame:
@@ -45,7 +50,8 @@ def output_paths(plan: DataFrame, template: str = "out/{type}", zipped: bool = F
     """``plan`` with ``output`` and ``entry_path``; ``valid`` is false where a token of the template found no value.
 
     Loose members of entries with several get a folder of the entry's name; disks
-    always.  Zipped sets take the entry's name.  Illegal characters are replaced.
+    always.  Zipped sets take the entry's name.  Illegal characters are replaced.  A
+    token whose column the plan lacks, such as a platform's folder, finds no value.
     """
     base = F.regexp_extract(N.legal_path(F.col("member")), r"([^/]*)$", 1)
     set_name = F.when(F.lit(zipped) & (F.col("kind") != "disk"), F.concat("entry", F.lit(".zip"))).otherwise(base)
@@ -56,6 +62,10 @@ def output_paths(plan: DataFrame, template: str = "out/{type}", zipped: bool = F
     for token, column in TOKENS.items():
         if token in template and column in rows.columns:
             value = F.col(column).cast("string")
+            if column == "ext":
+                value = F.coalesce(F.nullif(F.regexp_replace(value, r"^\.", ""), F.lit("")), F.lit("-"))
+            if column in FLAT:
+                value = F.translate(value, "/\\", "__")
             folder = F.when((value != "") & value.isNotNull(), F.replace(folder, F.lit(token), value)).otherwise(folder)
     inside = F.when((F.col("kind") == "disk") | (~F.lit(zipped) & (F.col("members") > 1) & ~F.col("basename").rlike(ARCHIVE_PATTERN)), F.concat_ws("/", "entry", "basename")).otherwise(F.col("basename"))
     output = N.legal_path(F.concat_ws("/", folder, inside))
@@ -142,11 +152,35 @@ def clean_candidates(existing: DataFrame, written: DataFrame, excluded: DataFram
     return left if excluded is None else left.join(excluded.select(F.col("path").alias("x")).distinct(), F.col("path") == F.col("x"), "left_anti")
 
 
-def infer_catalog(files: DataFrame) -> DataFrame:
-    """``source, entry, file_id, member``: a catalog made from files: archives and folders as entries, else single files by stem."""
+def infer_catalog(files: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """``source, entry, file_id, member``: a catalog made from files by stages, each of which takes its files from the next.
+
+    First the files of archives and folders, an entry for each; then, of the others,
+    disc sheets (``sheets``: path, text) with the tracks they list, an entry of the
+    sheet's name; then single files by their stem.  With sheets, folders are no entries.
+    """
     folder = F.regexp_extract("relative", r"^(.*)/[^/]*$", 1)
-    entry = F.when(folder != "", N.file_stem(folder)).otherwise(N.file_stem(F.col("relative")))
-    return files.select("source", entry.alias("entry"), "file_id", F.regexp_extract("relative", r"([^/]*)$", 1).alias("member"))
+    member = F.regexp_extract("relative", r"([^/]*)$", 1).alias("member")
+    if sheets is None:
+        entry = F.when(folder != "", N.file_stem(folder)).otherwise(N.file_stem(F.col("relative")))
+        return files.select("source", entry.alias("entry"), "file_id", member)
+    archived = F.col("relative").rlike(ARCHIVE_PATTERN.replace("$", "/"))
+    head = F.regexp_extract("relative", ARCHIVE_PATTERN.replace("(?i)", "(?i)^(.*?").replace("$", ")(?=/)"), 1)
+    of_archives = files.where(archived).select("source", N.file_stem(head).alias("entry"), "file_id", member)
+    rest = files.where(~archived).withColumn("path", F.concat("source", F.lit("/"), "relative"))
+    tracks = sheet_files(sheets, rest.select("file_id", "path"))
+    own = rest.join(sheets.select(F.col("path").alias("s_path")).distinct(), F.col("path") == F.col("s_path")).select(F.col("file_id").alias("t_id"), F.col("s_path").alias("sheet"))
+    used = tracks.select(F.col("file_id").alias("t_id"), "sheet").unionByName(own.join(tracks.select("sheet").distinct(), "sheet", "left_semi").select("t_id", "sheet"))
+    of_sheets = rest.join(used, F.col("file_id") == F.col("t_id")).select("source", N.file_stem(F.col("sheet")).alias("entry"), "file_id", member).distinct()
+    single = rest.join(used.select("t_id").distinct(), F.col("file_id") == F.col("t_id"), "left_anti").select("source", N.file_stem(F.col("relative")).alias("entry"), "file_id", member)
+    return of_archives.unionByName(of_sheets).unionByName(single)
+
+
+def sheet_files(sheets: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_id, sheet``: the files (``file_id, path``) that disc sheets (``path, text``) list in their own folder."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    named = sheet_tracks(sheets).select(F.col("path").alias("sheet"), F.concat(folder, F.lit("/"), "track").alias("t_path")).distinct()
+    return files.join(named, F.col("path") == F.col("t_path")).select("file_id", "sheet")
 
 
 def sheet_tracks(sheets: DataFrame) -> DataFrame:

@@ -63,27 +63,31 @@ def localized(files: DataFrame) -> DataFrame:
     )
 
 
-def assign_platforms(catalogs: DataFrame, platforms: DataFrame, largest: int = 1_000) -> DataFrame:
+def assign_platforms(catalogs: DataFrame, platforms: DataFrame, block: int = 500) -> DataFrame:
     """``catalogs`` (``name, extension``) with ``platform``: the last pattern the name matches, else the first platform of the extension.
 
-    ``platforms``: ``ord, platform, pattern, extensions array<string>``.  The table is a
-    fixed list; its size is checked, patterns become one expression and extensions a
-    map, so catalogs are neither shuffled nor crossed with it.  A larger table is refused.
+    ``platforms``: ``ord, platform, pattern, extensions array<string>``.  The table is
+    a list of patterns, which only expressions can test: they are taken in blocks of
+    bounded size, one step of the plan for each, so catalogs are neither shuffled nor
+    crossed with it, and no pattern is left out.
     """
-    rows = platforms.orderBy("ord").limit(largest + 1).collect()
-    if len(rows) > largest:
-        raise ValueError(f"more than {largest} platforms; split the table by extension first")
-    by_name = F.lit(None).cast("string")
-    for r in rows:
-        if r["pattern"]:
-            by_name = F.when(F.col("name").rlike(r["pattern"]), r["platform"]).otherwise(by_name)
+    rows = [r for r in platforms.orderBy("ord").toLocalIterator()]
+    named = catalogs.withColumn("platform", F.lit(None).cast("string"))
+    for lo in range(0, len(rows), block):
+        by_name = F.col("platform")
+        for r in rows[lo : lo + block]:
+            if r["pattern"]:
+                by_name = F.when(F.col("name").rlike(r["pattern"]), r["platform"]).otherwise(by_name)
+        named = named.withColumn("platform", by_name)
     first: dict[str, str] = {}
     for r in rows:
         for extension in r["extensions"] or []:
             first.setdefault(extension.lower(), r["platform"])
-    pairs = [F.lit(x) for pair in first.items() for x in pair]
-    by_extension = F.try_element_at(F.create_map(*pairs), F.lower("extension")) if pairs else F.lit(None).cast("string")
-    return catalogs.withColumn("platform", F.coalesce(by_name, by_extension))
+    pairs = list(first.items())
+    for lo in range(0, len(pairs), block):
+        known = F.create_map(*[F.lit(x) for pair in pairs[lo : lo + block] for x in pair])
+        named = named.withColumn("platform", F.coalesce("platform", F.try_element_at(known, F.lower("extension"))))
+    return named
 
 
 def digests_in_json(df: DataFrame, key: str, text: str) -> DataFrame:

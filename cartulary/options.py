@@ -19,6 +19,7 @@ class Options:
     inputs: tuple[str, ...] = ()
     catalogs: tuple[str, ...] = ()
     output: str | None = None
+    template: str = "out/{type}"
     merge_mode: str = "fullnonmerged"
     merge_discs: bool = False
     combine: bool = False

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
-from collections.abc import Iterable
+import tarfile
+import zipfile
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import Row
 
 from cartulary.functions import names as N
+from cartulary.session import checkpointed
 
 #: Columns of the report, in order.
 REPORT = ("DAT Name", "Game Name", "Status", "ROM Files", "Patched", "BIOS", "Retail Release", "Unlicensed", "Debug", "Demo", "Beta", "Sample", "Prototype",
@@ -62,33 +66,108 @@ def run_summary(plan: DataFrame, skipped: DataFrame) -> DataFrame:
     return totals.crossJoin(reasons)  # one row each
 
 
+ACTIONS = ("copy", "move", "link", "extract", "zip", "test")
+
+
+def safe_target(root: str, output: str) -> str | None:
+    """The place of an output below the root, or None if its path leads out of it."""
+    base = os.path.abspath(root)
+    target = os.path.abspath(os.path.join(base, output))
+    return target if output and not os.path.isabs(output) and target.startswith(base.rstrip(os.sep) + os.sep) else None
+
+
+def _finish(target: str, make: Callable[[str], None]) -> str:
+    """Make a file beside its place and move it there; a task that runs twice ends in the same state."""
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    part = f"{target}.{os.getpid()}.part"
+    try:
+        make(part)
+        os.replace(part, target)
+    finally:
+        if os.path.lexists(part):
+            os.unlink(part)
+    return "done"
+
+
+def _unpack(archive: str, inside: str, part: str) -> None:
+    if zipfile.is_zipfile(archive):
+        with zipfile.ZipFile(archive) as opened, opened.open(inside) as source, open(part, "wb") as out:
+            shutil.copyfileobj(source, out)
+        return
+    with tarfile.open(archive) as opened, opened.extractfile(inside) as source, open(part, "wb") as out:
+        shutil.copyfileobj(source, out)
+
+
+def _zip(rows: pd.DataFrame, part: str) -> None:
+    """A zip of the inputs in the order of their paths, dates fixed, so that equal contents make equal archives."""
+    with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as archive:
+        for row in rows.sort_values("entry_path", key=lambda c: c.str.lower()).itertuples():
+            info = zipfile.ZipInfo(row.entry_path, (1996, 12, 24, 23, 32, 0))
+            info.compress_type = zipfile.ZIP_DEFLATED
+            with open(row.input, "rb") as source, archive.open(info, "w", force_zip64=True) as out:
+                shutil.copyfileobj(source, out)
+
+
 def execute_plan(plan: DataFrame, root: str, action: str = "copy", dry_run: bool = True) -> DataFrame:
-    """Carry out ``input, output`` rows on the executors (copy, move, link); by default only say what would be done."""
-    if action not in ("copy", "move", "link"):
+    """``input, target, result``: rows ``input, output`` carried out on the executors below ``root``; by default only what would be done.
+
+    ``copy``, ``move`` and ``link`` place one input at one output.  ``extract`` takes
+    ``inside`` out of an archive.  ``zip`` puts all inputs of one output into it under
+    their ``entry_path``, one task an archive.  ``test`` compares a written file with
+    its expected ``sha1`` and ``size``, of which nulls never fail.  An output whose path
+    leads out of the root is refused.  Results are written once, so looking at them again
+    does nothing again; a row that fails says why and stops no other.
+    """
+    if action not in ACTIONS:
         raise ValueError(action)
-
-    def act(rows: Iterable[Row]) -> Iterable[tuple[str, str, str]]:
-        for row in rows:
-            target = os.path.join(root, row.output)
-            if dry_run:
-                yield row.input, target, "planned"
-                continue
-            try:
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = target + ".part"
-                if action == "link":
-                    os.symlink(row.input, part)
-                else:
-                    shutil.copyfile(row.input, part)
-                os.replace(part, target)  # a task that runs twice ends in the same state
-                if action == "move":
-                    os.unlink(row.input)
-                yield row.input, target, "done"
-            except OSError as problem:
-                yield row.input, target, f"error: {problem}"
-
-    pairs = plan.select("input", "output").dropDuplicates(["output"])
-    return pairs.sparkSession.createDataFrame(pairs.rdd.mapPartitions(act), "input string, target string, result string")
+    extra = {"extract": ["inside"], "zip": ["entry_path"], "test": ["sha1", "size"]}.get(action, [])
+
+    def one(row, target: str) -> str:
+        if action == "zip":
+            return _finish(target, lambda part: _zip(row, part))
+        if action == "test":
+            digest, size = hashlib.sha1(), os.path.getsize(target)
+            with open(target, "rb") as source:
+                while piece := source.read(1 << 20):
+                    digest.update(piece)
+            right = (pd.isna(row.sha1) or row.sha1.lower() == digest.hexdigest()) and (pd.isna(row.size_) or int(row.size_) == size)
+            return "passed" if right else "failed"
+        if action == "extract":
+            return _finish(target, lambda part: _unpack(row.input, row.inside, part))
+        if action == "move" and not os.path.exists(row.input) and os.path.exists(target):
+            return "done"
+        result = _finish(target, lambda part: os.symlink(row.input, part) if action == "link" else shutil.copyfile(row.input, part))
+        if action == "move":
+            os.unlink(row.input)
+        return result
+
+    def carried(row, output: str) -> tuple[str | None, str]:
+        target = safe_target(root, output or "")
+        if target is None:
+            return None, "refused: leads out of the root"
+        if dry_run:
+            return target, "planned"
+        try:
+            return target, one(row, target)
+        except (OSError, KeyError, zipfile.BadZipFile, tarfile.TarError) as problem:
+            return target, f"error: {problem}"
+
+    def act(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            rows = [(row.input, *carried(row, row.output)) for row in batch.rename(columns={"size": "size_"}).itertuples()]
+            yield pd.DataFrame(rows, columns=["input", "target", "result"])
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        target, result = carried(rows, rows["output"].iloc[0])
+        return pd.DataFrame({"input": rows["input"], "target": target, "result": result})
+
+    schema = "input string, target string, result string"
+    wanted = plan.select("input", "output", *extra)
+    if action == "zip":
+        done = wanted.dropDuplicates(["output", "entry_path"]).groupBy("output").applyInPandas(pack, schema)
+    else:
+        done = wanted.dropDuplicates(["output"]).mapInPandas(act, schema)
+    return done if dry_run else checkpointed(done)
 
 
 def summary_lines(counts: DataFrame) -> DataFrame:

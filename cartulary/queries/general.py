@@ -30,6 +30,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_found, with so few links in a task that forests are merged over many partitions."""
+    links = _links(spark, sf_dir)
+    return climb(links, per_task=max(50, links.count() // 12)).select(
+        F.col("tree").alias("link"), F.col("node").alias("game_id"), F.col("root").alias("root_id"), "depth")
+
+
 def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path from the root of each entry whose climb ends."""
     done = climb(_links(spark, sf_dir), with_path=True).where(F.col("path").isNotNull())
@@ -62,21 +69,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.select(F.lit("games").alias("table_name"), "*").unionByName(languages.select(F.lit("file_records").alias("table_name"), "*"))
 
 
-def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entries = in_force(table(spark, sf_dir, "games"), "dat_id", "name", "cloneof", "romof", "isbios")
-    return orphan_references(*catalog_references(entries, table(spark, sf_dir, "roms"))).select(
-        "table_name", "field", "row_key", F.date_format("at", "yyyy-MM").alias("period"), "state"
-    )
+    return catalog_references(entries, table(spark, sf_dir, "roms"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to entries and members that are missing, removed or delivered later."""
-    return _references(spark, sf_dir)
+    return orphan_references(*_references(spark, sf_dir)).select("table_name", "field", "row_key", F.date_format("at", "yyyy-MM").alias("period"), "state")
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per table, field, month and state."""
-    return orphan_report(_references(spark, sf_dir))
+    return orphan_report(*_references(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +108,7 @@ def p7_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_paths, p3_descendants, p4_found, p4_summary, p5_found, p6_found, p6_report, p7_found, p7_members, p7_holders, p7_variants)
+    for f in (p3_found, p3_spread, p3_paths, p3_descendants, p4_found, p4_summary, p5_found, p6_found, p6_report, p7_found, p7_members, p7_holders, p7_variants)
 }
 
 _IN_FORCE = """
@@ -226,6 +231,8 @@ ORACLE_SQL = {
     "p7_variants": f"{_P7_HOLDERS} SELECT root, level, variant, count(*) AS nodes, count(DISTINCT raw_id) AS texts FROM (SELECT raw_id, root, level, variant FROM above UNION ALL SELECT raw_id, root, 'member', variant FROM found) GROUP BY 1, 2, 3",
     "p3_found": _CLIMB + """SELECT l.link, l.child AS game_id, coalesce(e.path[1], -1)::BIGINT AS root_id, coalesce(len(e.path) - 1, -1)::BIGINT AS depth
         FROM links l LEFT JOIN ends e ON e.link = l.link AND e.node = l.child""",
+    "p3_spread": _CLIMB + """SELECT l.link, l.child AS game_id, coalesce(e.path[1], -1)::BIGINT AS root_id, coalesce(len(e.path) - 1, -1)::BIGINT AS depth
+        FROM links l LEFT JOIN ends e ON e.link = l.link AND e.node = l.child""",
     "p3_paths": _CLIMB + "SELECT link, node AS game_id, array_to_string(path, '/') AS path FROM ends",
     "p3_descendants": _CLIMB + """SELECT link, path[i] AS ancestor_id, node AS game_id, (len(path) - i)::BIGINT AS distance
         FROM (SELECT *, unnest(range(1, len(path))) AS i FROM ends)""",

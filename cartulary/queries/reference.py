@@ -63,10 +63,6 @@ _MEMBERS = f"""members AS (SELECT *, {_IDENTITY} AS identity FROM (SELECT DISTIN
 _RANK = "CASE WHEN NOT regexp_matches(relative, '(?i)\\.(zip|zipx|tar|tgz|gz|rar|7z|z|cso|dax|zso|gcz|rvz|wia|chd)$') THEN 0 ELSE coalesce(map {'zip': 1, 'tar': 2, 'rar': 3, '7z': 4, 'cso': 5, 'gcz': 6, 'rvz': 6, 'wia': 6, 'chd': 7}[lower(regexp_extract(relative, '\\.([A-Za-z0-9]+)$', 1))], 99) END"
 _FILES = f"""files AS (SELECT *, {_IDENTITY} AS identity, {_RANK} AS container FROM (SELECT DISTINCT file_id, source, relative, size, {', '.join(f'{_dig(d)} AS {d}' for d in _WIDTH)} FROM file_records))"""
 _TIERS = "SELECT {id}, unnest([1, 2, 3, 4]) AS tier, unnest([sha256, sha1, md5, crc32 || '|' || size::VARCHAR]) AS key FROM {t}"
-_MATCHES = f"""best AS (SELECT tier, key, min(row(container, source, relative, file_id))[4] AS file_id FROM (
-    SELECT * FROM ({_TIERS.format(id='file_id, container, source, relative', t='files')}) WHERE key IS NOT NULL) GROUP BY tier, key),
-matches AS (SELECT rom_id, file_id, tier FROM (SELECT rom_id, file_id, tier, row_number() OVER (PARTITION BY rom_id ORDER BY tier) AS rn
-    FROM ({_TIERS.format(id='rom_id', t='members')}) k JOIN best USING (tier, key)) WHERE rn = 1)"""
 _MATCHES = f"""fk AS (SELECT * FROM ({_TIERS.format(id='file_id, container, source, relative', t='files')}) WHERE key IS NOT NULL),
 best AS (SELECT tier, key, file_id FROM (SELECT *, row_number() OVER (PARTITION BY tier, key ORDER BY container, source, relative, file_id) AS rn FROM fk) WHERE rn = 1),
 matches AS (SELECT rom_id, file_id, tier FROM (SELECT rom_id, file_id, tier, row_number() OVER (PARTITION BY rom_id ORDER BY tier) AS rn
@@ -429,7 +425,27 @@ def covering_archives(spark, d):
     return M.covering_archives(_members(spark, d), _files(spark, d))
 
 
-@query()
+def _parts_sql(key: str, name: str, source: str, extra: str = "") -> str:
+    stem = f"regexp_replace(regexp_extract({name}, '([^/\\\\]*)$', 1), '(.)\\.[^.]*$', '\\1')"
+    title = f"coalesce(lower(trim(regexp_replace(regexp_replace({stem}, '\\([^()]*\\)|\\[[^\\[\\]]*\\]', '', 'g'), '\\s+', ' ', 'g'))), '')"
+    return f"""(SELECT *, list_distinct(list_filter(string_split_regex(title, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS w
+  FROM (SELECT {key}, size, crc32, md5, sha1, regexp_extract({name}, '([^/\\\\]*)$', 1) AS base, {title} AS title{extra} FROM {source}))"""
+
+
+_FUZZY = f"""WITH {_ENTRIES}, {_MEMBERS}, {_FILES}, l AS {_parts_sql('rom_id', 'name', 'members')},
+r AS {_parts_sql('file_id', 'relative', 'files', ", row_number() OVER (ORDER BY coalesce(source || '::' || relative, ''), file_id) AS place")},
+words AS (SELECT rom_id, file_id, count(*) AS shared FROM (SELECT rom_id, unnest(w) AS word FROM l) a JOIN (SELECT file_id, unnest(w) AS word FROM r) b USING (word) GROUP BY 1, 2),
+pairs AS (SELECT rom_id, file_id FROM words UNION SELECT rom_id, file_id FROM l JOIN r USING (sha1) UNION SELECT rom_id, file_id FROM l JOIN r USING (md5) UNION SELECT rom_id, file_id FROM l JOIN r USING (crc32, size)
+  UNION SELECT rom_id, file_id FROM l JOIN r USING (size, base) UNION SELECT rom_id, file_id FROM l JOIN r USING (title) WHERE title <> ''),
+scored AS (SELECT rom_id, file_id, place, coalesce(l.sha1 = r.sha1, false) OR coalesce(l.md5 = r.md5, false) OR coalesce(l.crc32 = r.crc32 AND l.size = r.size, false) AS by_digest,
+    CASE WHEN l.sha1 = r.sha1 THEN 900.0::DOUBLE ELSE 0 END + CASE WHEN l.md5 = r.md5 THEN 850.0::DOUBLE ELSE 0 END + CASE WHEN l.crc32 = r.crc32 AND l.size = r.size THEN 800.0::DOUBLE ELSE 0 END
+    + CASE WHEN l.size = r.size AND l.base = r.base THEN 700.0::DOUBLE WHEN l.size = r.size THEN 20.0::DOUBLE ELSE 0 END
+    + CASE WHEN l.title <> '' AND l.title = r.title THEN 300.0::DOUBLE ELSE coalesce(shared / (len(l.w) + len(r.w) - shared)::DOUBLE * 300, 0) END AS score
+  FROM pairs JOIN l USING (rom_id) JOIN r USING (file_id) LEFT JOIN words USING (rom_id, file_id))
+SELECT rom_id, file_id, round(score, 6) AS score, by_digest FROM (SELECT *, row_number() OVER (PARTITION BY rom_id ORDER BY by_digest DESC, score DESC, place) AS rn FROM scored WHERE by_digest OR score >= 25) WHERE rn = 1"""
+
+
+@query(_FUZZY)
 def fuzzy_match(spark, d):
     """The best file of each member by score."""
     return M.fuzzy_match(_members(spark, d), _files(spark, d))
@@ -472,14 +488,6 @@ def json_fields(spark, d):
     return M.json_fields(valid, "cache_id", "json", {"json_name": "$.name", "json_id": "$.id"})
 
 
-@query("""WITH f AS (SELECT DISTINCT file_id, source FROM file_records)
-SELECT file_id, CASE WHEN starts_with(source || '/', '/intake/shelf/') THEN 'shelf' WHEN starts_with(source || '/', '/intake/') THEN 'intake' ELSE '' END AS label FROM f""")
-def prefix_assign(spark, d):
-    """The label of the longest prefix of each file's source."""
-    prefixes = spark.createDataFrame([("/intake", "intake"), ("/intake/shelf", "shelf")], "prefix string, label string")
-    return M.assign_by_prefix(table(spark, d, "file_records").select("file_id", "source").distinct(), prefixes)
-
-
 @query(f"""{_ALL} SELECT archive, count(*) AS files, count(u) AS moved FROM (SELECT source || '/' || regexp_extract(relative, '^(?:(.*)/)?[^/]*$', 1) AS archive, m.file_id AS u FROM files f LEFT JOIN (SELECT DISTINCT file_id FROM matches) m USING (file_id)) GROUP BY 1 HAVING count(*) = count(u)""")
 def consumed_archives(spark, d):
     """Folders whose files were all moved."""

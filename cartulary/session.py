@@ -32,12 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
-    where that is unset, as in tests, a temporary folder of this machine is used.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Where that is
+    unset, a local session, as in tests, gets a temporary folder of this machine; on a
+    cluster, whose executors share no such folder, that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cartulary-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -38,6 +38,7 @@ SIGNATURES = (
     (".lnx", ((0, "4C594E58"),)), (".n64", ((0, "40123780"),)), (".v64", ((0, "37804012"),)), (".z64", ((0, "80371240"),)), (".ndd", ((0, "E848D31610"),)),
     (".fds", ((0, "012A4E494E54454E444F2D4856432A"),)), (".fds", ((0, "464453"),)), (".nes", ((0, "4E45531A"),)), (".gcz", ((0, "01C00BB1"),)),
     (".nkit.iso", ((512, "4E4B4954"),)), (".rvz", ((0, "52565A01"),)), (".wia", ((0, "57494101"),)), (".3dsx", ((0, "33445358"),)),
+    (".3ds", ((0x100, "4E435344"),)), (".gba", ((0x04, "24FFAE51699AA221"),)), (".nds", ((0xC0, "24FFAE51699AA221"), (0x15C, "56CF"))),
 )
 
 
@@ -62,6 +63,50 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.where(~F.col("path").rlike(JUNK)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
+HASH_SCHEMA = "path string, size bigint, mtime timestamp, crc32 string, md5 string, sha1 string, sha256 string, error string"
+
+
+def hash_stream(stream, kinds: tuple[str, ...], chunk: int = 1 << 20) -> dict:
+    """Size and the wanted digests of a stream, read once in pieces."""
+    states = {k: made() for k, made in (("md5", md5), ("sha1", sha1), ("sha256", sha256)) if k in kinds}
+    size = crc = 0
+    while piece := stream.read(chunk):
+        size += len(piece)
+        if "crc32" in kinds:
+            crc = zlib.crc32(piece, crc)
+        for state in states.values():
+            state.update(piece)
+    return {"size": size, **({"crc32": f"{crc:08x}"} if "crc32" in kinds else {}), **{k: state.hexdigest() for k, state in states.items()}}
+
+
+def hash_files(listing: DataFrame, kinds: tuple[str, ...] = ("crc32", "md5", "sha1", "sha256"), tasks: int | None = None) -> DataFrame:
+    """``path, size, mtime``, the wanted digests and ``error`` of listed files (``path, size, mtime``), of any size.
+
+    Contents are never a cell: each file is read in pieces of a megabyte through the
+    file system its path names, and its digests are taken in that one pass.  A file that
+    cannot be read is a row with its error.  ``tasks`` spreads the paths, which are few
+    bytes each, over that many tasks.
+    """
+    columns = [c.split()[0] for c in HASH_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, size, mtime in zip(batch["path"], batch["size"], batch["mtime"]):
+                row = dict.fromkeys(columns) | {"path": path, "size": size, "mtime": mtime}
+                try:
+                    system, inside = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                    with system.open_input_stream(inside, compression=None) as stream:
+                        row |= hash_stream(stream, kinds)
+                except Exception as problem:  # an unreadable file is a row with its error, not the end of the scan
+                    row["error"] = f"{type(problem).__name__}: {problem}"[:300]
+                yield pd.DataFrame([row], columns=columns)
+
+    spread = listing.select("path", "size", "mtime")
+    return (spread.repartition(tasks) if tasks else spread).mapInPandas(run, HASH_SCHEMA)
+
+
 def with_digests(files: DataFrame, kinds: tuple[str, ...] = ("crc32", "md5", "sha1", "sha256")) -> DataFrame:
     return files.withColumns(fingerprint(F.col("content"), kinds))
 
@@ -97,14 +142,22 @@ def with_headerless(files: DataFrame, always: bool = False) -> DataFrame:
     return rows.withColumns({f"{k}_headerless": v for k, v in fingerprint(body).items()})
 
 
-def with_paddings(files: DataFrame, largest: int = 1 << 26) -> DataFrame:
+#: Kinds of contents that are known to be trimmed.
+TRIMMABLE = (".3ds", ".gba", ".nds")
+
+
+def with_paddings(files: DataFrame, always: Column | None = None) -> DataFrame:
     """``files`` with ``paddings``: digests of trimmed contents filled to the next power of two with 0x00 and 0xFF.
 
-    Contents whose size is a power of two, empty ones and ones above ``largest`` have none.
+    Only contents whose signature is that of a trimmable kind are filled, and those for
+    which ``always`` holds.  Contents whose size is a power of two and empty ones are not
+    trimmed.  What fills up is one array of at most the content's own size.
     """
     size = F.length("content")
     full = F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double")))).cast("int")
-    trimmed = (size > 0) & (size <= largest) & (size.bitwiseAND(size - 1) != 0)
+    eligible = F.coalesce(detect_signature(F.col("content")).isin(*TRIMMABLE), F.lit(False))
+    eligible = eligible if always is None else eligible | F.coalesce(always, F.lit(False))
+    trimmed = eligible & (size > 0) & (size.bitwiseAND(size - 1) != 0)
 
     def one(fill: int) -> Column:
         padded = F.rpad(F.col("content"), full, F.unhex(F.lit(f"{fill:02X}")))

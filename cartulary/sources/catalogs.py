@@ -144,11 +144,13 @@ def _cmpro_entry(block: dict[str, list]) -> dict:
             "members": blocks("rom"), "disks": blocks("disk"), "device_refs": [x for x in block.get("device_ref", []) if isinstance(x, str)]}
 
 
-def read_cmpro(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Entries of CMPro texts; files that do not look like one or do not parse give no rows."""
-    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    likely = texts.where(F.col("value").rlike(r"(?m)^(clrmamepro|game|resource) \("))
-    order = [c.strip().split(" ")[0] for c in "path name id cloneof romof cloneofid isbios isdevice description manufacturer category release members disks device_refs".split(" ")]
+_ORDER = "path name id cloneof romof cloneofid isbios isdevice description manufacturer category release members disks device_refs".split()
+#: Fixed value: how a CMPro text begins a block.
+CMPRO_MARK = r"(?m)^(clrmamepro|game|resource) \("
+
+
+def cmpro_entries(texts: DataFrame) -> DataFrame:
+    """Entries of CMPro ``texts`` (``path, value``), with ``error``; a text that does not parse is one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -156,13 +158,107 @@ def read_cmpro(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             for path, text in zip(batch["path"], batch["value"]):
                 try:
                     blocks = parse_cmpro(text)
-                except ValueError:
+                except ValueError as problem:
+                    rows.append(dict.fromkeys(_ORDER) | {"path": path, "error": str(problem)})
                     continue
-                rows += [{"path": path, **_cmpro_entry(b)} for tag in ("game", "resource") for b in blocks.get(tag, []) if isinstance(b, dict)]
+                rows += [{"path": path, "error": None, **_cmpro_entry(b)} for tag in ("game", "resource") for b in blocks.get(tag, []) if isinstance(b, dict)]
             if rows:
-                yield pd.DataFrame(rows)[order]
+                yield pd.DataFrame(rows)[[*_ORDER, "error"]]
+
+    return texts.select("path", "value").mapInPandas(run, ENTRY + ", error string")
+
+
+def read_cmpro(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Entries of CMPro files, with ``error``; files that do not look like one give no rows."""
+    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return cmpro_entries(texts.where(F.col("value").rlike(CMPRO_MARK)))
+
+
+def smdb_lines(value: Column) -> Column:
+    """The valid lines of a tab-separated catalog as ``struct(name, size, crc32, md5, sha1, sha256)``."""
+    widths = {"sha256": (0, 64), "sha1": (2, 40), "md5": (3, 32), "crc32": (4, 8)}
+
+    def line(parts: Column) -> Column:
+        return F.struct(F.get(parts, 1).alias("name"), F.coalesce(F.get(parts, 5).try_cast("bigint"), F.lit(0)).alias("size"), *[F.lower(F.get(parts, i)).alias(d) for d, (i, _) in widths.items()])
 
-    return likely.mapInPandas(run, ENTRY)
+    def valid(x: Column) -> Column:
+        formed = [F.coalesce(x[d].rlike(f"^(0x)?[0-9a-f]{{{w}}}$"), F.lit(False)) for d, (_, w) in widths.items()]
+        return (F.length(x["name"]) > 0) & (formed[0] | formed[1] | formed[2] | formed[3])
+
+    return F.filter(F.transform(F.split(value, r"\r?\n"), lambda r: line(F.split(r, "\t"))), valid)
+
+
+_SOFTWARE_LIST = SOFTWARE_XML.replace(" string", ":string").replace(" array", ":array").replace(", ", ",")
+_ENTRY_LIST = ENTRY_XML.replace(" string", ":string").replace(" array", ":array").replace(", ", ",")
+
+
+def sniffed(texts: DataFrame) -> DataFrame:
+    """``texts`` (``path, value``) with ``format``: xml, cmpro, smdb, or null where none can be told."""
+    body = F.regexp_replace(F.regexp_replace(F.col("value"), r"^\ufeff", ""), r"(?s)^(\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(\[.*?\]\s*)?>)+", "")
+    root = F.regexp_extract(body, r"^<([A-Za-z]+)[\s/>]", 1)
+    kind = (
+        F.when(root.isin("datafile", "mame", "softwarelists", "softwarelist"), "xml").when(F.col("value").rlike(CMPRO_MARK), "cmpro")
+        .when(F.size(smdb_lines(F.col("value"))) > 0, "smdb")
+    )
+    return texts.select("path", "value", kind.alias("format"), F.when(root != "", root).alias("root"))
+
+
+def entries_of_texts(texts: DataFrame) -> DataFrame:
+    """Entries of catalog ``texts`` (``path, value``) of any format, tried as XML, then CMPro, then SMDB, with ``format`` and ``error``.
+
+    A text that is none of them, or is broken, is one row with its error.  ``game``
+    elements stand before ``machine`` elements, and a line of an SMDB is an entry of one
+    member.  Of a text each format is parsed at most once; catalogs of many gigabytes
+    are better read by ``read_datafile``, which splits them by their elements.
+    """
+    known = sniffed(texts)
+    schema = f"struct<game:array<struct<{_ENTRY_LIST}>>,machine:array<struct<{_ENTRY_LIST}>>,software:array<struct<{_SOFTWARE_LIST}>>,softwarelist:array<struct<software:array<struct<{_SOFTWARE_LIST}>>>>,_broken:string>"
+    options = {"attributePrefix": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    read = known.where(F.col("format") == "xml").withColumn("x", F.from_xml("value", schema, options))
+    null = lambda kind: F.lit(None).cast(kind)
+    fields = ENTRY.split(", ", 1)[1]
+    release = lambda e: F.transform(e["release"], lambda r: F.struct(r["_name"].alias("name"), r["_region"].alias("region"), r["_language"].alias("language")))
+
+    def entry(e: Column) -> Column:
+        return F.struct(
+            e["_name"].alias("name"), e["_id"].alias("id"), e["_cloneof"].alias("cloneof"), e["_romof"].alias("romof"), e["_cloneofid"].alias("cloneofid"), e["_isbios"].alias("isbios"),
+            e["_isdevice"].alias("isdevice"), e["description"].alias("description"), e["manufacturer"].alias("manufacturer"), e["category"].alias("category"), release(e).alias("release"),
+            _members(e["rom"]).alias("members"), _members(e["disk"]).alias("disks"), F.transform(e["device_ref"], lambda r: r["_name"]).alias("device_refs"))
+
+    def software(e: Column) -> Column:
+        flat = lambda area, kind: F.flatten(F.transform(F.coalesce(e["part"], F.array()), lambda p: F.flatten(F.transform(F.coalesce(p[area], F.array()), lambda a: F.coalesce(a[kind], F.array())))))
+        return F.struct(
+            e["_name"].alias("name"), null("string").alias("id"), e["_cloneof"].alias("cloneof"), e["_romof"].alias("romof"), null("string").alias("cloneofid"), null("string").alias("isbios"),
+            null("string").alias("isdevice"), e["description"].alias("description"), null("string").alias("manufacturer"), null("array<string>").alias("category"),
+            null("array<struct<name:string,region:string,language:string>>").alias("release"), _members(flat("dataarea", "rom")).alias("members"),
+            _members(flat("diskarea", "disk")).alias("disks"), null("array<string>").alias("device_refs"))
+
+    lists = F.concat(F.coalesce("x.software", F.array()), F.flatten(F.transform(F.coalesce("x.softwarelist", F.array()), lambda l: F.coalesce(l["software"], F.array()))))
+    own = F.when(F.size("x.game") > 0, F.col("x.game")).otherwise(F.coalesce("x.machine", F.array()))
+    listed = F.when(F.col("root").isin("datafile", "mame"), F.transform(own, entry)).otherwise(F.transform(lists, software))
+    broken = F.col("x").isNull() | F.col("x._broken").isNotNull()
+    of_xml = read.where(~broken).select("path", F.inline(listed), null("string").alias("error"), "format")
+    bad = read.where(broken).select("path", "format", F.lit("broken XML").alias("error")).unionByName(known.where(F.col("format").isNull()).select("path", "format", F.lit("no known format").alias("error")))
+    names = [f.split(" ", 1)[0] for f in _fields(fields)]
+    of_cmpro = cmpro_entries(known.where(F.col("format") == "cmpro")).withColumn("format", F.lit("cmpro"))
+    lines = known.where(F.col("format") == "smdb").select("path", "format", F.explode(smdb_lines(F.col("value"))).alias("l"))
+    member = F.struct(F.col("l.name").alias("name"), F.col("l.size").alias("size"), *[F.col(f"l.{d}").alias(d) for d in ("crc32", "md5", "sha1", "sha256")], *[null("string").alias(c) for c in ("status", "merge", "bios")])
+    of_smdb = lines.select("path", F.regexp_replace("l.name", r"(?<=[^/\\])\.[^./\\]*$", "").alias("name"), F.array(member).alias("members"), F.array().cast(f"array<{MEMBER}>").alias("disks"), "format")
+    out = of_xml
+    for part in (of_cmpro, of_smdb, bad):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select("path", "format", *names, "error")
+
+
+def _fields(schema: str) -> list[str]:
+    """The fields of a schema text, commas inside brackets aside."""
+    out, depth, start = [], 0, 0
+    for at, c in enumerate(schema):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(schema[start:at].strip())
+            start = at + 1
+    return [*out, schema[start:].strip()]
 
 
 def catalog_members(entries: DataFrame) -> DataFrame:

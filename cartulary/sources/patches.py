@@ -296,6 +296,38 @@ def apply_patch(source: bytes, path: str, data: bytes) -> bytes:
     raise PatchError(f"format {kind} is not supported")
 
 
+def _number(value: int) -> bytes:
+    """A variable-length number, as ``_uint`` reads it."""
+    out = bytearray()
+    while True:
+        low, value = value & 0x7F, value >> 7
+        if not value:
+            out.append(low | 0x80)
+            return bytes(out)
+        out.append(low)
+        value -= 1
+
+
+def appending_patch(kind: str, source: bytes, tail: bytes) -> bytes:
+    """A patch (ips, ips32, ups, bps) that makes ``source + tail`` of ``source``; ``tail`` has one byte or more."""
+    target = source + tail
+    if kind in ("ips", "ips32"):
+        width, start, end = (3, b"PATCH", b"EOF") if kind == "ips" else (4, b"IPS32", b"EEOF")
+        if len(source) >= 1 << (8 * width):
+            raise PatchError("the place is beyond what the format can name")
+        pieces = [(at, tail[at : at + 0xFFFF]) for at in range(0, len(tail), 0xFFFF)]
+        return start + b"".join((len(source) + at).to_bytes(width, "big") + len(piece).to_bytes(2, "big") + piece for at, piece in pieces) + end
+    if kind == "ups":
+        body = b"UPS1" + _number(len(source)) + _number(len(target)) + _number(len(source)) + tail + b"\0"
+    elif kind == "bps":
+        copied = _number((len(source) - 1) << 2) if source else b""
+        body = b"BPS1" + _number(len(source)) + _number(len(target)) + _number(0) + copied + _number((len(tail) - 1) << 2 | 1) + tail
+    else:
+        raise PatchError(kind)
+    body += zlib.crc32(source).to_bytes(4, "little") + zlib.crc32(target).to_bytes(4, "little")
+    return body + zlib.crc32(body).to_bytes(4, "little")
+
+
 def read_patches(files: DataFrame) -> DataFrame:
     """``path, format, crc_before, crc_after, size_after`` of the patches among ``files`` (``path, content``), equal contents once."""
     first = files.groupBy(F.sha2("content", 256).alias("h")).agg(F.min_by(F.struct("path", "content"), "path").alias("f")).select("f.path", "f.content")

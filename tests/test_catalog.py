@@ -204,7 +204,6 @@ def test_platforms_and_json(spark):
     catalogs = spark.createDataFrame([("Acme - Box Two", ".bin"), ("Other", ".BX"), ("Acme - Box", None), ("None", None)], "name string, extension string")
     table = spark.createDataFrame([(1, "box", "Acme.*Box", [".bx"]), (2, "box2", "Box Two", [".bx", ".b2"]), (3, "x", None, None)], "ord int, platform string, pattern string, extensions array<string>")
     assert [r.platform for r in R.assign_platforms(catalogs, table).collect()] == ["box2", "box", "box", None]
-    with pytest.raises(ValueError):
-        R.assign_platforms(catalogs, table, largest=2)
+    assert [r.platform for r in R.assign_platforms(catalogs, table, block=1).collect()] == ["box2", "box", "box", None]
     df = spark.createDataFrame([(1, '{"a": {"h": "' + "A" * 40 + '"}}'), (2, None), (3, "b" * 33)], "id bigint, json string")
     assert [(r.sha1, r.md5) for r in R.digests_in_json(df, "id", "json").orderBy("id").collect()] == [("a" * 40, None), (None, None), (None, None)]

@@ -23,6 +23,13 @@ def test_compare_copies_states_and_clashing_columns(spark):
     assert got == [(2, "crc", "differs"), (2, "name", "differs"), (3, "", "only_first"), (4, "", "only_mirror"), (5, "name", "differs")]
 
 
+def test_compare_copies_tells_rows_that_disagree_within_a_side(spark):
+    first = spark.createDataFrame([(1, "x", None, "", "", 1), (1, "y", None, "", "", 1), (2, "x", None, "", "", 1), (3, None, None, "", "", 1), (3, "a", None, "", "", 1)], SIDE)
+    mirror = spark.createDataFrame([(1, "y", None, "", "", 1), (2, "x", None, "", "", 1), (2, "x", "1", "", "", 1)], SIDE)
+    got = rows(compare_copies(first, mirror, "id", {"name": None, "crc": hex_number}))
+    assert got == [(1, "", "unlike_first"), (2, "", "unlike_mirror"), (2, "crc", "differs"), (3, "", "only_first"), (3, "", "unlike_first")]
+
+
 def test_compare_copies_empty_and_null_keys(spark):
     empty = spark.createDataFrame([], SIDE)
     some = spark.createDataFrame([(None, "x" * 100_000, None, None, None, None)], SIDE)
@@ -67,10 +74,23 @@ def test_references_by_hand(spark):
         ("games", "cloneof", 6, "deleted"), ("games", "cloneof", 7, "missing"), ("games", "cloneof", 8, "missing"), ("games", "romof", 6, "late"),
         ("roms", "bios", 21, "missing"), ("roms", "merge", 22, "missing"), ("roms", "merge", 24, "missing"), ("roms", "merge", 25, "late"), ("roms", "merge", 27, "missing"),
     ]
-    report = orphan_report(found.withColumn("period", F.lit("2023-02")))
-    assert sum(r.references for r in report.collect()) == 9
+    report = {(r.table_name, r.field, r.period, r.state): r.references for r in orphan_report(*catalog_references(entries, spark.createDataFrame(roms, ROMS))).collect()}
+    assert report == {
+        ("games", "cloneof", "2023-02", "deleted"): 1, ("games", "cloneof", "2023-02", "missing"): 2, ("games", "romof", "2023-02", "late"): 1,
+        ("roms", "bios", "2023-02", "missing"): 1, ("roms", "merge", "2023-02", "missing"): 2, ("roms", "merge", "2023-02", "late"): 1, ("roms", "merge", None, "missing"): 1}
     none = in_force(spark.createDataFrame([], GAMES), "dat_id", "name", "cloneof", "romof", "isbios")
     assert orphan_references(*catalog_references(none, spark.createDataFrame([], ROMS))).count() == 0
+    assert orphan_report(*catalog_references(none, spark.createDataFrame([], ROMS))).count() == 0
+
+
+def test_report_counts_the_month_in_which_a_parent_came(spark):
+    """Of one key: references of months before, within and after the arrival of its parent; a repeated row counts once."""
+    at = [dt.datetime(2023, 1, 5), dt.datetime(2023, 2, 5), dt.datetime(2023, 2, 10), dt.datetime(2023, 2, 20), dt.datetime(2023, 3, 1)]
+    children = spark.createDataFrame([("t", "f", i, "p", 1, "k", x) for i, x in enumerate([*at, None])] + [("t", "f", 0, "p", 1, "k", at[0])], "table_name string, field string, row_key bigint, parent_table string, k1 bigint, k2 string, at timestamp")
+    parents = spark.createDataFrame([("p", 1, "k", True, at[2]), ("p", 1, "k", False, at[0])], "parent_table string, k1 bigint, k2 string, alive boolean, since timestamp")
+    got = {(r.period, r.state): r.references for r in orphan_report(parents, children).collect()}
+    assert got == {("2023-01", "late"): 1, ("2023-02", "late"): 1}
+    assert orphan_references(parents, children).count() == 2
 
 
 def test_references_hot_key(spark):

@@ -28,27 +28,25 @@ def frame(spark, links, tree="t", grp=None):
 
 
 @pytest.mark.parametrize("per_task", [400_000, 40, 7])
-def test_climb_matches_brute_force(spark, monkeypatch, per_task):
-    monkeypatch.setattr(H, "LINKS_PER_TASK", per_task)
+def test_climb_matches_brute_force(spark, per_task):
     rng = random.Random(per_task)
     links = {i: rng.choice([i - 1, rng.randrange(400), i // 2]) for i in range(1, 300)}
     links |= {500: 501, 501: 502, 502: 500, 503: 502, 600: 600}  # cycles, a tail of one, a node of its own
     want = brute(links)
-    got = {r.node: (r.root, r.depth, r.path) for r in H.climb(frame(spark, links), with_path=True).collect()}
+    got = {r.node: (r.root, r.depth, r.path) for r in H.climb(frame(spark, links), with_path=True, per_task=per_task).collect()}
     assert got == want
-    plain = {r.node: (r.root, r.depth) for r in H.climb(frame(spark, links)).collect()}
+    plain = {r.node: (r.root, r.depth) for r in H.climb(frame(spark, links), per_task=per_task).collect()}
     assert plain == {k: v[:2] for k, v in want.items()}
 
 
-def test_long_chain_and_cycle_over_many_partitions(spark, monkeypatch):
-    monkeypatch.setattr(H, "LINKS_PER_TASK", 50)
+def test_long_chain_and_cycle_over_many_partitions(spark):
     order = list(range(1, 801))
     random.Random(1).shuffle(order)  # no partition holds neighbours
     chain = {a: b for a, b in zip(order, order[1:])}
     ring = [10_000 + i for i in range(333)]
     random.Random(2).shuffle(ring)
     links = chain | {a: b for a, b in zip(ring, ring[1:] + ring[:1])}
-    got = {r.node: (r.root, r.depth) for r in H.climb(frame(spark, links, grp=1)).collect()}
+    got = {r.node: (r.root, r.depth) for r in H.climb(frame(spark, links, grp=1), per_task=50).collect()}
     assert got == {k: v[:2] for k, v in brute(links).items()}
 
 

@@ -30,7 +30,9 @@ def test_catalogs(spark, tmp_path):
     assert machines["12"].disks[0].sha1 == "ff" and machines["12"].device_refs == ["dev"] and machines["One"].release[0].region == "USA"
     soft = X.read_softwarelist(spark, f"{tmp_path}/s.xml").first()
     assert soft.members[0].name == "r" and soft.disks[0].name == "k"
-    cm = X.read_cmpro(spark, [f"{tmp_path}/c.dat", f"{tmp_path}/bad.dat"]).collect()
+    read = X.read_cmpro(spark, [f"{tmp_path}/c.dat", f"{tmp_path}/bad.dat"]).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.error) for r in read if r.error] == [("bad.dat", "unclosed quote")]
+    cm = [r for r in read if not r.error]
     assert [(r.name, [(m.name, m["size"], m.crc32) for m in r.members]) for r in cm] == [("One Two", [("a (1).bin", 4, "AB"), ("", 0, None)])]
     assert [(r.entry, r["size"]) for r in X.read_smdb(spark, f"{tmp_path}/t.tsv").collect()] == [("dir/One", 9)]
     flat = X.catalog_members(X.read_datafile(spark, f"{tmp_path}/a.xml"))
@@ -61,7 +63,7 @@ def test_files_and_archives(spark, tmp_path):
     assert digests["one.bin"].crc32 == f"{zlib.crc32(b'hello'):08x}" and "two.bin" not in digests
     head = {r.path.rsplit("/", 1)[-1]: r for r in A.with_headerless(files).collect()}
     assert head["n.nes"].header.name == "NES" and head["n.nes"].crc32_headerless == f"{zlib.crc32(b'body'):08x}" and head["one.bin"].header is None
-    pads = {r.path.rsplit("/", 1)[-1]: r.paddings for r in A.with_paddings(files).collect()}
+    pads = {r.path.rsplit("/", 1)[-1]: r.paddings for r in A.with_paddings(files, F.lit(True)).collect()}
     assert [(p.padded_size, p.crc32) for p in pads["one.bin"]] == [(8, f"{zlib.crc32(b'hello' + bytes(3)):08x}"), (8, f"{zlib.crc32(b'hello' + b'\xff' * 3):08x}")]
     assert {r.path.rsplit("/", 1)[-1]: r.right for r in A.corrected_extensions(files).collect()} == {"wrong.txt": ".zip"}
     inside = {(r.archive, r.entry_path): (r["size"], r.crc32) for r in A.expand_archives(files).where("error is null").collect()}
