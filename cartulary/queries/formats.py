@@ -270,7 +270,7 @@ def fixdat_xml(spark, d):
 
 
 @query(f"""{Q._STATUS}, c AS (SELECT dat_id, count(*) AS entries, count(*) FILTER (status = 'FOUND') AS found FROM status GROUP BY 1)
-SELECT printf('%d: %d/%d games found (%.1f%%)', dat_id, found, entries, found * 100.0 / entries) AS line FROM c""")
+SELECT printf('%d: %d/%d games found (%.1f%%)', dat_id, found, entries, round(found * 100.0 / entries, 1)) AS line FROM c""")
 def summary_lines(spark, d):
     """A line for each catalog with its share of entries found."""
     return S.summary_lines(Q.status_counts(spark, d).where("kind = 'games'"))

@@ -11,6 +11,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from hashlib import md5, sha1, sha256
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +80,16 @@ def hash_stream(stream, kinds: tuple[str, ...], chunk: int = 1 << 20) -> dict:
     return {"size": size, **({"crc32": f"{crc:08x}"} if "crc32" in kinds else {}), **{k: state.hexdigest() for k, state in states.items()}}
 
 
+def _file_system(path: str):
+    """The file system that a path as Spark lists it names, and the path inside it."""
+    from pyarrow import fs
+
+    scheme, found, rest = path.partition(":")
+    if not found or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if found else path).lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+
+
 def hash_files(listing: DataFrame, kinds: tuple[str, ...] = ("crc32", "md5", "sha1", "sha256"), tasks: int | None = None) -> DataFrame:
     """``path, size, mtime``, the wanted digests and ``error`` of listed files (``path, size, mtime``), of any size.
 
@@ -90,13 +101,11 @@ def hash_files(listing: DataFrame, kinds: tuple[str, ...] = ("crc32", "md5", "sh
     columns = [c.split()[0] for c in HASH_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             for path, size, mtime in zip(batch["path"], batch["size"], batch["mtime"]):
                 row = dict.fromkeys(columns) | {"path": path, "size": size, "mtime": mtime}
                 try:
-                    system, inside = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                    system, inside = _file_system(path)
                     with system.open_input_stream(inside, compression=None) as stream:
                         row |= hash_stream(stream, kinds)
                 except Exception as problem:  # an unreadable file is a row with its error, not the end of the scan
