@@ -239,3 +239,5 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpointed(Frame())
+    with pytest.raises(RuntimeError):
+        session.written(Frame())
