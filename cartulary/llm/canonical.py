@@ -139,7 +139,8 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     shorter = F.least(F.length("seg"), F.length("term"))
     cost = F.col("steps") + 0.25 * (F.levenshtein("seg", "term") - F.col("steps"))
     repaired = checkpointed(
-        left.join(right, ["kind", "d", "rest"])
+        # Either side is many times what the planner takes it for, so neither may be broadcast on its estimate.
+        left.hint("merge").join(right.hint("merge"), ["kind", "d", "rest"])
         .groupBy("kind", "seg", "term", "exact", "slack").agg(F.min(deleted).alias("steps"))
         .where((F.col("seg") == F.col("term")) | (~F.col("exact") & (shorter >= ONE_EDIT_FROM)
                & (F.col("steps") <= F.least("slack", F.when(shorter >= TWO_EDITS_FROM, 2).otherwise(1)))))
