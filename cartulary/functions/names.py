@@ -227,16 +227,16 @@ def languages(name: Column, release: Column | None = None) -> Column:
 
 #: Region and language words in the tags of file names.
 TAG_REGIONS = {
-    "EUR": "EUROPE EURO EUR EU FR FRANCE GERMANY SPAIN ITALY NETHERLANDS BELGIUM PORTUGAL SWEDEN NORWAY FINLAND DENMARK POLAND CZECH CZECHOSLOVAKIA HUNGARY KINGDOM UK ENGLAND SCOTLAND IRELAND WALES",
-    "USA": "USA US AMERICA STATES NORTHAMERICA CANADA MEXICO",
-    "WORLD": "WORLD GLOBAL INTERNATIONAL",
+    "EUR": ("EUROPE", "EURO", "EUR", "EU", "FR", "FRANCE", "GERMANY", "SPAIN", "ITALY", "NETHERLANDS", "BELGIUM", "PORTUGAL", "SWEDEN", "NORWAY", "FINLAND", "DENMARK", "POLAND", "CZECH", "CZECHOSLOVAKIA", "HUNGARY", "KINGDOM", "UK", "ENGLAND", "SCOTLAND", "IRELAND", "WALES",),
+    "USA": ("USA", "US", "AMERICA", "STATES", "NORTHAMERICA", "CANADA", "MEXICO",),
+    "WORLD": ("WORLD", "GLOBAL", "INTERNATIONAL",),
 }
 TAG_LANGUAGES = {
-    "EN": "EN ENG ENGLISH UK BRITISH AMERICAN USA US STATES", "FR": "FR FRE FRENCH FRANCE FRA", "DE": "DE GER GERMAN GERMANY",
-    "ES": "ES SPA SPANISH SPAIN ESP", "IT": "IT ITA ITALIAN ITALY", "PT": "PT POR PORTUGUESE PORTUGAL BRAZIL BRA", "DA": "DA DAN DANISH DENMARK",
-    "FI": "FI FIN FINNISH FINLAND", "EL": "EL ELL GRE GREEK GREECE GR", "JA": "JA JPN JAP JAPANESE JAPAN", "KO": "KO KOR KOREAN KOREA",
-    "NL": "NL DUT DUTCH NETHERLANDS HOLLAND", "NO": "NO NOR NORWEGIAN NORWAY", "RU": "RU RUS RUSSIAN RUSSIA", "SV": "SV SWE SWEDISH SWEDEN",
-    "ZH": "ZH CH CHN CHINESE CHINA MANDARIN",
+    "EN": ("EN", "ENG", "ENGLISH", "UK", "BRITISH", "AMERICAN", "USA", "US", "STATES",), "FR": ("FR", "FRE", "FRENCH", "FRANCE", "FRA",), "DE": ("DE", "GER", "GERMAN", "GERMANY",),
+    "ES": ("ES", "SPA", "SPANISH", "SPAIN", "ESP",), "IT": ("IT", "ITA", "ITALIAN", "ITALY",), "PT": ("PT", "POR", "PORTUGUESE", "PORTUGAL", "BRAZIL", "BRA",), "DA": ("DA", "DAN", "DANISH", "DENMARK",),
+    "FI": ("FI", "FIN", "FINNISH", "FINLAND",), "EL": ("EL", "ELL", "GRE", "GREEK", "GREECE", "GR",), "JA": ("JA", "JPN", "JAP", "JAPANESE", "JAPAN",), "KO": ("KO", "KOR", "KOREAN", "KOREA",),
+    "NL": ("NL", "DUT", "DUTCH", "NETHERLANDS", "HOLLAND",), "NO": ("NO", "NOR", "NORWEGIAN", "NORWAY",), "RU": ("RU", "RUS", "RUSSIAN", "RUSSIA",), "SV": ("SV", "SWE", "SWEDISH", "SWEDEN",),
+    "ZH": ("ZH", "CH", "CHN", "CHINESE", "CHINA", "MANDARIN",),
 }
 #: Words that say nothing in a search.
 NOISE = ("usa", "eu", "japan", "pal", "ntsc", "psx", "ps2", "ps3", "ps4", "snes", "nes", "md", "gen", "mega", "sega", "n64", "ds", "3ds",
@@ -249,24 +249,52 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+#: Names whose brackets are closed by their like and not nested: all but a few.
+_FLAT_BRACKETS = r"^[^()\[\]]*(?:(?:\([^()\[\]]*\)|\[[^()\[\]]*\])[^()\[\]]*)*$"
+
+
+def _nested_tags(name: Column) -> Column:
+    """Outermost tags of any name: signs are read one by one, open brackets kept on a stack; a bracket that closes none, or one of the other kind, drops all that is open."""
+    none = F.struct(F.lit("").alias("open"), F.lit("").alias("text"), F.array().cast("array<string>").alias("done"))
+
+    def read(a: Column, c: Column) -> Column:
+        last, depth = F.right(a["open"], F.lit(1)), F.length(a["open"])
+        fits = ((c == ")") & (last == "(")) | ((c == "]") & (last == "["))
+        whole = fits & (depth == 1) & (F.trim(a["text"]) != "")
+        made = F.concat(last, F.trim(a["text"]), c)
+        left = F.when(fits, F.left(a["open"], depth - 1)).otherwise("")
+        opened = F.struct(F.concat(a["open"], c).alias("open"), F.when(depth == 0, "").otherwise(a["text"]).alias("text"), a["done"].alias("done"))
+        closed = F.struct(
+            left.alias("open"), F.when(fits & ~whole, a["text"]).otherwise("").alias("text"), F.when(whole, F.concat(a["done"], F.array(made))).otherwise(a["done"]).alias("done"))
+        inside = F.struct(a["open"].alias("open"), F.when(depth > 0, F.concat(a["text"], c)).otherwise(a["text"]).alias("text"), a["done"].alias("done"))
+        return F.when(c.isin("(", "["), opened).when(c.isin(")", "]"), closed).otherwise(inside)
+
+    return F.aggregate(F.split(name, ""), none, read)["done"]
+
+
 def tags(name: Column) -> Column:
-    """Bracketed tags of a name, brackets included; of nested brackets the outer one, flattened."""
-    inner = F.regexp_replace(name, r"(\([^()\[\]]*)[(\[]([^()\[\]]*)[)\]]", "$1$2")
-    return F.transform(F.regexp_extract_all(inner, F.lit(r"(\([^()]*\)|\[[^\[\]]*\])"), 1), F.trim)
+    """Bracketed tags of a name, brackets included, blanks inside them aside; of nested brackets the outer one, flattened; empty ones are none."""
+    found = F.regexp_extract_all(name, F.lit(r"(\([^()]*\)|\[[^\[\]]*\])"), 1)
+    plain = F.transform(found, lambda t: F.concat(F.left(t, F.lit(1)), F.trim(F.substring(t, F.lit(2), F.length(t) - 2)), F.right(t, F.lit(1))))
+    return F.when(name.rlike(_FLAT_BRACKETS), F.filter(plain, lambda t: F.length(t) > 2)).otherwise(_nested_tags(name))
 
 
 def bare_title(name: Column) -> Column:
-    """``name`` without bracketed parts and with single blanks."""
-    inner = F.regexp_replace(name, r"(\([^()\[\]]*)[(\[][^()\[\]]*[)\]]", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(inner, r"\([^()]*\)|\[[^\[\]]*\]", ""), r"\s+", " "))
+    """``name`` without what is in brackets, to any depth, and with single blanks."""
+    flat = F.regexp_replace(name, r"\([^()]*\)|\[[^\[\]]*\]", "")
+    none = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    depth = lambda a, c: F.when(c.isin("(", "["), a["depth"] + 1).when(c.isin(")", "]"), F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+    text = lambda a, c: F.when((a["depth"] == 0) & ~c.isin("(", "[", ")", "]"), F.concat(a["text"], c)).otherwise(a["text"])
+    nested = F.aggregate(F.split(name, ""), none, lambda a, c: F.struct(depth(a, c).alias("depth"), text(a, c).alias("text")))["text"]
+    return F.trim(F.regexp_replace(F.when(name.rlike(_FLAT_BRACKETS), flat).otherwise(nested), r"\s+", " "))
 
 
 def _tag_words(name: Column) -> Column:
     return F.filter(F.split(F.upper(F.array_join(tags(name), " ")), "[^A-Z0-9]+"), lambda w: w != "")
 
 
-def _lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for code, words in table.items() for word in words.split() for x in (word, code)])
+def _lookup(table: dict[str, tuple[str, ...]]) -> Column:
+    return F.create_map(*[F.lit(x) for code, words in table.items() for word in words for x in (word, code)])
 
 
 def tag_region(name: Column) -> Column:

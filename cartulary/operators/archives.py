@@ -56,6 +56,14 @@ def legal_inputs(plan: DataFrame, raw: bool) -> DataFrame:
     return plan.where(F.col("archive").isNull() | (F.col("inside") == name))
 
 
+def raw_archives(plan: DataFrame) -> DataFrame:
+    """``game_id, archive``: entries whose planned members all lie in one archive under their own names, so that it can be copied as it is."""
+    name = F.regexp_replace("member", r"[\\]", "/")
+    per = plan.where(F.col("kind") != "disk").groupBy("game_id").agg(
+        F.bool_and(F.coalesce(F.col("inside") == name, F.lit(False)) & F.col("archive").isNotNull()).alias("own"), F.min("archive").alias("archive"), F.max("archive").alias("last"))
+    return per.where(F.col("own") & (F.col("archive") == F.col("last"))).select("game_id", "archive")
+
+
 def missing_dependencies(entries: DataFrame, planned: DataFrame, mode: str = "split", devices: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """``dat_id, game_id, missing``: names that planned entries (``game_id``) depend on and that are not planned.
 

@@ -12,6 +12,7 @@ from cartulary.functions import names as N
 from cartulary.functions.digests import member_identity, multiset_print, normal_digest
 from cartulary.operators.entries import in_force
 from cartulary.operators.hierarchy import climb
+from cartulary.session import written
 
 
 ENTRY_COLUMNS = ("dat_id", "id", "name", "description", "cloneof", "romof", "cloneofid", "isbios", "isdevice", "manufacturer", "genre", "category", "release")
@@ -274,6 +275,9 @@ def merge_split(entries: DataFrame, members: DataFrame, mode: str, devices: Data
             added = rows.join(uses, F.col("game_id") == F.col("v_id")).withColumn("game_id", F.col("u_id")).drop("u_id", "v_id")
             rows = rows.unionByName(added)
         return rows.select("dat_id", "game_id", "rom_id", "kind", "name", "identity")
+    # Entries and members are used in several joins each, so both are made once.
+    entries = written(entries.select(*[c for c in ("game_id", "dat_id", "id", "name", "cloneof", "cloneofid", "romof", "isbios") if c in entries.columns]))
+    rows = sane = written(rows)
     roots = romof_roots(entries)
     bios = entries.select(F.col("game_id").alias("b_id"), N.is_bios(F.col("isbios"), F.col("name")).alias("b_is"))
     in_roots = rows.where(F.col("kind") != "disk").join(bios, F.col("game_id") == F.col("b_id")).where(F.col("b_is") | F.col("bios").isNotNull()).drop("b_id", "b_is")
@@ -281,7 +285,7 @@ def merge_split(entries: DataFrame, members: DataFrame, mode: str, devices: Data
     if mode in ("split", "merged"):
         named = entries.groupBy(F.col("dat_id").alias("p_dat"), F.col("name").alias("p_name")).agg(F.max("game_id").alias("parent_id"))
         above = entries.join(named, (F.col("dat_id") == F.col("p_dat")) & (F.col("cloneof") == F.col("p_name"))).select("game_id", "parent_id")
-        rows = _without(rows, sanitized(members), above)
+        rows = _without(rows, sane, above)
     if mode != "merged":
         return rows.select("dat_id", "game_id", "rom_id", "kind", "name", "identity")
     grouped = group_entries(entries).select(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.digests import MASK, member_identity, multiset_print, normal_digest, required_bit
 from cartulary.functions.names import file_stem
+from cartulary.operators.ranks import ranked
+from cartulary.session import checkpointed
 
 DIGESTS = ("crc32", "md5", "sha1", "sha256")
 #: Containers in order of preference; a file outside any comes first.
@@ -33,8 +35,12 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return kept.select(key, F.col(f"kept.{order}").alias(order), *[F.col(f"kept.{c}").alias(c) for c in others])
 
 
-def required_digests(members: DataFrame, least: str | None = None, most: str | None = None) -> DataFrame:
-    """``dat_id, mask``: bits of the digests that identify the members, raised to the least, cut to the most."""
+def required_digests(members: DataFrame, least: str | None = None, most: str | None = None, patches: bool = False, inferred: bool = False) -> DataFrame:
+    """``dat_id, mask``: bits of the digests that identify the members, raised to the least, cut to the most.
+
+    Patches are found by CRC32, so they ask for it; a catalog made from files (``inferred``)
+    lists CRC32, MD5 and SHA-1, whatever else is asked.
+    """
     need = required_bit(*[F.col(d) for d in DIGESTS], F.col("size"))
     mask = F.bit_or(need)
     if least:
@@ -42,6 +48,8 @@ def required_digests(members: DataFrame, least: str | None = None, most: str | N
     if most:
         allowed = reduce(lambda a, b: a | b, [bit for bit in MASK.values() if bit <= MASK[most]])
         mask = mask.bitwiseAND(allowed)
+    forced = (MASK["crc32"] if patches else 0) | (MASK["crc32"] | MASK["md5"] | MASK["sha1"] if inferred else 0)
+    mask = mask.bitwiseOR(F.lit(forced)) if forced else mask
     return members.groupBy("dat_id").agg(mask.alias("mask")).withColumn("mask", F.when(F.col("mask") == 0, MASK["crc32"]).otherwise(F.col("mask")))
 
 
@@ -90,6 +98,21 @@ def tiered_match(members: DataFrame, files: DataFrame) -> DataFrame:
     return variant_match(members, files).drop("variant")
 
 
+def expected_outputs(matches: DataFrame, files: DataFrame) -> DataFrame:
+    """``rom_id, size, crc32, md5, sha1, sha256``: what a written file must be, by the variant (of ``variant_match``) that was matched.
+
+    A raw match is written as it is, a headerless one without its header.
+    """
+    known = files.select(F.col("file_id").alias("x_id"), *[F.col(c).alias(f"x_{c}") for c in ("size", *DIGESTS)], *[F.col(f"{c}_headerless").alias(f"h_{c}") for c in ("size", *DIGESTS)])
+    met = matches.where(F.col("variant") != PADDED).join(known, F.col("file_id") == F.col("x_id"))
+    return met.select("rom_id", *[F.when(F.col("variant") == HEADERLESS, F.col(f"h_{c}")).otherwise(F.col(f"x_{c}")).alias(c) for c in ("size", *DIGESTS)])
+
+
+def deletable(moved: DataFrame, kept: DataFrame) -> DataFrame:
+    """Moved inputs (``path``) that no output was written to (``path``)."""
+    return moved.join(kept.select(F.col("path").alias("k")).distinct(), F.col("path") == F.col("k"), "left_anti")
+
+
 def match_reasons(files: DataFrame, members: DataFrame) -> DataFrame:
     """``file_id, reasons``: every way a file meets any member: digests, checksum with size, size with name."""
     named = lambda df, path: df.select("*", F.concat(F.col("size").cast("string"), F.lit("|"), F.regexp_extract(path, r"([^/\\]*)$", 1)).alias("size_name"))
@@ -293,11 +316,9 @@ def _supply(right: DataFrame) -> DataFrame:
 
 def _sides(members: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What scores need of members and of files, written once, and ``file_id, place``: the files' order by path."""
-    from cartulary.session import checkpointed
-
     path = F.coalesce(F.concat("source", F.lit("::"), "relative"), F.lit(""))
-    place = F.row_number().over(Window.orderBy(path, "file_id")).cast("long")
-    right = checkpointed(_parts(files, "file_id", "relative", place))
+    placed = ranked(files.withColumn("path", path), [], ["path", "file_id"])
+    right = checkpointed(_parts(placed, "file_id", "relative", F.col("rank")))
     return checkpointed(_parts(members, "rom_id", "name", F.lit(0))), right, right.select(F.col("id").alias("file_id"), "place")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions import names as N
 from cartulary.operators.matching import ARCHIVE_PATTERN
+from cartulary.operators.ranks import ranked
 
 #: Tokens of an output template and the columns that fill them.
 TOKENS = {
@@ -72,6 +75,13 @@ def output_paths(plan: DataFrame, template: str = "out/{type}", zipped: bool = F
     return rows.withColumn("output", output).withColumn("entry_path", base).withColumn("valid", ~output.rlike(r"\{[a-zA-Z]+\}"))
 
 
+def expanded_plan(entries: DataFrame, plan: DataFrame, template: str, zipped: bool = False) -> DataFrame:
+    """Output paths of a plan for each region, language and category of an entry; paths that come out alike are one row."""
+    parts = expanded(entries).select(F.col("game_id").alias("x_id"), "region", "language", "one_category").distinct()
+    rows = output_paths(plan.join(parts, F.col("game_id") == F.col("x_id")).drop("x_id"), template, zipped)
+    return rows.where("valid").select("game_id", "rom_id", "file_id", "output").distinct()
+
+
 def output_conflicts(plan: DataFrame) -> DataFrame:
     """``dat_id, output, entries, inputs``: paths that more than one entry, or more than one file, would be written to."""
     per = plan.groupBy("dat_id", "output").agg(F.count_distinct("game_id").alias("entries"), F.count_distinct("identity").alias("inputs"))
@@ -88,26 +98,19 @@ def letter_folders(names: DataFrame, limit: int, grouped: bool = False) -> DataF
     """``scope, name, folder``: letter folders of at most ``limit`` names, per scope.
 
     Ungrouped, a letter with more names is split to ``A1``, ``A2``...; grouped, runs of
-    ``limit`` names in order of letter and name share ``A-C``.  Names rank by a count
-    over name prefixes and a window inside each prefix, so neither a scope nor a letter
-    is sorted in one task.
+    ``limit`` names in order of letter and name share ``A-C``.  Neither a scope nor a
+    letter nor a beginning that many names share is sorted in one task (``ranked``).
     """
     letters = names.select("scope", "name").distinct().withColumn("letter", N.letter_of(F.col("name"), 1, grouped))
-    part = ["scope"] if grouped else ["scope", "letter"]
-    # A prefix sorts as the whole name does, so counts of prefixes give the rank at which each begins.
-    rows = letters.withColumn("bucket", F.concat("letter", F.substring("name", 1, 8)))
-    sizes = rows.groupBy(*part, "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*part).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    totals = sizes.groupBy(*part).agg(F.sum("n").alias("total"))
-    placed = rows.join(starts, [*part, "bucket"]).withColumn(
-        "rank", F.col("start") + F.row_number().over(Window.partitionBy(*part, "bucket").orderBy("letter", "name")) - 1)
-    chunk = placed.join(totals, part).withColumn("chunk", F.floor(F.col("rank") / limit))
-    if not grouped:
-        label = F.when(F.col("total") > limit, F.concat("letter", (F.col("chunk") + 1).cast("string"))).otherwise(F.col("letter"))
-        return chunk.select("scope", "name", label.alias("folder"))
-    ends = chunk.groupBy("scope", "chunk").agg(F.concat(F.min("letter"), F.lit("-"), F.max("letter")).alias("folder"))
-    return chunk.join(ends, ["scope", "chunk"]).select("scope", "name", "folder")
+    placed = ranked(letters, ["scope"] if grouped else ["scope", "letter"], ["letter", "name"] if grouped else ["name"])
+    chunk = placed.withColumn("chunk", F.floor(F.col("rank") / limit))
+    if grouped:
+        ends = chunk.groupBy(F.col("scope").alias("e_scope"), F.col("chunk").alias("e_chunk")).agg(F.concat(F.min("letter"), F.lit("-"), F.max("letter")).alias("folder"))
+        return chunk.join(ends, F.col("scope").eqNullSafe(F.col("e_scope")) & (F.col("chunk") == F.col("e_chunk"))).select("scope", "name", "folder")
+    totals = chunk.groupBy(F.col("scope").alias("t_scope"), F.col("letter").alias("t_letter")).agg(F.count("*").alias("total"))
+    met = chunk.join(totals, F.col("scope").eqNullSafe(F.col("t_scope")) & (F.col("letter") == F.col("t_letter")))
+    label = F.when(F.col("total") > limit, F.concat("letter", (F.col("chunk") + 1).cast("string"))).otherwise(F.col("letter"))
+    return met.select("scope", "name", label.alias("folder"))
 
 
 def letter_ranges(names: DataFrame, limit: int) -> DataFrame:
@@ -123,6 +126,29 @@ def playlists(plan: DataFrame) -> DataFrame:
     return rows.groupBy("dat_id", "title").agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_list("output")), "\n").alias("lines")).where(F.col("files") > 1)
 
 
+def playlist_lines(plan: DataFrame, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """``dat_id, path, line``: the lines of each playlist of two or more files of one title, as a row each.
+
+    A playlist lies in the folder that its files have in common and names them from
+    there; ``extensions`` restricts the files.  What all folders of a title begin with
+    is what the least and the greatest of them begin with, so none are collected.
+    """
+    rows = plan.select("dat_id", N.strip_disc(F.col("entry")).alias("title"), "output").distinct()
+    if extensions:
+        rows = rows.where(F.lower("output").rlike("(" + "|".join(re.escape(x.lower()) for x in extensions) + ")$"))
+    folder = F.concat(F.regexp_extract("output", r"^(.*)/[^/]*$", 1), F.lit("/"))
+    ends = rows.groupBy(F.col("dat_id").alias("e_dat"), F.col("title").alias("e_title")).agg(F.count("*").alias("files"), F.min(folder).alias("lo"), F.max(folder).alias("hi"))
+    lo, hi = F.split("lo", "/"), F.split("hi", "/")
+    alike = F.zip_with(lo, hi, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(alike, F.lit(False))
+    same = F.when(first > 0, first - 1).otherwise(F.size(alike)).cast("int")
+    common = F.regexp_replace(F.array_join(F.slice(lo, 1, same), "/"), "/$", "")
+    heads = ends.where(F.col("files") > 1).select("e_dat", "e_title", common.alias("folder"))
+    met = rows.join(heads, F.col("dat_id").eqNullSafe(F.col("e_dat")) & (F.col("title") == F.col("e_title")))
+    line = F.regexp_replace(F.substring("output", F.length("folder") + 1, F.length("output")), "^/", "")
+    return met.select("dat_id", F.concat_ws("/", F.nullif("folder", F.lit("")), F.concat("title", F.lit(".m3u"))).alias("path"), line.alias("line"))
+
+
 def write_decision(exists: Column, same: Column, writing: bool, overwrite: bool, overwrite_invalid: bool, passes: Column) -> Column:
     """What happens to an output path, as the first rule that holds."""
     decision = F.when(F.lit(writing) & same, "skip_same")

@@ -48,6 +48,17 @@ def choose_variants(rows: DataFrame, regions: tuple[str, ...] = (), languages: t
     return joined.select("file_id", "title", kept.alias("kept"), why.alias("reason"))
 
 
+def pattern_reasons(rows: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (``file_id, relative``) with ``reason``: why patterns leave a file out; null if they do not."""
+    hit = lambda patterns: F.coalesce(F.col("relative").rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    reason = F.lit(None).cast("string")
+    if exclude:
+        reason = F.when(hit(exclude), "excluded").otherwise(reason)
+    if include:
+        reason = F.when(~hit(include), "not included").otherwise(reason)
+    return rows.select("file_id", reason.alias("reason"))
+
+
 def skip_breakdown(chosen: DataFrame) -> DataFrame:
     """Skipped variants counted by reason."""
     return chosen.where(~F.col("kept")).groupBy("reason").agg(F.count("*").alias("files"))

@@ -60,7 +60,9 @@ def _catalog_texts(spark, d) -> DataFrame:
     game = F.array(F.struct(F.col("name").alias("_name"), F.col("cloneof").alias("_cloneof"), rom.alias("rom")))
     areas = F.array(F.struct(F.array(F.struct(rom.alias("rom"))).alias("dataarea")))
     software = F.array(F.struct(F.col("name").alias("_name"), F.col("cloneof").alias("_cloneof"), areas.alias("part")))
-    xml = lambda tag, inside: F.concat(F.lit('<?xml version="1.0"?>\n<!-- made -->\n'), F.to_xml(F.struct(inside), {"rowTag": tag, "attributePrefix": "_"}))
+    xml = lambda tag, *inside: F.concat(F.lit('<?xml version="1.0"?>\n<!-- made -->\n'), F.to_xml(F.struct(*inside), {"rowTag": tag, "attributePrefix": "_"}))
+    header = F.struct(F.concat(F.lit("set "), F.col("dat_id").cast("string")).alias("name"), F.lit("made & kept").alias("description"), F.lit("1.0").alias("version")).alias("header")
+    list_name = F.concat(F.lit("list "), F.col("dat_id").cast("string")).alias("_name")
     word = lambda tag, c: F.when(c.isNotNull(), F.concat(F.lit(f" {tag} "), c)).otherwise("")
     block = F.array_join(F.transform("m", lambda r: F.concat(
         F.lit("\trom ( name "), _quoted(r["name"]), word("size", r["size"].cast("string")), word("crc", r["crc32"]), word("md5", r["md5"]), word("sha1", r["sha1"]), word("sha256", r["sha256"]), F.lit(" )"))), "\n")
@@ -69,7 +71,7 @@ def _catalog_texts(spark, d) -> DataFrame:
     lines = F.array_join(F.transform("m", lambda r: F.concat_ws("\t", *[F.coalesce(r[c].cast("string"), F.lit("")) for c in ("sha256", "name", "sha1", "md5", "crc32", "size")])), "\r\n")
     kind = F.pmod("game_id", F.lit(6))
     value = (
-        F.when(kind == 0, xml("datafile", game.alias("game"))).when(kind == 1, xml("softwarelist", software.alias("software"))).when(kind == 2, cmpro).when(kind == 3, lines)
+        F.when(kind == 0, xml("datafile", header, game.alias("game"))).when(kind == 1, xml("softwarelist", list_name, software.alias("software"))).when(kind == 2, cmpro).when(kind == 3, lines)
         .when(kind == 4, F.lit('game (\n\tname "never closed')).otherwise(F.lit("<datafile><game"))
     )
     return rows.select(F.col("game_id").cast("string").alias("path"), value.alias("value"))
@@ -98,6 +100,14 @@ def parsed_catalogs(spark, d):
     return flat.where("kind = 'rom'").select("path", "entry", "name", "size", *digests)
 
 
+@query(f"""{_LISTED}, smdb AS (SELECT DISTINCT game_id FROM formed WHERE kind = 3 AND name <> ''), h AS (SELECT g.*, e.dat_id FROM g JOIN entries e USING (game_id) WHERE kind < 3 OR game_id IN (SELECT game_id FROM smdb))
+SELECT game_id::VARCHAR AS path, CASE WHEN kind < 2 THEN 'xml' WHEN kind = 2 THEN 'cmpro' ELSE 'smdb' END AS format, CASE kind WHEN 0 THEN 'set ' || dat_id WHEN 1 THEN 'list ' || dat_id WHEN 2 THEN 'made' ELSE game_id::VARCHAR END AS name,
+  CASE kind WHEN 0 THEN 'made & kept' END AS description, CASE kind WHEN 0 THEN '1.0' END AS version FROM h""")
+def catalog_headers(spark, d):
+    """Names, descriptions and versions of the catalog texts that are whole."""
+    return X.catalog_headers(_catalog_texts(spark, d).where(F.pmod(F.col("path").cast("bigint"), F.lit(6)) < 4))
+
+
 # -- contents ---------------------------------------------------------------------------
 
 
@@ -177,7 +187,7 @@ def signed_texts(spark, d):
     for i, (_, pieces) in enumerate(_SIGNED):
         head = bytearray()
         for offset, value in pieces:
-            head += bytes(offset - len(head)) + bytes.fromhex(value)
+            head += b"." * (offset - len(head)) + bytes.fromhex(value)
         made = F.when(F.pmod("doc_id", F.lit(len(_SIGNED))) == i, F.unhex(F.lit(bytes(head).hex()))).otherwise(made)
     return _documents(spark, d).select("doc_id", A.detect_signature(F.concat(made, F.lit(b"\x20"), F.col("body"))).alias("extension"))
 

@@ -138,10 +138,13 @@ vb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier, key ORDER
 SELECT rom_id, file_id, tier, variant FROM (SELECT rom_id, file_id, tier, variant, row_number() OVER (PARTITION BY rom_id ORDER BY tier) AS rn FROM ({Q._TIERS.format(id='rom_id', t='members')}) k JOIN vb USING (tier, key)) WHERE rn = 1""")
 def variant_match(spark, d):
     """The file of each member by raw digests, else by those of its variant, for which the mirror's digests stand."""
+    return M.variant_match(Q._members(spark, d), _with_variants(spark, d))
+
+
+def _with_variants(spark, d) -> DataFrame:
     mirror = table(spark, d, "file_records_mirror").select("file_id", "size", *M.DIGESTS).distinct()
     behind = mirror.select(F.col("file_id").alias("h_id"), F.col("size").alias("size_headerless"), *[normal_digest(F.col(x), x).alias(f"{x}_headerless") for x in M.DIGESTS])
-    files = Q._files(spark, d).join(behind, F.col("file_id") == F.col("h_id"), "left").drop("h_id")
-    return M.variant_match(Q._members(spark, d), files)
+    return Q._files(spark, d).join(behind, F.col("file_id") == F.col("h_id"), "left").drop("h_id")
 
 
 _CONTENTS = "contents AS (SELECT *, CASE WHEN regexp_extract(relative, '^(.*)/[^/]*$', 1) <> '' THEN source || '/' || regexp_extract(relative, '^(.*)/[^/]*$', 1) END AS archive FROM files)"
@@ -197,3 +200,57 @@ def token_paths(spark, d):
     plan = Q._plan(spark, d).withColumn("dat_name", F.concat(F.lit("catalog/"), F.col("dat_id").cast("string")))
     parts = [P.output_paths(plan, template).select("rom_id", "output", "valid") for template in ("sets/{datName}/{outputExt}", "{pocket}")]
     return parts[0].unionByName(parts[1])
+
+
+_INSIDE = "CASE WHEN kind = 'disk' OR (members > 1 AND NOT regexp_matches(base, '(?i)\\.(zip|zipx|tar|tgz|gz|rar|7z|z|cso|dax|zso|gcz|rvz|wia|chd)$')) THEN name || '/' || base ELSE base END"
+
+
+@query(f"""{Q._PLAN}, {Q._LOCALE}, x AS (SELECT game_id, unnest(regions) AS region, languages FROM locale), y AS (SELECT game_id, region, unnest(languages) AS language FROM x)
+SELECT DISTINCT o.game_id, rom_id, file_id, {_LEGAL.format("'out/' || region || '/' || language || '/' || " + _INSIDE)} AS output FROM outs o JOIN y ON y.game_id = o.game_id WHERE region <> '' AND language <> ''""")
+def expanded_plan(spark, d):
+    """The plan of complete entries with a path for each region and language."""
+    return P.expanded_plan(Q._entries(spark, d, "name", "release", "category"), Q._plan(spark, d), "out/{region}/{language}")
+
+
+@query("""SELECT DISTINCT file_id, CASE WHEN NOT coalesce(regexp_matches(relative, '(?i)\\.(zip|7z|bin)$'), false) THEN 'not included' WHEN coalesce(regexp_matches(relative, '\\[b[0-9]*\\]|\\(Proto'), false) THEN 'excluded' END AS reason FROM (SELECT DISTINCT file_id, relative FROM file_records)""")
+def pattern_reasons(spark, d):
+    """Why patterns leave files out."""
+    return R.pattern_reasons(table(spark, d, "file_records").select("file_id", "relative").distinct(), (r"(?i)\.(zip|7z|bin)$",), (r"\[b[0-9]*\]", r"\(Proto"))
+
+
+@query(f"""WITH {Q._ENTRIES}, {Q._MEMBERS}, {Q._FILES}, {_HEADLESS},
+vb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier, key ORDER BY variant, container, source, relative, file_id) AS rn FROM vk WHERE key IS NOT NULL) WHERE rn = 1),
+vm AS (SELECT rom_id, file_id, variant FROM (SELECT rom_id, file_id, variant, row_number() OVER (PARTITION BY rom_id ORDER BY tier) AS rn FROM ({Q._TIERS.format(id='rom_id', t='members')}) k JOIN vb USING (tier, key)) WHERE rn = 1)
+SELECT rom_id, {', '.join(f'CASE WHEN variant = 1 THEN h_{x} ELSE {x} END AS {x}' for x in ('size', *Q._WIDTH))} FROM vm JOIN variants USING (file_id)""")
+def expected_outputs(spark, d):
+    """Size and digests that each written member must have, by the variant of the file that was matched."""
+    files = _with_variants(spark, d)
+    return M.expected_outputs(M.variant_match(Q._members(spark, d), files), files)
+
+
+@query(f"""{Q._PLAN}, a AS (SELECT *, CASE WHEN regexp_extract(relative, '^(.*)/[^/]*$', 1) <> '' THEN source || '/' || regexp_extract(relative, '^(.*)/[^/]*$', 1) END AS archive, regexp_extract(relative, '([^/]*)$', 1) AS inside FROM outs WHERE kind <> 'disk')
+SELECT game_id, min(archive) AS archive FROM a GROUP BY 1 HAVING bool_and(archive IS NOT NULL AND coalesce(inside = member, false)) AND min(archive) = max(archive)""")
+def raw_archives(spark, d):
+    """Entries whose members all lie in one folder under their own names."""
+    folder = F.regexp_extract("relative", r"^(.*)/[^/]*$", 1)
+    plan = Q._plan(spark, d).withColumn("archive", F.when(folder != "", F.concat("source", F.lit("/"), folder))).withColumn("inside", F.regexp_extract("relative", r"([^/]*)$", 1))
+    return A.raw_archives(plan)
+
+
+@query(f"""{Q._ALL} SELECT DISTINCT source || '/' || relative AS path FROM files JOIN (SELECT DISTINCT file_id FROM matches) m USING (file_id) WHERE source || '/' || relative NOT IN (SELECT source || '/' || relative FROM file_records_mirror WHERE source IS NOT NULL AND relative IS NOT NULL)""")
+def deletable_inputs(spark, d):
+    """Matched inputs that could be deleted once moved; the mirror's paths stand for what was written."""
+    path = F.concat("source", F.lit("/"), "relative").alias("path")
+    files = Q._files(spark, d)
+    moved = files.join(Q._matches(spark, d).select(F.col("file_id").alias("m_id")).distinct(), F.col("file_id") == F.col("m_id")).select(path).distinct()
+    return M.deletable(moved.where(F.col("path").isNotNull()), table(spark, d, "file_records_mirror").select(path))
+
+
+@query(f"""WITH {Q._ENTRIES}, {Q._MEMBERS}, b AS (SELECT dat_id, bit_or(CASE WHEN crc32 IS NOT NULL AND size IS NOT NULL THEN 1 WHEN md5 IS NOT NULL THEN 16 WHEN sha1 IS NOT NULL THEN 256 WHEN sha256 IS NOT NULL THEN 4096 ELSE 0 END)::INT AS need FROM members GROUP BY 1)
+SELECT dat_id, CASE WHEN ((need | 16) & 17) = 0 THEN 1 ELSE ((need | 16) & 17) | 1 END AS patched, ((need & 17) | 273) AS inferred FROM b""")
+def scanning_masks(spark, d):
+    """Digest masks that a scan needs with patches (from MD5 up to MD5), and for a catalog made from files."""
+    members = Q._members(spark, d)
+    patched = M.required_digests(members, "md5", "md5", patches=True).withColumnRenamed("mask", "patched")
+    inferred = M.required_digests(members, None, "md5", inferred=True).select(F.col("dat_id").alias("i"), F.col("mask").alias("inferred"))
+    return patched.join(inferred, F.col("dat_id").eqNullSafe(F.col("i"))).drop("i")

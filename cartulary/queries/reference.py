@@ -337,7 +337,11 @@ for _mode, _sql in {
     query(_sql)(_merged(_mode))
 
 
-@query()
+@query(f"""{_SPLIT}, {_GROUPED},
+  flat AS (SELECT s.dat_id, g.group_name, (g.cloneof IS NOT NULL OR g.cloneofid IS NOT NULL) AS clone, s.game_id, s.ord, s.rom_id, s.kind, s.identity,
+    CASE WHEN g.cloneof IS NOT NULL OR g.cloneofid IS NOT NULL THEN g.name || '\\' || s.name ELSE s.name END AS name FROM splits s JOIN grouped g USING (game_id))
+  SELECT dat_id, group_name, game_id, rom_id, kind, name, identity FROM (SELECT *, row_number() OVER (PARTITION BY dat_id, group_name, identity ORDER BY NOT clone, game_id, ord, rom_id, kind, name) AS rn FROM flat WHERE kind <> 'disk') WHERE rn = 1
+  UNION ALL SELECT dat_id, group_name, game_id, rom_id, kind, name, identity FROM flat WHERE kind = 'disk' AND NOT clone""")
 def merge_merged_disks(spark, d):
     """Members and disks of each set under the merge mode merged."""
     entries = _entries(spark, d, "dat_id", "id", "name", "cloneof", "cloneofid", "romof", "isbios")
@@ -497,7 +501,7 @@ def consumed_archives(spark, d):
 # -- records -------------------------------------------------------------------
 
 
-_TAG_MAP = {which: "map {" + ", ".join(f"'{w}': '{code}'" for code, words in table_.items() for w in words.split()) + "}" for which, table_ in (("region", N.TAG_REGIONS), ("language", N.TAG_LANGUAGES))}
+_TAG_MAP = {which: "map {" + ", ".join(f"'{w}': '{code}'" for code, words in table_.items() for w in words) + "}" for which, table_ in (("region", N.TAG_REGIONS), ("language", N.TAG_LANGUAGES))}
 _HAS = "len(list_filter(up, lambda t: regexp_matches(t, '{0}'))) > 0"
 _NUM = "try_cast(regexp_extract(t, '{0}', {1}) AS BIGINT)"
 _VER = "^V(?:ER(?:SION)?)?\\.?\\s*(\\d+)(?:\\.(\\d+))?(?:\\.(\\d+))?$"
@@ -545,7 +549,8 @@ def skip_breakdown(spark, d):
     return R.skip_breakdown(chosen_variants(spark, d))
 
 
-@query()
+@query(f"""WITH v AS ({_VARIANTS}) SELECT f.file_id, coalesce(nullif(trim(derived_region), ''), v.region) AS region, coalesce(nullif(trim(derived_languages), ''), nullif(v.languages, '')) AS languages
+FROM (SELECT DISTINCT file_id, relative, derived_region, derived_languages FROM file_records) f JOIN v USING (file_id)""")
 def localized_files(spark, d):
     """Regions and languages completed from the tags of file names."""
     return R.localized(table(spark, d, "file_records"))
@@ -636,6 +641,19 @@ def playlists(spark, d):
     return P.playlists(P.output_paths(_plan(spark, d)))
 
 
+_LISTED = f"""{_PLAN}, p AS (SELECT DISTINCT dat_id, {_DISC.format('name')} AS title, output, string_split(regexp_extract(output, '^(.*)/[^/]*$', 1), '/') AS dirs FROM outs),
+k AS (SELECT *, count(*) OVER (PARTITION BY dat_id, title) AS files FROM p),
+n AS (SELECT dat_id, title, output, files, unnest(range(1, len(dirs) + 1)) AS depth, dirs FROM k WHERE files > 1),
+h AS (SELECT dat_id, title, depth, any_value(array_to_string(dirs[1:depth], '/')) AS head FROM n GROUP BY dat_id, title, depth, files HAVING count(DISTINCT array_to_string(dirs[1:depth], '/')) = 1 AND count(*) = files),
+c AS (SELECT dat_id, title, arg_max(head, depth) AS folder FROM h GROUP BY 1, 2)"""
+
+
+@query(f"""{_LISTED} SELECT k.dat_id, c.folder || '/' || k.title || '.m3u' AS path, substring(k.output, length(c.folder) + 2) AS line FROM k JOIN c ON c.dat_id IS NOT DISTINCT FROM k.dat_id AND c.title = k.title""")
+def playlist_lines(spark, d):
+    """Lines of each playlist, below the common folder of its files."""
+    return P.playlist_lines(P.output_paths(_plan(spark, d)))
+
+
 @query("""WITH f AS (SELECT DISTINCT file_id, source || '/' || relative AS path, size FROM file_records), m AS (SELECT DISTINCT source || '/' || relative AS path, size AS m_size FROM file_records_mirror)
 SELECT f.file_id, CASE WHEN m.path IS NOT NULL AND (f.size = m.m_size OR f.size IS NULL OR m.m_size IS NULL) THEN 'skip_valid' ELSE 'write' END AS decision
 FROM f LEFT JOIN (SELECT path, max(m_size) AS m_size FROM m GROUP BY 1) m USING (path)""")

@@ -6,6 +6,7 @@ import bz2
 import gzip
 import io
 import lzma
+import re
 import tarfile
 import zipfile
 import zlib
@@ -42,13 +43,44 @@ SIGNATURES = (
     (".3ds", ((0x100, "4E435344"),)), (".gba", ((0x04, "24FFAE51699AA221"),)), (".nds", ((0xC0, "24FFAE51699AA221"), (0x15C, "56CF"))),
 )
 
+#: As above, with the bytes as text.
+TEXT_SIGNATURES = (
+    (".lzh", ((0, "-lh"), (4, "-"))), (".oar", ((0, "OAR"),)), (".rs", ((0, "RSVKDATA"),)), (".crt", ((0, "C64 CARTRIDGE "),)), (".crt", ((0, "C128 CARTRIDGE "),)),
+    (".crt", ((0, "CBM2 CARTRIDGE "),)), (".crt", ((0, "VIC20 CARTRIDGE "),)), (".crt", ((0, "PLUS4 CARTRIDGE "),)), (".g64", ((0, "GCR-1541"),)), (".p00", ((0, "C64File\0"),)),
+    (".p64", ((0, "P64-1541"),)), (".t64", ((0, "C64S tape image file" + "\0" * 12),)), (".tap", ((0, "C64-TAPE-RAW"),)), (".tap", ((0, "C16-TAPE-RAW"),)), (".x64", ((0, "C\x15Ad"),)),
+    (".bin", ((0, "main.bs"),)), (".smc", ((0, "\0\x01ME DOCTOR SF 3"),)), (".smc", ((0, "GAME DOCTOR SF 3"),)), (".nca", ((0x200, "NCA0"),)), (".nca", ((0x200, "NCA1"),)),
+    (".nca", ((0x200, "NCA2"),)), (".nca", ((0x200, "NCA3"),)), (".ncz", ((0x4000, "NCZSECTN"),)), (".nro", ((0x10, "NRO0"),)), (".nso", ((0, "NSO0"),)), (".nsp", ((0, "PFS0"),)),
+    (".zca", ((0, "ZCA0"),)), (".ccf", ((0, "CCF\0"),)), (".vff", ((0, "VFF "),)), (".wdf", ((0, "WII\x01DISC"),)), (".wud", ((0, "WUP-"),)), (".32x", ((0x100, "SEGA 32X"),)),
+    (".gg", ((0x7FF0, "TMR SEGA"),)), (".md", ((0x100, "SEGA "),)), (".md", ((0x100, "SEGA IS A REGISTERED"),)),
+)
+SIGNATURES += tuple((extension, tuple((offset, text.encode("latin-1").hex()) for offset, text in pieces)) for extension, pieces in TEXT_SIGNATURES)
+
+
+def literal_first(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths as globs: one that exists as it is written stands for itself, whatever signs it has; FileNotFoundError if none of them has a file."""
+    configuration, out, found = spark._jsc.hadoopConfiguration(), [], False
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        system = path.getFileSystem(configuration)
+        if system.exists(path):
+            found = True
+            out.append(re.sub(r"([\\*?\[\]{}])", r"\\\1", text))
+        elif len(system.globStatus(path) or []):
+            found = True
+            out.append(text)
+    if not found:
+        raise FileNotFoundError(", ".join(paths))
+    return out
+
 
 def list_files(spark: SparkSession, paths: list[str], exclude: list[str] | None = None) -> DataFrame:
-    """``path, size, mtime`` of all files below the paths, once each, without junk and exclusions; contents are not read.
+    """``path, size, mtime`` of all files below the paths or globs, once each, without junk and exclusions; contents are not read.
 
+    Paths that do not exist are passed over, unless none does; a path that exists as it is written is no glob.
     Empty files are not listed, as Spark plans no read for them; a member of size 0 needs no file (see ``generate_plan``).
     """
     def listing(where: list[str]) -> DataFrame:
+        where = literal_first(spark, where)
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
         return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).dropDuplicates(["path"])
 

@@ -250,6 +250,46 @@ def entries_of_texts(texts: DataFrame) -> DataFrame:
     return out.select("path", "format", *names, "error")
 
 
+def catalog_headers(texts: DataFrame) -> DataFrame:
+    """``path, format, name, description, version`` of catalog ``texts`` (``path, value``) that have a header.
+
+    An XML catalog is named by its header, by its build or by its list; of several lists
+    the names are joined.  CMPro texts have a block of their own, lines of an SMDB none,
+    so its name is that of the file.  Broken headers give null fields.
+    """
+    known = sniffed(texts)
+    one = "struct<_name:string,_description:string>"
+    schema = f"struct<header:struct<name:string,description:string,version:string>,_build:string,_name:string,_description:string,softwarelist:array<{one}>>"
+    x = F.from_xml("value", schema, {"attributePrefix": "_", "mode": "PERMISSIVE"})
+    listed = F.array_join(F.transform("x.softwarelist", lambda l: l["_name"]), ", ")
+    name = F.coalesce("x.header.name", "x._build", "x._name", F.nullif(listed, F.lit("")))
+    of_xml = known.where(F.col("format") == "xml").withColumn("x", x).select(
+        "path", "format", F.trim(name).alias("name"), F.coalesce("x.header.description", "x._description").alias("description"), F.col("x.header.version").alias("version"))
+    block = F.regexp_extract("value", r'(?s)clrmamepro \(((?:[^()"]|"(?:[^"\\]|\\.)*")*)\)', 1)
+
+    def field(tag: str) -> Column:
+        quoted = F.regexp_extract(block, rf'(?:^|\s){tag}\s+"((?:[^"\\]|\\.)*)"', 1)
+        return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(F.regexp_extract(block, rf'(?:^|\s){tag}\s+([^\s"]+)', 1), F.lit(""))).alias(tag)
+
+    of_cmpro = known.where(F.col("format") == "cmpro").select("path", "format", *[field(t) for t in ("name", "description", "version")])
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    none = F.lit(None).cast("string")
+    of_smdb = known.where(F.col("format") == "smdb").select("path", "format", stem.alias("name"), none.alias("description"), none.alias("version"))
+    return of_xml.unionByName(of_cmpro).unionByName(of_smdb)
+
+
+def scan_catalogs(spark: SparkSession, paths: str | list[str], include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(catalogs, entries)`` of files of any format: headers that pass the patterns, in the order of their names, and the entries of these files.
+
+    Files that are no catalogs are among the entries as rows with their error.
+    """
+    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    kept = filter_catalogs(catalog_headers(texts), include, exclude)
+    entries = entries_of_texts(texts)
+    named = kept.select(F.col("path").alias("k_path")).distinct()
+    return sort_catalogs(kept), entries.join(named, F.col("path") == F.col("k_path"), "left").where(F.col("k_path").isNotNull() | F.col("error").isNotNull()).drop("k_path")
+
+
 def _fields(schema: str) -> list[str]:
     """The fields of a schema text, commas inside brackets aside."""
     out, depth, start = [], 0, 0

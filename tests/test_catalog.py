@@ -10,6 +10,7 @@ from cartulary.operators import catalog as C
 from cartulary.operators import matching as M
 from cartulary.operators import plan as P
 from cartulary.operators import records as R
+from cartulary.operators.ranks import ranked
 from cartulary.options import Options
 
 ENTRY = ("game_id bigint, dat_id bigint, id string, name string, description string, cloneof string, romof string, cloneofid string, isbios string, isdevice string, "
@@ -179,6 +180,32 @@ def test_variants(spark):
     assert files.select(N.search_name(F.lit("Big Game (USA) rev 2 1994 NES.zip")).alias("s")).first().s == "Big Game"
 
 
+@pytest.mark.parametrize(
+    ("name", "found", "title"),
+    [("A (USA) [!]", ["(USA)", "[!]"], "A"), ("A (x (y) [z]) b [ c ]", ["(x y z)", "[c]"], "A b"), ("A (b] c) d", [], "A c d"), ("A ) (b)", ["(b)"], "A"), ("A ( ) []", [], "A"), ("A (b", [], "A"), ("", [], ""), ("A ((b)", [], "A")],
+)
+def test_tags_to_any_depth(spark, name, found, title):
+    row = spark.range(1).select(N.tags(F.lit(name)).alias("t"), N.bare_title(F.lit(name)).alias("b")).first()
+    assert (list(row.t), row.b) == (found, title)
+
+
+def test_ranks_over_ranges(spark):
+    rows = [("hot", f"{i:05}") for i in range(3_000)] + [(None, "b"), (None, "a"), ("x", "y")]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "scope string, name string").repartition(5)
+    got = {(r.scope, r.name): r["rank"] for r in ranked(df, ["scope"], ["name"]).collect()}
+    assert got == {**{("hot", f"{i:05}"): i for i in range(3_000)}, (None, "a"): 0, (None, "b"): 1, ("x", "y"): 0}
+    assert P.letter_folders(df.limit(0), 3).count() == 0
+
+
+def test_playlists_lie_in_the_common_folder(spark):
+    rows = [(1, "A (Disc 1)", "out/A (Disc 1)/a.chd"), (1, "A (Disc 2)", "out/A (Disc 2)/a.chd"), (1, "B", "out/b.chd"), (1, "C (Disc 1)", "out/c/1.chd"), (1, "C (Disc 2)", "out/c/2.txt"), (1, "D", "x/d1.chd"), (1, "D", "y/d2.chd"), (1, "A (Disc 1)", "out/A (Disc 1)/a.chd")]
+    plan = spark.createDataFrame(rows, "dat_id bigint, entry string, output string")
+    got = sorted((r.path, r.line) for r in P.playlist_lines(plan).collect())
+    assert got == [("D.m3u", "x/d1.chd"), ("D.m3u", "y/d2.chd"), ("out/A.m3u", "A (Disc 1)/a.chd"), ("out/A.m3u", "A (Disc 2)/a.chd"), ("out/c/C.m3u", "1.chd"), ("out/c/C.m3u", "2.txt")]
+    assert {r.path for r in P.playlist_lines(plan, (".chd",)).collect()} == {"D.m3u", "out/A.m3u"}
+
+
 def test_letters_and_decisions(spark):
     names = spark.createDataFrame([(1, f"{c}{i}") for c in "ab" for i in range(5)] + [(1, "9x"), (2, "a")], "scope bigint, name string")
     got = {(r.scope, r.name): r.folder for r in P.letter_folders(names, 3).collect()}

@@ -154,6 +154,40 @@ def test_files_are_hashed_in_pieces(spark, tmp_path):
     assert got[False].sha1 is None and "Error" in got[False].error
 
 
+def test_literal_paths_are_listed_before_globs(spark, tmp_path):
+    for name in ("a[1].bin", "a1.bin", "b.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    names = lambda *paths: sorted(r.path.rsplit("/", 1)[-1] for r in assets.list_files(spark, [f"{tmp_path}/{p}" for p in paths]).collect())
+    assert names("a[1].bin") == ["a[1].bin"] and names("a[0-9].bin") == ["a1.bin"] and names("*.{bin,txt}") == ["a1.bin", "a[1].bin", "b.txt"] and names("none", "b.txt") == ["b.txt"]
+    with pytest.raises(FileNotFoundError):
+        names("none*")
+
+
+def test_scan_of_catalogs(spark, tmp_path):
+    files = {
+        "1.xml": '<datafile><header><name> Zeta </name><description>d</description><version>2</version></header><game name="z"/></datafile>', "2.xml": '<mame build="alpha 1"><machine name="m"/></mame>',
+        "3.xml": '<softwarelists><softwarelist name="l1"><software name="s1"/></softwarelist><softwarelist name="l2"/></softwarelists>', "4.dat": 'clrmamepro (\n\tname "Cm (x)"\n\tversion 3\n)\n\ngame (\n\tname c\n)\n',
+        "5.txt": "\t".join(["a" * 64, "o.bin", "", "", "", "1"]), "6.txt": "nothing",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    catalogs, entries = X.scan_catalogs(spark, str(tmp_path), exclude=("^Zeta",))
+    assert [(r.name, r.format, r.version) for r in catalogs.collect()] == [("5", "smdb", None), ("alpha 1", "xml", None), ("Cm (x)", "cmpro", "3"), ("l1, l2", "xml", None)]
+    assert sorted((r.name or "", r.error) for r in entries.collect()) == [("", "no known format"), ("c", None), ("m", None), ("o", None), ("s1", None)]
+
+
+def test_expected_outputs_raw_archives_and_masks(spark):
+    files = spark.createDataFrame([(1, 5, "c", None, "raw", None, 4, "h", None, "behind", None)], "file_id bigint, size bigint, crc32 string, md5 string, sha1 string, sha256 string, size_headerless bigint, crc32_headerless string, md5_headerless string, sha1_headerless string, sha256_headerless string")
+    matches = spark.createDataFrame([(10, 1, 2, M.RAW), (11, 1, 2, M.HEADERLESS), (12, 1, 2, M.PADDED)], "rom_id bigint, file_id bigint, tier int, variant int")
+    assert sorted((r.rom_id, r["size"], r.sha1) for r in M.expected_outputs(matches, files).collect()) == [(10, 5, "raw"), (11, 4, "behind")]
+    rows = [(1, "rom", "a\\x", "A", "a/x"), (1, "rom", "y", "A", "y"), (1, "disk", "d", None, None), (2, "rom", "x", "A", "x"), (2, "rom", "y", "B", "y"), (3, "rom", "x", "A", "z"), (4, "rom", "x", None, "x")]
+    plan = spark.createDataFrame(rows, "game_id bigint, kind string, member string, archive string, inside string")
+    assert [(r.game_id, r.archive) for r in A.raw_archives(plan).collect()] == [(1, "A")]
+    roms = spark.createDataFrame([member(1, 1, "a")], MEMBER)
+    mask = lambda **k: M.required_digests(roms, **k).first()["mask"]
+    assert [mask(), mask(patches=True), mask(inferred=True), mask(most="crc32")] == [0x100, 0x101, 0x111, 0x1]
+
+
 def test_only_trimmable_contents_are_padded(spark):
     gba = bytes(4) + bytes.fromhex("24FFAE51699AA221") + b"x"
     df = spark.createDataFrame([(1, gba), (2, b"plain"), (3, b""), (4, b"four")], "id bigint, content binary")
