@@ -289,28 +289,33 @@ def bare_title(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.when(name.rlike(_FLAT_BRACKETS), flat).otherwise(nested), r"\s+", " "))
 
 
-def _tag_words(name: Column) -> Column:
-    return F.filter(F.split(F.upper(F.array_join(tags(name), " ")), "[^A-Z0-9]+"), lambda w: w != "")
+def _or_tags(name: Column, listed: Column | None) -> Column:
+    """The tags at hand, else those of the name; a caller that asks several things reads them off once."""
+    return tags(name) if listed is None else listed
+
+
+def _tag_words(name: Column, listed: Column | None = None) -> Column:
+    return F.filter(F.split(F.upper(F.array_join(_or_tags(name, listed), " ")), "[^A-Z0-9]+"), lambda w: w != "")
 
 
 def _lookup(table: dict[str, tuple[str, ...]]) -> Column:
     return F.create_map(*[F.lit(x) for code, words in table.items() for word in words for x in (word, code)])
 
 
-def tag_region(name: Column) -> Column:
+def tag_region(name: Column, listed: Column | None = None) -> Column:
     """The region of the first tag word that means one, else null."""
-    return F.get(F.filter(F.transform(_tag_words(name), lambda w: F.try_element_at(_lookup(TAG_REGIONS), w)), lambda r: r.isNotNull()), 0)
+    return F.get(F.filter(F.transform(_tag_words(name, listed), lambda w: F.try_element_at(_lookup(TAG_REGIONS), w)), lambda r: r.isNotNull()), 0)
 
 
-def tag_languages(name: Column) -> Column:
+def tag_languages(name: Column, listed: Column | None = None) -> Column:
     """Different languages of the tag words, in order."""
-    found = F.transform(_tag_words(name), lambda w: F.try_element_at(_lookup(TAG_LANGUAGES), w))
+    found = F.transform(_tag_words(name, listed), lambda w: F.try_element_at(_lookup(TAG_LANGUAGES), w))
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
-def tag_quality(name: Column) -> Column:
+def tag_quality(name: Column, listed: Column | None = None) -> Column:
     """Quality tier of the tags: verified first, then bad, fixed, pending, modified; clean without any."""
-    upper = F.transform(tags(name), F.upper)
+    upper = F.transform(_or_tags(name, listed), F.upper)
     has = lambda p: F.exists(upper, lambda t: t.rlike(p))
     return (
         F.when(has(r"^\[\s*!\s*\]$"), "verified").when(has(r"^\[\s*B"), "bad").when(has(r"^\[\s*F"), "fixed").when(has(r"^\[\s*!P\s*\]$"), "pending")
@@ -318,9 +323,9 @@ def tag_quality(name: Column) -> Column:
     )
 
 
-def tag_revision(name: Column) -> Column:
+def tag_revision(name: Column, listed: Column | None = None) -> Column:
     """``struct(priority, score)`` of the best revision tag, smaller is better: PRG, version, number, letter."""
-    text = F.transform(tags(name), lambda t: F.trim(F.upper(F.regexp_replace(t, r"^[(\[]|[)\]]$", ""))))
+    text = F.transform(_or_tags(name, listed), lambda t: F.trim(F.upper(F.regexp_replace(t, r"^[(\[]|[)\]]$", ""))))
     limit = 4294967295
 
     def rank(t: Column) -> Column:
@@ -338,9 +343,9 @@ def tag_revision(name: Column) -> Column:
     return F.array_min(F.concat(none, F.transform(text, rank)))
 
 
-def set_number(name: Column) -> Column:
+def set_number(name: Column, listed: Column | None = None) -> Column:
     """The number behind "set" in the tags, else null."""
-    return F.regexp_extract(F.upper(F.array_join(tags(name), " ")), r"SET[^\d)\]]*(\d+)", 1).try_cast("bigint")
+    return F.regexp_extract(F.upper(F.array_join(_or_tags(name, listed), " ")), r"SET[^\d)\]]*(\d+)", 1).try_cast("bigint")
 
 
 def search_name(name: Column) -> Column:

@@ -11,12 +11,13 @@ from cartulary.functions import names as N
 def described(files: DataFrame) -> DataFrame:
     """``file_id, relative, title, region, languages, quality, rank, set_number`` read off each file's name."""
     stem = N.file_stem(F.col("relative"))
-    rows = files.select("file_id", "relative").distinct().withColumn("stem", stem)
+    rows = files.select("file_id", "relative").distinct().withColumn("stem", stem).withColumn("listed", N.tags(F.col("stem")))
+    at = (F.col("stem"), F.col("listed"))
     title = N.bare_title(F.col("stem"))
     return rows.select(
         "file_id", "relative", F.when(title == "", F.col("stem")).otherwise(title).alias("title"),
-        N.tag_region(F.col("stem")).alias("region"), N.tag_languages(F.col("stem")).alias("languages"),
-        N.tag_quality(F.col("stem")).alias("quality"), N.tag_revision(F.col("stem")).alias("rank"), N.set_number(F.col("stem")).alias("set_number"))
+        N.tag_region(*at).alias("region"), N.tag_languages(*at).alias("languages"), N.tag_quality(*at).alias("quality"), N.tag_revision(*at).alias("rank"),
+        N.set_number(*at).alias("set_number"))
 
 
 def _place(value: Column, wanted: tuple[str, ...]) -> Column:
