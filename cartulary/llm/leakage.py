@@ -29,12 +29,14 @@ GAP, DRIFT = 9, 5
 SHINGLE = 2
 #: Shingles of items that a run of a text, and a window of it, must have to be looked at: fewer make neither a stretch nor a near window.
 LEAST_HITS = 3
-#: A window that more passages than this share is an expression and points to none of them.
-MOST_SHARING = 4
 #: Bits of the filter of item shingles: so many for each of them, within these bounds (32 MB at most).
 FILTER_BITS, FILTER_LEAST, FILTER_MOST = 64, 16, 28
-#: Texts read at once, windows fingerprinted at once, and words whose signs a task remembers.
-TEXTS, CHUNK, WORDS_KEPT = 500, 50_000, 200_000
+#: A window of more passages than the first is hot, a shingle of more than the second is common: see ``Passages``.
+HOT, COMMON = 100, 4
+#: Shingles of all passages up to which they are broadcast (16 MB); those of longer lists are joined.
+LIGHT = 1 << 20
+#: Texts read at once, windows fingerprinted at once, words whose signs a task remembers, and shingles bounded at once.
+TEXTS, CHUNK, WORDS_KEPT, BOUNDED = 500, 50_000, 200_000, 300_000
 
 _TAG = regex.compile(r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>")
 _BROKEN = regex.compile(r"(?<=\p{L})-[ \t]*\r?\n[ \t>|*#:]*(?=\p{Ll})")
@@ -146,6 +148,17 @@ def _coder(weights: dict[str, int]):
     return run
 
 
+def _rare_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``seq, pair`` for passages whose common shingles alone reach no leak."""
+    for batch in batches:
+        own, weights = batch.column(1), batch.column(2).values.to_numpy()[batch.column(2).offsets[0].as_py() : batch.column(2).offsets[-1].as_py()]
+        sizes = np.diff(own.offsets.to_numpy())
+        rare = weights > 1 / (COMMON + 0.5)
+        rare &= np.repeat(~reached(sizes, weights, ~rare), sizes)
+        seq = np.repeat(batch.column(0).to_numpy(), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(seq[rare]), own.flatten().filter(pa.array(rare))], ["seq", "pair"])
+
+
 class Passages:
     """The distinct passages as tables: words of items, shingles with weights, fingerprints of windows."""
 
@@ -157,7 +170,8 @@ class Passages:
         #: ``seq, item``: the items of each distinct passage.
         self.items = read.select("seq", "item")
         known = read.dropDuplicates(["seq"]).select("seq", "words")
-        count = known.count()
+        count, words = known.select(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+        self.light = words <= LIGHT
         # A word of many passages says little about any; there are at most twelve times the mean number of distinct words of a passage.
         spread = known.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where(F.col("count") > count // 12)
         self.weights = {r["word"]: 1 if r["count"] > count // 3 else 2 for r in spread.collect()}
@@ -167,10 +181,19 @@ class Passages:
         gathered = placed.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("at", "pair", (F.lit(1.0) / F.col("passages")).alias("w")))).alias("g"))
         #: ``seq, own array<bigint>, own_weights array<double>``: shingles in the order of the passage; one of several passages weighs less.
         self.shingles = gathered.select("seq", F.transform("g", lambda x: x["pair"]).alias("own"), F.transform("g", lambda x: x["w"]).alias("own_weights"))
-        windows = coded.select("seq", F.explode(F.array_distinct("prints")).alias("q"))
-        few = windows.groupBy("q").agg(F.count("*").alias("passages")).where(F.col("passages") <= MOST_SHARING).select("q")
-        #: ``seq, q``: fingerprints of windows that only few passages share.
-        self.windows = windows.join(few, "q")
+        #: ``seq, q``: the passages that a window points to.
+        self.windows = coded.select("seq", F.explode(F.array_distinct("prints")).alias("q"))
+        #: ``q``: fingerprints of all windows.
+        self.prints = self.windows.select("q").distinct()
+        #: ``q``: hot windows, if there are any.  They do not point to the passages of ``rare``.
+        self.hot = written(self.windows.groupBy("q").agg(F.count("*").alias("passages")).where(F.col("passages") > HOT).select("q"))
+        self.any_hot = bool(self.hot.head(1))
+        if self.any_hot:
+            held = self.windows.join(self.hot, "q", "left_semi")
+            #: ``seq, pair``: rare shingles of the passages with hot windows that cannot leak without one.
+            self.rare = written(self.shingles.join(held.select("seq"), "seq", "left_semi").mapInArrow(_rare_shingles, "seq bigint, pair bigint"))
+            spared = held.join(self.rare.select("seq"), "seq", "left_semi")
+            self.windows = written(self.windows.join(spared, ["seq", "q"], "left_anti"))
         self.filter = self._filter(shared)
 
     @staticmethod
@@ -278,6 +301,60 @@ def share(own: np.ndarray, weights: np.ndarray, places: np.ndarray, pairs: np.nd
     return float(covered.mean())
 
 
+def possible(sizes: np.ndarray, own: np.ndarray, weights: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which of many pairs of passage and text can reach ``LEAST_SHARE``, all at once.
+
+    ``own, weights``: the shingles of all passages, ``sizes`` of them each; ``pairs``: those of
+    the texts, ``counts`` each.  Membership is read off a table of hashes, whose false hits
+    only raise the bound.
+    """
+    row, no = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(counts)), counts)
+    bits = min(max((len(pairs) * 32).bit_length(), 10), 24)
+    place = lambda x, r: ((x.view(np.uint64) + r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.zeros(1 << bits, dtype=bool)
+    table[place(pairs, no)] = True
+    return reached(sizes, weights, table[place(own, row)])
+
+
+def reached(sizes: np.ndarray, weights: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Which of many passages can reach ``LEAST_SHARE`` if these of their places are found: a bound never below ``share``.
+
+    A stretch is an interval of a run of found places in which the found ones have
+    ``LEAST_DENSITY`` of the weight; what no such interval covers, none does.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    least = LEAST_SHARE * (sizes + SHINGLE - 1) - 1e-9
+    found = np.flatnonzero(hit)
+    none = np.zeros(len(sizes), dtype=bool)
+    if not len(found):
+        return none
+    fresh = np.append(True, (np.diff(found) > GAP) | (np.diff(row[found]) != 0))
+    first, last = found[fresh], found[np.append(fresh[1:], True)]
+    spans = last - first + SHINGLE
+    spans[spans < LEAST_STRETCH] = 0
+    enough = np.bincount(row[first], spans, len(sizes)) >= least
+    kept = (spans > 0) & enough[row[first]]
+    if not kept.any():
+        return none
+    first, length = first[kept], last[kept] - first[kept] + 1
+    run = np.repeat(np.arange(len(first)), length)
+    at = np.arange(len(run)) + np.repeat(first - (np.cumsum(length) - length), length)
+    gain = weights[at] * (hit[at] - LEAST_DENSITY)
+    after = np.cumsum(gain)
+    # Each run lies below the one before it, so running extremes never leave it.
+    down = run * (np.ptp(after) + np.ptp(gain) + 1)
+    lowest = np.minimum.accumulate(after - gain - down)
+    highest = np.maximum.accumulate((after - down)[::-1])[::-1]
+    heavy = np.flatnonzero(highest - lowest >= -1e-6)
+    if not len(heavy):
+        return none
+    fresh = np.append(True, (np.diff(heavy) > 1) | (np.diff(run[heavy]) != 0))
+    first, last = heavy[fresh], heavy[np.append(fresh[1:], True)]
+    spans = last - first + SHINGLE
+    spans[spans < LEAST_STRETCH] = 0
+    return np.bincount(row[at[first]], spans, len(sizes)) >= least
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage") -> DataFrame:
     """``key, item_key, share``: every text that holds a third or more of an item's passage.
 
@@ -285,12 +362,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     passages, and those of the texts that have enough word pairs of any passage (a filter
     of bounded size tells), get 64-bit SimHashes.  Ten pairs of five blocks of the
     fingerprints are the keys of an equi-join, so each passage window within Hamming
-    radius three of a text's window is met; windows that more than ``MOST_SHARING``
-    passages share are expressions and point to none.  Each pair of text and passage met
-    is verified exactly: word shingles of both, weighted by the inverse of the number of
-    passages that share them, are chained to stretches, and the stretches of length must
-    cover ``LEAST_SHARE`` of the passage.  Phrases that items share, instructions and
-    brief quotations do not reach that.
+    radius three of a text's window is met, however many passages share it; where a window
+    is hot and its passage cannot leak by common shingles alone, a text with that window
+    meets the passage by any rare shingle of it.  Each pair of
+    text and passage met is verified exactly: word shingles of both, weighted by the
+    inverse of the number of passages that share them, are chained to stretches, and the
+    stretches of length must cover ``LEAST_SHARE`` of the passage.  Phrases that items
+    share, instructions and brief quotations do not reach that; a bound tells for many
+    pairs at once which cannot.
 
     Null, empty and short texts and passages give no rows; items of equal passages are
     searched once; repeated item ids or texts give a row for each pair; very long texts
@@ -320,15 +399,31 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in batch.columns[2:]]
-            shares = [share(*(values[at[r] : at[r + 1]] for at, values in lists)) for r in range(batch.num_rows)]
-            leaks = np.flatnonzero(np.array(shares) >= LEAST_SHARE)
+            shares = np.zeros(batch.num_rows)
+            total, lo = lists[0][0] + lists[3][0].astype(np.int64), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + BOUNDED, "right")) - 1)
+                bounds = [at[lo : hi + 1] for at, _ in lists]
+                own, weights, _, pairs = (values[at[0] : at[-1]] for at, (_, values) in zip(bounds, lists))
+                for r in lo + np.flatnonzero(possible(np.diff(bounds[0]), own, weights, np.diff(bounds[3]), pairs)):
+                    shares[r] = share(*(values[at[r] : at[r + 1]] for at, values in lists))
+                lo = hi
+            leaks = np.flatnonzero(shares >= LEAST_SHARE)
             if len(leaks):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(leaks)), batch.column(1).take(pa.array(leaks)), pa.array([shares[r] for r in leaks], pa.float64())], ["doc", "seq", "share"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(leaks)), batch.column(1).take(pa.array(leaks)), pa.array(shares[leaks])], ["doc", "seq", "share"])
 
     scanned = written(source.mapInArrow(scan, f"uid bigint, doc {kind}, places array<bigint>, pairs array<bigint>, prints array<bigint>"))
     own = scanned.select("uid", F.explode("prints").alias("p"))
-    near = near_prints(own.select("p").distinct(), passages.windows.select("q").distinct())
-    met = own.join(near, "p").join(passages.windows, "q").select("uid", "seq").distinct()
-    sides = met.join(scanned.select("uid", "doc", "places", "pairs"), "uid").join(passages.shingles, "seq").select("doc", "seq", "own", "own_weights", "places", "pairs")
+    near = near_prints(own.select("p").distinct(), passages.prints)
+    found = own.join(near, "p").select("uid", "q")
+    if passages.any_hot:
+        found = written(found)
+    met = found.join(passages.windows, "q").select("uid", "seq")
+    if passages.any_hot:
+        shingled = scanned.join(found.join(passages.hot, "q", "left_semi").select("uid").distinct(), "uid", "left_semi").select("uid", F.explode(F.array_distinct("pairs")).alias("pair")).hint("merge")
+        met = met.unionByName(shingled.join(passages.rare, "pair").select("uid", "seq"))
+    met = met.distinct()
+    shingles = F.broadcast(passages.shingles) if passages.light else passages.shingles
+    sides = met.join(scanned.select("uid", "doc", "places", "pairs"), "uid").join(shingles, "seq").select("doc", "seq", "own", "own_weights", "places", "pairs")
     leaks = sides.mapInArrow(verify, f"doc {kind}, seq bigint, share double")
     return leaks.join(passages.items, "seq").select(F.col("doc").alias(key), F.col("item").alias(item_key), "share")

@@ -80,3 +80,53 @@ def test_filter_has_every_shingle_and_a_bound(spark):
 
 def test_normal_words():
     assert L.normal_words("The publisher's “soft-spoken” cata-\n| logue, Café &amp; <b>pаper</b>") == ["the", "publishers", "soft", "spoken", "catalogue", "cafe", "paper"]
+
+
+def test_stretches_of_many_passages_are_found(spark):
+    rng = random.Random(5)
+    common = filler(rng, 60)
+    items = [(i, f"{common} {filler(rng, 50)}") for i in range(12)]
+    docs = [(0, f"{filler(rng, 50)} {common} {filler(rng, 50)}"), (1, f"{filler(rng, 50)} {' '.join(common.split()[:20])} {filler(rng, 50)}")]
+    got = L.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, i) for i in range(12)} and len(got) == 12
+
+
+def test_lists_of_any_length_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, passage(rng)) for i in range(30)]
+    docs = [(d, f"{filler(rng, 30)} {damage(rng, items[d % 30][1])}") for d in range(60)]
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    light = {tuple(r) for r in L.leaked_items(*tables).collect()}
+    monkeypatch.setattr(L, "LIGHT", 0)
+    assert {tuple(r) for r in L.leaked_items(*tables).collect()} == light and {r[:2] for r in light} >= {(d, d % 30) for d in range(60)}
+
+
+def test_bound_is_never_below_the_share():
+    rng = np.random.default_rng(8)
+    pairs = rng.integers(-(2**63), 2**63 - 1, 60)
+    cases = []
+    for _ in range(3_000):
+        own = rng.choice(pairs, rng.integers(1, 70))
+        weights = 1.0 / rng.integers(1, rng.choice([2, 5, 40]), len(own))
+        theirs = np.where(rng.random(len(own)) < rng.random(), own, rng.integers(0, 2**62, len(own)))[rng.integers(0, len(own)) :]
+        theirs = np.concatenate([theirs, rng.choice(pairs, rng.integers(0, 9))])
+        cases.append((own, weights, np.arange(len(theirs)) * rng.integers(1, 3), theirs))
+    shares = np.array([L.share(*c) for c in cases])
+    column = lambda k: np.concatenate([c[k] for c in cases])
+    got = L.possible(np.array([len(c[0]) for c in cases]), column(0), column(1), np.array([len(c[3]) for c in cases]), column(3))
+    assert got[shares >= L.LEAST_SHARE].all() and (shares >= L.LEAST_SHARE).sum() > 100 and not got.all()
+
+
+def test_hot_windows_meet_all_they_must(spark, monkeypatch):
+    rng = random.Random(7)
+    common, half = filler(rng, 30), filler(rng, 60)
+    items = [(i, f"{filler(rng, 45)} {common} {filler(rng, 45)}") for i in range(20)] + [(i, f"{half} {filler(rng, 50)}") for i in range(20, 32)]
+    worn = " ".join(w if 45 <= k < 75 or k % 4 else "word" for k, w in enumerate(items[5][1].split()))
+    docs = [(d, f"{filler(rng, 20)} {body} {filler(rng, 20)}") for d, body in enumerate([common, half, f"{common} {half}", items[3][1], " ".join(items[4][1].split()[50:115]), items[25][1], " ".join(items[26][1].split()[60:]), worn])]
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    plain = {tuple(r) for r in L.leaked_items(*tables).collect()}
+    assert {r[:2] for r in plain} == {(d, i) for d in (1, 2, 5) for i in range(20, 32)} | {(3, 3), (4, 4), (6, 26), (7, 5)}
+    monkeypatch.setattr(L, "HOT", 5)
+    passages = L.Passages(tables[1].selectExpr("item_id item", "passage"))
+    assert passages.windows.join(passages.hot, "q").select("seq").distinct().count() == 12 and passages.rare.select("seq").distinct().count() == 20
+    assert {tuple(r) for r in L.leaked_items(*tables).collect()} == plain
